@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -28,7 +31,12 @@ class Scratch:
 
     def table(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        was = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")  # the written table replaces the shuffle files
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
-from .text import list_column, segment_reduce, shingle_sets, shingles, signed, slices  # noqa: F401
+from .text import list_column, segment_reduce, shingle_sets, signed, slices
 
 
 def _factor_keys(values: np.ndarray, offsets: np.ndarray, factors: int, width: int, seed: int) -> np.ndarray:
@@ -91,16 +91,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Documents with the same set form a class. Candidate pairs of classes are those that share a factor key of each collection;
-    a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A bucket first links its
-    members to its smallest, so that large groups collapse; members of a bucket that are still in different components are
-    then compared with each other, so no candidate goes unchecked.
+    a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A class is first compared
+    with its smallest partner, then with the smallest of each bucket where components differ, so that large groups collapse;
+    members of a bucket that are still in different components are then compared with each other, so no candidate goes unchecked.
 
     Null and empty texts have an empty set and stay alone; so does a null id, whose component is null and which is kept. Rows
     that repeat an id are returned each, their class is that of one of their texts when these differ. Other columns are ignored.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent lies in 1..100")
-    spark, tmp = docs.sparkSession, Scratch(docs.sparkSession)
+    tmp = Scratch(docs.sparkSession)
     rows = tmp.table(shingle_table(docs, id_col, text_col, factors, width, size, seed))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min_by("keys", "doc_id").alias("keys")))
@@ -111,43 +111,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = tables.groupBy("bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("top")).where("rep < top").select("bucket", "rep")
     members = tmp.table(tables.join(groups, "bucket").select("bucket", "rep", "cls"))
     tmp.drop(tables)
-    stars = tmp.table(members.where("rep <> cls").groupBy("rep", "cls").agg(F.count(F.lit(1)).alias("n")).select(F.col("rep").alias("a"), F.col("cls").alias("b")))
-    wanted = stars.select(F.col("a").alias("id")).union(stars.select("b")).distinct()
-    sets = tmp.table(_sets(docs, id_col, text_col, wanted, size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min("members").alias("members")))
-    # one pair for each class, then the other stars that still cross components, then the rest of each bucket
-    first = stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = tmp.table(_confirmed(first, sets, percent))
-    for step in ("stars", "rest"):
+    sets = tmp.table(_sets(docs, id_col, text_col, members.select(F.col("cls").alias("id")).distinct(), size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min("members").alias("members")))
+    sized = sets.select(F.col("id").alias("cls"), "n")
+    # each class with its smallest partner, then each open bucket's smallest with the others, then the rest of each open bucket
+    tried = tmp.table(members.where("rep <> cls").groupBy("cls").agg(F.min("rep").alias("a")).select("a", F.col("cls").alias("b")))
+    links = tmp.table(_confirmed(tried, sets, percent))
+    for step in ("smallest", "rest"):
         found = components(tmp, links)
-        if step == "stars":
-            tried = stars.join(first, ["a", "b"], "left_anti")
-            pairs = _crossing(tried, found)
+        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"))
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("cls", "c")).alias("least")).where("lo < hi").select("bucket", "least")
+        open_ = tmp.table(placed.join(mixed, "bucket").join(sized, "cls"))
+        if step == "smallest":
+            pairs = open_.where("c <> least.c").select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
         else:
-            placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"))
-            mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("bucket")
-            open_ = tmp.table(placed.join(mixed, "bucket").join(sets.select(F.col("id").alias("cls"), "n"), "cls").select("bucket", "cls", "c", "n"))
             other = open_.select("bucket", F.col("cls").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
             near = (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-            pairs = open_.withColumnRenamed("cls", "a").join(other, "bucket").where(near).select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-        more = tmp.table(_confirmed(pairs, sets, percent))
-        tmp.drop(found)
-        joined = tmp.table(links.unionByName(more))
-        tmp.drop(links, more)
-        links = joined
+            pairs = open_.withColumnRenamed("cls", "a").join(other, "bucket").where(near).select("a", "b")
+        fresh = tmp.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+        more = tmp.table(_confirmed(fresh, sets, percent))
+        both, all_tried = tmp.table(links.unionByName(more)), tmp.table(tried.unionByName(fresh))
+        tmp.drop(found, open_, links, more, fresh, tried)
+        links, tried = both, all_tried
     found = components(tmp, links)
-    tmp.drop(stars, sets, members)
+    tmp.drop(tried, sets, members, links)
     of_class = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "cls").alias("c"))
     out = rows.drop("keys").join(of_class, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
-    del spark
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _crossing(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    one = pairs.join(found.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(found.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    return one.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def miss_chance(percent: int, factors: int, width: int) -> float:
     """At most this chance of missing a pair at the threshold."""
     return min(1.0, 2 * math.pow(1 - (percent / 100) ** width, factors))
