@@ -90,30 +90,31 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
     return roots
 
 
-def next_row(df: DataFrame, key: str, values: dict[str, Column], prefix: str, rows_per_range: int = 200) -> DataFrame:
-    """Add to each row `prefix`+name for every value of the row that follows in ascending order of the long `key`; the last row gets the first one's.
+def next_row(df: DataFrame, key: str, columns: list[str], prefix: str, rows_per_range: int = 200) -> DataFrame:
+    """Add prefix+column for each named column: its value in the row that follows in ascending order of the long `key`; the last row gets the first one's.
 
-    No window runs over the whole table: rows go to ranges of the key, bounded by quantiles, and the first rows of a range are
-    also dealt, as ghosts, to the range before. One shuffle carries the values. Ties of `key` are ordered by the values; null
-    keys come first. A one-row table is followed by itself.
+    No window runs over the whole table: rows go to ranges of the key, bounded by quantiles, at most 4096 of them, and the first
+    rows of a range are also dealt, as ghosts, to the range before. One shuffle carries the rows. Ties of `key` are ordered by the
+    columns; null keys come first. A one-row table is followed by itself.
     """
     spark = df.sparkSession
-    n = df.count()
+    n = df.select(key).count()
     ranges = max(1, min(4096, n // rows_per_range))
-    bounds = sorted(set(df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.2 / ranges))) if ranges > 1 else []
-    bounds = [int(x) for x in bounds]
-    listed = spark.createDataFrame([(bounds,)], "bounds array<long>")
-    ranged = df.crossJoin(F.broadcast(listed)).withColumn("_range", range_of(F.col(key), F.col("bounds"), len(bounds))).drop("bounds")
-    heads = sorted((r["_range"], r["head"]) for r in ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), key)).alias("m")).select("_range", F.col(f"m.{key}").alias("head")).collect())
+    bounds = sorted({int(x) for x in df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
+    ranged = df.withColumn("_range", range_of(F.col(key), F.lit(bounds) if bounds else F.array(), len(bounds)))
+    heads = [(r["_range"], r["head"]) for r in ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key).alias("head"))).alias("m")).select("_range", "m.head").sort("_range").collect()]
     before = [(head, heads[i - 1][0], i == 0) for i, (_, head) in enumerate(heads)]
+    real = ranged.withColumn("_ghost", F.lit(0))
+    if not before:
+        return real.drop("_range", "_ghost").withColumns({f"{prefix}{c}": F.col(c) for c in columns})
     ghosts = F.broadcast(spark.createDataFrame(before, "_head long, _before int, _wrap boolean"))
-    carried = ranged.withColumns({f"_v{i}": c for i, c in enumerate(values.values())})
-    real = carried.withColumns({"_ghost": F.lit(False), "_wrapped": F.lit(False)})
-    extra = carried.join(ghosts, F.col(key).eqNullSafe(F.col("_head"))).withColumns({"_range": F.col("_before"), "_ghost": F.lit(True), "_wrapped": F.col("_wrap")}).select(*real.columns)
-    tie = [F.col(f"_v{i}") for i in range(len(values))]
-    order = Window.partitionBy("_range").orderBy("_ghost", F.col(key).asc_nulls_first(), *tie)
-    out = real.unionByName(extra).withColumns({f"{prefix}{name}": F.lead(f"_v{i}").over(order) for i, name in enumerate(values)})
-    return out.where(~F.col("_ghost")).drop("_range", "_ghost", "_wrapped", *[f"_v{i}" for i in range(len(values))])
+    known = [h for h, _, _ in before if h is not None]
+    at_head = F.col(key).isin(known) | F.col(key).isNull() if len(known) < len(before) else F.col(key).isin(known)
+    extra = ranged.where(at_head).join(ghosts, F.col(key).eqNullSafe(F.col("_head")))
+    extra = extra.withColumn("_range", F.col("_before")).withColumn("_ghost", F.lit(1)).select(*real.columns)
+    order = Window.partitionBy("_range").orderBy("_ghost", F.col(key).asc_nulls_first(), *columns)
+    out = real.unionByName(extra).withColumns({f"{prefix}{c}": F.lead(c).over(order) for c in columns})
+    return out.where("_ghost = 0").drop("_range", "_ghost")
 
 
 def range_of(key: Column, bounds: Column, n: int) -> Column:

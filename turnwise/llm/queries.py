@@ -1,4 +1,4 @@
-"""The ten operators as registered queries."""
+"""The ten operators as registered queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -15,5 +15,31 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash_near_dedup": op1_minhash_near_dedup}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import edited_fingerprints
+
+    return edited_fingerprints(_read(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import identify
+
+    return identify(_read(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vectors import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_document_fingerprints, op7_language_id, op8_embedding_near_dedup)}
 ORACLES: dict[str, str] = {}
