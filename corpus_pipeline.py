@@ -3,13 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from turnwise.llm import lines, minhash, packing, quality, toxicity
+from turnwise.llm.common import Scratch
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose doc_id is not among ids; those with a null doc_id stay."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance resampling keeps."""
+    return _without(docs, quality.resample(docs, _labels(spark, sf_dir)).where("not kept and doc_id is not null"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays under the threshold."""
+    return _without(docs, toxicity.score(docs, _labels(spark, sf_dir)).where("predicted = 1 and doc_id is not null"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the lines that occur earlier; n_chars follows the text."""
+    return lines.dedup_lines(docs).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest id, of each group of near-duplicates."""
+    return _without(docs, minhash.near_duplicates(docs).where("not kept"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed sequences of at most 2048 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", keep_one_of_each), ("packing", pack)]
+#: Trained models and tokenizers are not SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over documents, each stage's result written to the shared folder and read again."""
+    docs, tmp = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark)
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = tmp.table(docs)
     return docs

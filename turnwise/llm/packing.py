@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .chunks import ChunkCache
 from .common import Scratch
-from .text import LOWER, slices, span_hashes, text_bytes, word_spans
+from .text import LOWER, slices, text_bytes, word_spans
 
 _END, _CUT = "", ""
 _LOADED: dict[str, ChunkIds] = {}
 
 
-class ChunkIds:
+class ChunkIds(ChunkCache):
     """Token ids of white-space separated chunks, kept by hash for as many as `most` chunks.
 
     No token of the vocabulary crosses white space, so a text's ids are its chunks' ids in order. Chunks of printable Latin
@@ -37,7 +38,8 @@ class ChunkIds:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        super().__init__(most)
+        self.tokenizer = Tokenizer.from_file(path)
         with open(path) as f:
             model = json.load(f)["model"]
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -59,11 +61,6 @@ class ChunkIds:
         self.encoder = tiktoken.Encoding("chunks", pat_str=f"[^{_END}]+{_END}", mergeable_ranks=ranks, special_tokens={_CUT: len(ranks)})
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^\s\p{{L}}\p{{N}}{_CUT}]+|{_CUT}")
         self.simple = regex.compile(r"(?!.*<\|)[\x21-\x7e¡-ɏ]+", regex.S)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
 
     def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all chunks in order, number of ids of each)."""
@@ -79,27 +76,6 @@ class ChunkIds:
             out[i] = np.array(e.ids, np.uint32)
         return np.concatenate(out), np.array([len(x) for x in out], np.int64)
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        hashes = span_hashes(LOWER[data], starts, ends)
-        keys, first, place = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.most:
-            self.clear()
-        at = np.searchsorted(self.keys, keys)
-        known = np.zeros(len(keys), bool)
-        inside = at < len(self.keys)
-        known[inside] = self.keys[at[inside]] == keys[inside]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            ids, sizes = self.encode([raw[s:e].decode() for s, e in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            begin = len(self.flat) + np.cumsum(sizes) - sizes
-            self.at, self.size = np.insert(self.at, at[new], begin), np.insert(self.size, at[new], sizes)
-            self.keys, self.flat = np.insert(self.keys, at[new], keys[new]), np.concatenate([self.flat, ids])
-            at = np.searchsorted(self.keys, keys)
-        sizes = self.size[at][place]
-        before = np.cumsum(sizes) - sizes
-        return self.flat[np.repeat(self.at[at][place] - before, sizes) + np.arange(int(sizes.sum()))], np.concatenate([[0], np.cumsum(sizes)])
-
 
 def chunk_ids(path: str) -> ChunkIds:
     if path not in _LOADED:
@@ -116,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             for part in slices(batch, "text"):
                 data, offsets = text_bytes(part.column("text"))
                 starts, ends, first = word_spans(data, offsets)
-                flat, bounds = chunk_ids(tokenizer_path)(data, starts, ends)
+                flat, bounds = chunk_ids(tokenizer_path)(data, starts, ends, LOWER[data])
                 bounds = bounds[first].tolist()
                 rows = []
                 for d, doc in enumerate(part.column("doc_id").to_pylist()):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .chat import NEIGHBOURS_SQL
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +18,18 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import resample
+
+    return resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,6 +44,13 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(_read(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import dedup_lines
+
+    found = dedup_lines(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language import identify
 
@@ -41,5 +63,36 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op4_best_fit_packing, op5_document_fingerprints, op7_language_id, op8_embedding_near_dedup)}
-ORACLES: dict[str, str] = {}
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepieces import decode, digest, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = decode(encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest("ids").alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
+def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat import conversations_as_rows, pair_neighbours, preference_pairs, spans_text
+
+    found = preference_pairs(pair_neighbours(conversations_as_rows(_read(spark, sf_dir, "conversations"))))
+    return found.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen_text", "rejected_text", spans_text("chosen_spans").alias("chosen_trained"), spans_text("rejected_spans").alias("rejected_trained"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_quality_classifier,
+        op3_toxicity,
+        op4_best_fit_packing,
+        op5_document_fingerprints,
+        op6_line_dedup,
+        op7_language_id,
+        op8_embedding_near_dedup,
+        op9_sentencepiece,
+        op10_preference_formatting,
+    )
+}
+ORACLES: dict[str, str] = {"op10_preference_formatting": NEIGHBOURS_SQL}
