@@ -119,9 +119,7 @@ def next_row(df: DataFrame, key: str, columns: list[str], prefix: str, rows_per_
 
 def range_of(key: Column, bounds: Column, n: int) -> Column:
     """How many of the n ascending bounds are at or below key, by halving; 0 for null."""
-    at, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
-    while n and step:
-        ahead = at + F.lit(step)
-        at = F.when((ahead <= n) & (F.try_element_at(bounds, ahead) <= key), ahead).otherwise(at)
-        step >>= 1
-    return at.cast("int")
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    if not steps:
+        return F.lit(0)
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.try_element_at(bounds, at + step) <= key, at + step).otherwise(at))

@@ -7,6 +7,7 @@ hexadecimal digits, are the fingerprint; likeness subtracts the chance agreement
 
 from __future__ import annotations
 
+import json
 import random
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ def with_fingerprint(df: DataFrame, text: Column, name: str, size: int = 5) -> D
     df = df.withColumn("_m", F.filter("_s", lambda x, i: (i == 0) | (F.shiftright(x, shift) != F.shiftright(F.get("_s", i - 1), shift)))).drop("_s")
     df = df.withColumn("_b", F.transform("_m", lambda x: F.shiftright(x, shift) + BINS // 2))
     df = df.withColumn("_v", F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda b: F.get("_m", (F.array_position("_b", b.cast("long")) - 1).cast("int")))).drop("_b")
-    table = F.array(*[F.array(*[F.lit(j) for j in order]) for order in probes()])
+    table = F.from_json(F.lit(json.dumps(probes())), "array<array<int>>")  # one folded constant
     borrowed = lambda i: F.get("_v", F.get(F.filter(F.get(table, i), lambda j: F.get("_v", j).isNotNull()), F.lit(0)))
     digit = lambda x: F.substring(F.lit("0123456789abcdef"), (x.bitwiseAND(2**BITS - 1) + 1).cast("int"), F.lit(1))
     filled = F.transform("_v", lambda x, i: digit(F.when(x.isNotNull(), x).otherwise(borrowed(i))))
