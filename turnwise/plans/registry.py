@@ -2,5 +2,389 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from turnwise.functions import text as tx
+from turnwise.operators import governance as gov
+from turnwise.operators import segments as seg
+from turnwise.operators import trends as tr
+from turnwise.sources import fixtures as fx
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+AS_OF, T = fx.AS_OF, f"TIMESTAMP '{fx.AS_OF}'"
+SEG, HITS, TURNS = f"WITH {fx.SEGMENTS_SQL}", f"WITH {fx.HITS_SQL}", f"WITH {fx.SEGMENTS_SQL}, {fx.TURNS_SQL}"
+
+
+def query(sql: str):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def trend_sql(by: str, days: int, source: str = "hits") -> str:
+    now, old = f"created_at >= {T} - INTERVAL {days} DAY AND created_at < {T}", f"created_at >= {T} - INTERVAL {2 * days} DAY AND created_at < {T} - INTERVAL {days} DAY"
+    return f"""(SELECT *, pct_change >= 40 AS is_rising FROM (SELECT *, CASE WHEN previous_count > 0 THEN round(100.0 * (current_count - previous_count) / previous_count, 2) WHEN current_count > 0 THEN 100.0 ELSE 0.0 END AS pct_change FROM (
+SELECT {by}, count(*) FILTER ({now}) AS current_count, count(*) FILTER ({old}) AS previous_count, count(DISTINCT conversation_id) FILTER ({now}) AS conversation_count FROM {source} WHERE ({now}) OR ({old}) GROUP BY {by})))"""
+
+
+MATRIX = f"""m AS (SELECT d.day, t.topic, coalesce(n, 0) AS hit_count FROM (SELECT DISTINCT topic FROM hits) t
+CROSS JOIN (SELECT CAST(DATE '2024-01-31' - CAST(i AS INTEGER) AS DATE) AS day FROM range(1, 31) r(i)) d
+LEFT JOIN (SELECT CAST(created_at AS DATE) AS day, topic, count(*) AS n FROM hits WHERE created_at >= {T} - INTERVAL 30 DAY AND created_at < {T} GROUP BY ALL) c ON c.day = d.day AND c.topic = t.topic)"""
+ANOMALIES = """a AS (SELECT topic, CASE WHEN pct >= 100 THEN 'CRITICAL' ELSE 'WARNING' END AS severity, CAST(trunc(pct) AS BIGINT) AS pct_increase, CAST(trunc(recent) AS BIGINT) AS recent_avg, CAST(trunc(base) AS BIGINT) AS baseline_avg
+FROM (SELECT topic, recent, base, 100.0 * (recent - base) / base AS pct FROM (SELECT topic, avg(hit_count) FILTER (age <= 2) AS recent, greatest(5.0, avg(hit_count) FILTER (age > 2)) AS base, count(*) AS days
+FROM (SELECT *, dense_rank() OVER (PARTITION BY topic ORDER BY day DESC) AS age FROM m) GROUP BY topic) WHERE days >= 3) WHERE pct >= 50)"""
+
+
+@query(f"{HITS} SELECT keyword, count(*) AS hit_count FROM hits WHERE created_at >= {T} - INTERVAL 7 DAY AND created_at < {T} GROUP BY keyword ORDER BY hit_count DESC, keyword LIMIT 3")
+def top_keywords(spark, d) -> DataFrame:
+    return tr.top_keywords(fx.hits(spark, d), AS_OF, 7, 3)
+
+
+@query(f"{HITS} SELECT * FROM {trend_sql('topic', 7)}")
+def compute_trend(spark, d):
+    return tr.compute_trend(fx.hits(spark, d), "topic", AS_OF, 7)
+
+
+@query(f"{HITS}, {MATRIX} SELECT strftime(day, '%Y-%m-%d') AS day, topic, hit_count FROM m")
+def trend_matrix(spark, d):
+    return tr.trend_matrix(fx.hits(spark, d), AS_OF, 30).withColumn("day", F.col("day").cast("string"))
+
+
+@query(f"{HITS}, {MATRIX}, {ANOMALIES} SELECT * FROM a")
+def detect_anomalies(spark, d):
+    return tr.detect_anomalies(tr.trend_matrix(fx.hits(spark, d), AS_OF, 30))
+
+
+@query(f"""{HITS}, {MATRIX}, s AS (SELECT topic, 7 AS n, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx FROM (SELECT topic, hit_count AS y, 7 - dense_rank() OVER (PARTITION BY topic ORDER BY day DESC) AS x FROM m) WHERE x >= 0 GROUP BY topic HAVING count(*) = 7),
+l AS (SELECT *, CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) AS slope FROM s), p AS (SELECT *, (sy - slope * sx) / n + slope * 7 AS predicted FROM l)
+SELECT topic, round(slope, 4) AS slope, round(predicted, 4) AS predicted, CASE WHEN slope > 2 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM p WHERE slope > 0.5 AND predicted > 5""")
+def forecast_next_day(spark, d):
+    return tr.forecast_next_day(tr.trend_matrix(fx.hits(spark, d), AS_OF, 30))
+
+
+@query(f"""{HITS}, k AS (SELECT *, topic || '|' || keyword AS key FROM hits)
+SELECT split_part(key, '|', 1) AS topic, split_part(key, '|', 2) AS keyword, current_count AS hit_count, conversation_count, '7d' AS "window", pct_change FROM {trend_sql('key', 7, 'k')}""")
+def trend_snapshot(spark, d):
+    return tr.trend_snapshot(fx.hits(spark, d), AS_OF, 7)
+
+
+def _rules(spark, d):
+    """One alert rule for each keyword seen, its window 1 or 7 days."""
+    kinds = fx.hits(spark, d).select("keyword").distinct()
+    return kinds.selectExpr("concat('rule-', keyword) AS rule_id", "keyword", "if(length(keyword) % 2 = 0, 7, 1) AS days", "-20.0D AS threshold_pct", "5 AS min_count", "60 AS cooldown_min", "keyword <> 'error' AS is_active", "if(keyword = 'view', timestamp'2024-01-30 23:30:00', NULL) AS last_triggered")
+
+
+FIRED = f"""r AS (SELECT 'rule-' || keyword AS rule_id, keyword, CASE WHEN length(keyword) % 2 = 0 THEN 7 ELSE 1 END AS days FROM (SELECT DISTINCT keyword FROM hits) WHERE keyword NOT IN ('error', 'view')),
+w AS (SELECT *, 7 AS days FROM {trend_sql('keyword', 7)} UNION ALL SELECT *, 1 AS days FROM {trend_sql('keyword', 1)}),
+e AS (SELECT rule_id, keyword, 'Rising: ' || keyword AS title, current_count || ' hits in ' || days || ' days, ' || previous_count || ' before' AS summary, CASE WHEN pct_change >= 40 THEN 'warning' ELSE 'info' END AS severity, pct_change
+FROM r JOIN w USING (keyword, days) WHERE pct_change >= -20 AND current_count >= 5)"""
+
+
+@query(f"{HITS}, {FIRED} SELECT * FROM e")
+def evaluate_alerts(spark, d):
+    return tr.evaluate_alerts(fx.hits(spark, d), _rules(spark, d), AS_OF)[0]
+
+
+@query(f"""{HITS}, {FIRED} SELECT rule_id, title, summary, severity FROM e""")
+def alert_payloads(spark, d):
+    events = tr.evaluate_alerts(fx.hits(spark, d), _rules(spark, d), AS_OF)[0]
+    kind = "title string, summary string, severity string"
+    return tr.alert_payloads(events, AS_OF).select("rule_id", F.from_json("payload", kind).alias("p")).select("rule_id", "p.*")
+
+
+@query("SELECT CAST(le AS DOUBLE) AS le, count(*) FILTER (value <= le) AS n FROM events, (VALUES (1), (5), (10), (25), (50), (75), (100), (250), (500), (1000), (2500), (5000)) b(le) GROUP BY le")
+def score_histogram(spark, d):
+    return tr.score_histogram(fx.table(spark, d, "events"), "value", [1, 5, 10, 25, 50, 75, 100, 250, 500, 1000, 2500, 5000])
+
+
+@query("""SELECT window_start, requests, round(share, 6) AS error_share, round(p, 6) AS p95, share > 0.05 AS too_many_errors FROM (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS window_start, count(*) AS requests, count(*) FILTER (event_type = 'error') / count(*) AS share, quantile_cont(value, 0.95) AS p FROM events GROUP BY 1)""")
+def ops_ratios(spark, d):
+    return tr.ops_ratios(fx.table(spark, d, "events").selectExpr("ts", "if(event_type = 'error', 500, 200) AS status", "value AS latency"))
+
+
+@query(f"{HITS} SELECT strftime(created_at, '%Y-%m-%d') AS date, count(*) AS hit_count FROM hits WHERE keyword = 'view' GROUP BY 1")
+def export_daily_series(spark, d):
+    return tr.daily_series(fx.hits(spark, d), "view")
+
+
+@query(f"""{SEG}, {fx.HITS_SQL} SELECT (SELECT count(DISTINCT conversation_id) FROM segments) AS total_calls,
+(SELECT round(avg(coalesce(r, 0)), 6) FROM (SELECT CASE WHEN conversation_id % 3 = 0 THEN NULL ELSE (conversation_id % 10) / 10.0 END AS r FROM (SELECT DISTINCT conversation_id FROM segments))) AS avg_churn_risk,
+(SELECT count(*) FILTER (value <= 50) FROM events WHERE event_type = 'error') AS open_alerts,
+(SELECT count(*) FROM hits WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < {T}) AS hits_today,
+(SELECT topic FROM {trend_sql('topic', 7)} ORDER BY pct_change DESC, topic DESC LIMIT 1) AS top_rising_topic""")
+def dashboard_summary(spark, d):
+    calls = fx.segments(spark, d).select("conversation_id").distinct().withColumn("churn_risk", F.expr("if(conversation_id % 3 = 0, NULL, (conversation_id % 10) / 10.0D)"))
+    alerts = fx.table(spark, d, "events").where("event_type = 'error'").select((F.col("value") > 50).alias("acknowledged"))
+    return tr.dashboard_summary(calls, fx.hits(spark, d), alerts, AS_OF)
+
+
+@query(f"{HITS}, {MATRIX}, {ANOMALIES} SELECT DISTINCT topic, conversation_id, severity, pct_increase FROM hits JOIN a USING (topic)")
+def flag_anomalous_topics(spark, d):
+    hits = fx.hits(spark, d)
+    return tr.flag_anomalous_topics(hits, tr.detect_anomalies(tr.trend_matrix(hits, AS_OF, 30)))
+
+
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY token ORDER BY n DESC, token LIMIT 100")
+def token_frequency(spark, d):
+    return tr.token_frequency(fx.table(spark, d, "documents"), "text", 100)
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def message_counts(spark, d):
+    return fx.table(spark, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
+
+
+CONFIDENCE = "c AS (SELECT conversation_id, round(greatest(0.0, least(1.0, coalesce(sum(exp(avg_logprob) * w) FILTER (ok) / sum(w) FILTER (ok), 0.0))), 3) AS confidence FROM (SELECT *, greatest(dur_ms / 1000.0, 0.1) AS w, coalesce(avg_logprob > -1 AND avg_logprob <= 0, false) AS ok FROM segments) GROUP BY conversation_id)"
+
+
+@query(f"{SEG}, {CONFIDENCE} SELECT * FROM c")
+def asr_confidence(spark, d):
+    return seg.asr_confidence(fx.segments(spark, d))
+
+
+@query(f"{SEG}, {CONFIDENCE} SELECT *, confidence = 0 OR confidence >= 0.45 AS passes FROM c")
+def quality_gate(spark, d):
+    return seg.quality_gate(seg.asr_confidence(fx.segments(spark, d)))
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, start_ms <= 18000 AND (contains(lower(text), 'of the') OR contains(lower(text), 'die ')) AS flagged FROM segments")
+def flag_ivr(spark, d):
+    return seg.flag_phrases(fx.segments(spark, d), ["of the", "die "], 18_000)
+
+
+@query(f"{SEG} SELECT conversation_id, count(*) AS matches FROM segments WHERE contains(lower(text), 'the') GROUP BY 1")
+def transcript_search(spark, d):
+    return seg.transcript_search(fx.segments(spark, d), "The")
+
+
+@query(f"""{SEG} SELECT conversation_id, segment_index, before, after FROM (SELECT *, substr(coalesce(lag(text) OVER w, ''), 1, 200) AS before, substr(coalesce(lead(text) OVER w, ''), 1, 200) AS after FROM segments WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index)) WHERE avg_logprob < -0.7""")
+def neighbour_context(spark, d):
+    return seg.neighbour_context(fx.segments(spark, d))
+
+
+@query(f"""{SEG}, p AS (SELECT *, last_value(CASE WHEN avg_logprob >= -0.5 THEN text END IGNORE NULLS) OVER (PARTITION BY conversation_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS context FROM segments)
+SELECT conversation_id, segment_index, speaker, rank, context FROM (SELECT *, row_number() OVER (PARTITION BY conversation_id, speaker ORDER BY segment_index) AS rank FROM p WHERE avg_logprob < -0.5 AND dur_ms BETWEEN 300 AND 15000) WHERE rank <= 8""")
+def rescue_candidates(spark, d):
+    return seg.rescue_candidates(fx.segments(spark, d))
+
+
+TERMS = [("r1", "the", None), ("r2", "of the", None), ("r3", "die", ["telecom", "banking"]), ("r4", "que", ["omni"]), ("r5", "is", None), ("r6", "the the", None)]
+
+
+@query(f"""{SEG}, tok AS (SELECT conversation_id, segment_index, sector, text, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM segments),
+r AS (SELECT * FROM (VALUES ('r1', 'the', NULL), ('r2', 'of the', NULL), ('r3', 'die', ['telecom', 'banking']), ('r4', 'que', ['omni']), ('r5', 'is', NULL), ('r6', 'the the', NULL)) v(rule_id, term, scope))
+SELECT conversation_id, segment_index, rule_id, term, CAST(len(string_split(substr(t, 1, instr(t, ' ' || term || ' ')), ' ')) - 2 AS BIGINT) AS word_index, substr(text, 1, 120) AS context
+FROM tok JOIN r ON contains(t, ' ' || term || ' ') AND (scope IS NULL OR list_contains(scope, sector))""")
+def keyword_hits(spark, d):
+    return seg.keyword_hits(fx.segments(spark, d), spark.createDataFrame(TERMS, "rule_id string, term string, sector_scope array<string>"))
+
+
+@query(f"""{TURNS}, o AS (SELECT conversation_id, s.segment_index, turn_speaker, row_number() OVER (PARTITION BY conversation_id, s.segment_index ORDER BY least(end_ms, t_end) - greatest(start_ms, t_start) DESC, turn_index) AS k
+FROM segments s JOIN turns t USING (conversation_id) WHERE start_ms < t_end AND t_start < end_ms)
+SELECT conversation_id, segment_index, coalesce(o.turn_speaker, speaker) AS speaker FROM segments LEFT JOIN (SELECT * FROM o WHERE k = 1) o USING (conversation_id, segment_index)""")
+def align_segments_to_turns(spark, d):
+    return seg.align_segments_to_turns(fx.segments(spark, d), fx.turns(spark, d))
+
+
+@query(f"""{SEG} SELECT conversation_id, segment_index, end_ms - ns AS overlap_ms, CASE WHEN end_ms - ns > 1000 THEN 'high' ELSE 'low' END AS intensity FROM (SELECT *, lead(speaker) OVER w AS nsp, lead(start_ms) OVER w AS ns FROM segments WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index)) WHERE nsp <> speaker AND end_ms - ns > 100""")
+def crosstalk_adjacent(spark, d):
+    return seg.crosstalk_adjacent(fx.segments(spark, d))
+
+
+@query(f"""{SEG} SELECT conversation_id, segment_index, till - start_ms AS overlap_ms FROM (SELECT *, max(end_ms) OVER (PARTITION BY conversation_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS till, lag(speaker) OVER w AS ps, lag(dur_ms) OVER w AS pd FROM segments WHERE length(text) >= 2 WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index))
+WHERE ps <> speaker AND speaker = 'SPEAKER_01' AND till - start_ms > 700 AND till - start_ms <= 2500 AND pd >= 800""")
+def interruptions(spark, d):
+    return seg.interruptions(fx.segments(spark, d), "SPEAKER_01")
+
+
+@query(f"""{SEG} SELECT conversation_id, segment_index, CAST(sum(CASE WHEN g > 1500 OR (g > 400 AND q) THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY segment_index) AS BIGINT) AS turn_group
+FROM (SELECT *, start_ms - lag(end_ms) OVER w AS g, regexp_matches(lag(text) OVER w, '\\?\\s*$') AS q FROM segments WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index))""")
+def group_text_turns(spark, d):
+    return seg.group_text_turns(fx.segments(spark, d))
+
+
+@query(f"""{SEG}, p AS (SELECT conversation_id, segment_index, greatest(0, start_ms - 300) AS s, end_ms + 300 AS e FROM segments WHERE speaker = 'SPEAKER_01'),
+f AS (SELECT *, coalesce(s - max(e) OVER (PARTITION BY conversation_id ORDER BY s, e, segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > 3000, true) AS fresh FROM p)
+SELECT conversation_id, CAST(region AS BIGINT) AS region, min(s) AS start_ms, max(e) AS end_ms FROM (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY s, e, segment_index) AS region FROM f) GROUP BY ALL""")
+def merge_vad_regions(spark, d):
+    return seg.merge_regions(fx.segments(spark, d).where("speaker = 'SPEAKER_01'"))
+
+
+@query(f"""{SEG}, p AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) = 1 THEN 1 ELSE 0 END AS opens,
+5 * (contains(lower(text), 'of the')::INT + contains(lower(text), 'und ')::INT) - 3 * contains(lower(text), ' que ')::INT - 2 * (length(text) - length(replace(text, '?', ''))) AS p FROM segments),
+q AS (SELECT conversation_id, speaker, CAST(sum(p) + 4 * max(opens) + CASE WHEN avg(n_words) > 12 THEN 3 ELSE 0 END AS BIGINT) AS points FROM p GROUP BY ALL)
+SELECT conversation_id, speaker, points, CASE row_number() OVER (PARTITION BY conversation_id ORDER BY points DESC, speaker) WHEN 1 THEN 'agent' WHEN 2 THEN 'customer' ELSE 'other' END AS role FROM q""")
+def identify_roles(spark, d):
+    return seg.identify_roles(fx.segments(spark, d), ["of the", "und "], [" que "])
+
+
+@query(f"{SEG} SELECT conversation_id, max(end_ms) AS duration_ms, count(DISTINCT speaker) AS speakers, array_to_string(list_sort(list(DISTINCT speaker)), ',') AS names FROM segments GROUP BY 1")
+def speaker_stats(spark, d):
+    return seg.speaker_stats(fx.segments(spark, d))
+
+
+@query(f"""{SEG}, w AS (SELECT conversation_id, segment_index, n_words, list_filter(['the', 'die', 'que', 'is'], lambda t: list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), t)) AS hit FROM segments),
+g AS (SELECT conversation_id, sum(n_words) AS words, len(list_distinct(flatten(list(hit)))) AS terms, count(*) FILTER (len(hit) > 0) AS flagged FROM w GROUP BY 1)
+SELECT conversation_id, terms, flagged, round(terms / greatest(1, words), 4) AS rate, flagged = 0 AS is_clean FROM g""")
+def toxicity(spark, d):
+    return seg.toxicity_rate(fx.segments(spark, d), ["the", "die", "que", "is"])
+
+
+@query(f"""{SEG}, b AS (SELECT conversation_id, segment_index, row_number() OVER (PARTITION BY conversation_id ORDER BY start_ms, segment_index) AS k, start_ms, end_ms, speaker, text FROM segments),
+f AS (SELECT *, printf('%d' || chr(10) || '%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d' || chr(10), k, start_ms // 3600000, start_ms // 60000 % 60, start_ms // 1000 % 60, start_ms % 1000, end_ms // 3600000, end_ms // 60000 % 60, end_ms // 1000 % 60, end_ms % 1000) || speaker || ': ' || text || chr(10) AS x FROM b)
+SELECT conversation_id, string_agg(x, chr(10) ORDER BY k) AS srt FROM f GROUP BY 1""")
+def export_transcripts(spark, d):
+    return seg.export_srt(fx.segments(spark, d))
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, CAST(sum(n_words) OVER w AS BIGINT) AS words_so_far, CAST(sum(length(text)) OVER w AS BIGINT) AS chars_so_far FROM segments WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index)")
+def running_transcript(spark, d):
+    return seg.running_transcript(fx.segments(spark, d))
+
+
+@query(f"""{SEG}, c AS (SELECT conversation_id, max(created_at) AS created_at, string_agg(text, ' ' ORDER BY segment_index) AS t FROM segments WHERE sector = 'telecom' GROUP BY 1 ORDER BY created_at DESC, conversation_id LIMIT 200), {fx.HITS_SQL}
+SELECT c.conversation_id, c.created_at, substr(t, 1, 500) AS transcript, coalesce(n, 0) AS hit_count FROM c LEFT JOIN (SELECT conversation_id, count(*) AS n FROM hits GROUP BY 1) h USING (conversation_id)""")
+def list_conversations(spark, d):
+    return gov.list_conversations(fx.segments(spark, d), fx.hits(spark, d), "telecom")
+
+
+@query(f"""{SEG}, {fx.HITS_SQL}, h AS (SELECT conversation_id, sector, agent_id, count(*) AS segments, max(end_ms) AS duration_ms FROM segments GROUP BY ALL)
+SELECT h.*, coalesce(n, 0) AS hits, coalesce(t, '') AS topics FROM h LEFT JOIN (SELECT conversation_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT topic)), ',') AS t FROM hits GROUP BY 1) x USING (conversation_id)""")
+def conversation_detail(spark, d):
+    return gov.conversation_detail(fx.segments(spark, d), fx.hits(spark, d))
+
+
+def _audit(spark, d):
+    return fx.table(spark, d, "events").selectExpr("event_id AS audit_id", "concat('user_', user_id % 20) AS username", "event_type AS action", "ts AS created_at")
+
+
+@query("SELECT event_id AS audit_id, 'user_' || (user_id % 20) AS username, event_type AS action, ts AS created_at FROM events WHERE event_type = 'click' AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20' ORDER BY ts DESC, event_id OFFSET 50 LIMIT 100")
+def audit_search(spark, d):
+    return gov.audit_search(_audit(spark, d), "click", "2024-01-05", "2024-01-20", 50, 100)
+
+
+@query("SELECT event_id AS alert_id, ts AS created_at, value > 50 AS acknowledged FROM events WHERE event_type = 'error' AND NOT value > 50 ORDER BY ts DESC, event_id LIMIT 100")
+def list_alerts(spark, d):
+    alerts = fx.table(spark, d, "events").where("event_type = 'error'").selectExpr("event_id AS alert_id", "ts AS created_at", "value > 50 AS acknowledged")
+    return gov.list_alerts(alerts, False)
+
+
+@query("""SELECT u.rule_id, CASE WHEN u.rule_id % 3 = 1 AND u.rule_id < 150000 THEN 'renamed' ELSE 'part-' || u.rule_id END AS name, CAST(CASE WHEN u.rule_id % 3 = 1 THEN 2 ELSE 1 END AS BIGINT) AS version FROM (SELECT p_partkey AS rule_id FROM part) u WHERE u.rule_id % 3 <> 2""")
+def acknowledge(spark, d):
+    rules = fx.table(spark, d, "part").selectExpr("p_partkey AS rule_id", "concat('part-', p_partkey) AS name", "1 AS version")
+    changes = rules.where("rule_id % 3 > 0").selectExpr("rule_id", "if(rule_id % 3 = 1, 'update', 'delete') AS op", "if(rule_id % 3 = 1, 'renamed', NULL) AS name")
+    return gov.apply_rule_changes(rules, changes)
+
+
+def _users(spark, d):
+    agents = fx.segments(spark, d).selectExpr("agent_id AS username", "'agent' AS role", "team").distinct()
+    return agents.unionByName(agents.groupBy("team").agg(F.lit("team_lead").alias("role")).selectExpr("concat('lead_', team) AS username", "role", "team"))
+
+
+@query(f"{SEG} SELECT DISTINCT conversation_id, agent_id FROM segments WHERE team = 'team_1'")
+def scope_conversations(spark, d):
+    return gov.scope_conversations(fx.segments(spark, d).select("conversation_id", "agent_id").distinct(), _users(spark, d), "lead_team_1")
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, text FROM segments WHERE conversation_id % 5 <> 0")
+def forget_conversations(spark, d):
+    s = fx.segments(spark, d)
+    return gov.forget(s.select("conversation_id", "segment_index", "text"), s.where("conversation_id % 5 = 0"))
+
+
+@query("SELECT o_orderkey AS name, 'done' AS status FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT DISTINCT l_orderkey AS name, 'new' AS status FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+def resume_safe_append(spark, d):
+    done = fx.table(spark, d, "orders").where("o_orderkey % 2 = 0").selectExpr("o_orderkey AS name", "'done' AS status")
+    return gov.append_new(done, fx.table(spark, d, "lineitem").selectExpr("l_orderkey AS name", "'new' AS status"), "name")
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, CASE WHEN segment_index % 2 = 0 AND conversation_id % 2 = 0 THEN 'second' WHEN segment_index % 2 = 0 THEN 'first' ELSE speaker END AS speaker, segment_index % 2 = 0 AS corrected FROM segments")
+def apply_speaker_corrections(spark, d):
+    s = fx.segments(spark, d)
+    one = s.where("segment_index % 2 = 0").selectExpr("conversation_id", "segment_index", "'first' AS new_speaker", "1 AS corrected_at")
+    two = s.where("segment_index % 2 = 0 AND conversation_id % 2 = 0").selectExpr("conversation_id", "segment_index", "'second' AS new_speaker", "2 AS corrected_at")
+    return gov.apply_speaker_corrections(s, one.unionByName(two))
+
+
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS agent, list_cosine_similarity(q.e, p.e) AS score FROM v q JOIN v p ON q.vec_id >= 50 AND p.vec_id < 50),
+b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, agent) AS k FROM s WHERE score > 0)
+SELECT q.vec_id AS query_id, CASE WHEN score >= 0.45 THEN agent END AS agent, round(coalesce(score, 0.0), 6) AS score FROM (SELECT vec_id FROM v WHERE vec_id >= 50) q LEFT JOIN b ON b.query_id = q.vec_id AND k = 1""")
+def match_voiceprints(spark, d):
+    e = fx.table(spark, d, "embeddings").withColumn("model", F.lit("m"))
+    return gov.match_voiceprints(e.where("vec_id >= 50").selectExpr("vec_id AS query_id", "embedding", "model"), e.where("vec_id < 50").selectExpr("vec_id AS agent", "embedding AS print", "model"), 0.45)
+
+
+@query("SELECT event_id AS audit_id, CASE WHEN user_id % 20 < 15 THEN CAST(user_id % 20 AS BIGINT) END AS user_id FROM events")
+def resolve_audit_user(spark, d):
+    users = _audit(spark, d).select("username").distinct().selectExpr("username", "cast(substr(username, 6) AS bigint) AS user_id").where("user_id < 15")
+    return gov.resolve_user(_audit(spark, d), users).select("audit_id", "user_id")
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, CASE WHEN avg_logprob >= -0.35 THEN 'auto' ELSE 'review' END AS queue FROM segments WHERE dur_ms BETWEEN 800 AND 28000 AND speaker <> 'IVR' AND length(trim(text)) > 0")
+def split_pseudo_labels(spark, d):
+    return gov.split_pseudo_labels(fx.segments(spark, d))
+
+
+@query("SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('7|' || doc_id), 1, 8) AS BIGINT) / 4294967296.0 < 0.1 THEN 'dev' ELSE 'train' END AS split FROM documents")
+def protocol_split(spark, d):
+    return gov.protocol_split(fx.table(spark, d, "documents"), "doc_id", 7, 0.1)
+
+
+@query("SELECT count(value) AS n, round(avg(value), 2) AS mean, min(value) AS low, max(value) AS high, round(median(value), 6) AS median FROM events")
+def operational_stats(spark, d):
+    return gov.operational_stats(fx.table(spark, d, "events"), "value")
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, CAST(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60) AS BIGINT) AS wpm FROM segments")
+def wpm(spark, d):
+    return fx.segments(spark, d).select("conversation_id", "segment_index", tx.wpm(F.col("n_words"), F.col("dur_ms")).alias("wpm"))
+
+
+@query("SELECT doc_id, CASE WHEN len(w) < 6 THEN 0.0 ELSE round(1 - len(list_distinct(g)) / len(g), 6) END AS ratio FROM (SELECT doc_id, w, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))")
+def repeated_ngram_ratio(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    return docs.select("doc_id", F.round(tx.repeated_ngram_ratio(F.col("w"), 3), 6).alias("ratio"))
+
+
+@query("SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(100.0 * len(list_filter(w, lambda x: x IN ('the', 'of', 'und', 'de'))) / len(w), 1) END AS ratio FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
+def filler_ratio(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
+    return docs.select("doc_id", tx.filler_ratio(F.col("w"), ["the", "of", "und", "de"]).alias("ratio"))
+
+
+@query("""SELECT doc_id, CASE WHEN n > 400 THEN array_to_string(w[1:120] || w[n // 2 - 39:n // 2 + 40] || w[n - 199:n], ' ') ELSE array_to_string(w, ' ') END AS excerpt FROM (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM documents))""")
+def analysis_excerpt(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", tx.analysis_excerpt(F.col("text")).alias("excerpt"))
+
+
+@query("""WITH r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9]){14,18}')), '[^0-9]', '', 'g') AS n FROM documents),
+g AS (SELECT doc_id, n, list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 1 THEN CAST(substr(n, i, 1) AS INT) * 2 - CASE WHEN CAST(substr(n, i, 1) AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(n, i, 1) AS INT) END)) % 10 AS m FROM r)
+SELECT doc_id, count(*) AS cards FROM g WHERE m = 0 GROUP BY doc_id""")
+def pii_counts(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", F.size(tx.card_numbers(F.col("text"))).cast("long").alias("cards")).where("cards > 0")
+
+
+@query(f"{SEG} SELECT domain, edits, words, round(100.0 * edits / words, 4) AS wer, round(100 - 100.0 * edits / words, 4) AS accuracy FROM (SELECT sector AS domain, count(*) AS edits, CAST(sum(n_words) AS BIGINT) AS words FROM segments WHERE n_words > 0 GROUP BY sector)")
+def corpus_wer(spark, d):
+    """Each segment against itself with one word more in front: one edit a segment."""
+    s = fx.segments(spark, d).where("n_words > 0")
+    return seg.corpus_wer(s.selectExpr("sector AS domain", "text AS reference", "concat('zzz ', text) AS hypothesis"))
+
+
+def smooth_speakers(spark, d):
+    return seg.smooth_speakers(fx.segments(spark, d))
+
+
+def dedup_loops(spark, d):
+    return seg.dedup_loops(fx.segments(spark, d))
+
+
+#: Folds over what was kept, which SQL cannot say; tests hold them against a loop.
+QUERIES |= {"smooth_speakers": smooth_speakers, "dedup_loops": dedup_loops}
