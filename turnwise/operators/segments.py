@@ -8,8 +8,14 @@ from pyspark.sql.window import Window
 
 from turnwise.functions import text as tx
 
-CALL = Window.partitionBy("conversation_id").orderBy("segment_index")
-BEFORE = CALL.rowsBetween(Window.unboundedPreceding, -1)
+
+def _call():
+    """The lines of a call in order."""
+    return Window.partitionBy("conversation_id").orderBy("segment_index")
+
+
+def _before():
+    return _call().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def sequential_scan(df: DataFrame, keys: list[str], order: list[str], init: Column, step) -> DataFrame:
@@ -36,7 +42,7 @@ def dedup_loops(segments: DataFrame, gap_ms: int = 25_000, short_gap_ms: int = 1
 
 def smooth_speakers(segments: DataFrame, most_words: int = 3, gap_ms: int = 1500) -> DataFrame:
     """A short line between two of one other speaker, close to both, takes their speaker; a change is seen by the next line."""
-    nxt = lambda c: F.lead(c).over(CALL)
+    nxt = lambda c: F.lead(c).over(_call())
     rows = segments.select("conversation_id", "segment_index", "start_ms", "end_ms", "speaker", "n_words", nxt("speaker").alias("ns"), nxt("start_ms").alias("nstart"))
     empty = F.array().cast("array<struct<segment_index:bigint,start_ms:bigint,end_ms:bigint,speaker:string,n_words:bigint,ns:string,nstart:bigint>>")
 
@@ -76,13 +82,13 @@ def transcript_search(segments: DataFrame, query: str) -> DataFrame:
 def neighbour_context(segments: DataFrame, below: float = -0.7, chars: int = 200) -> DataFrame:
     """Uncertain lines with the start of the line before and after."""
     cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, chars)
-    rows = segments.select("conversation_id", "segment_index", "avg_logprob", cut(F.lag("text").over(CALL)).alias("before"), cut(F.lead("text").over(CALL)).alias("after"))
+    rows = segments.select("conversation_id", "segment_index", "avg_logprob", cut(F.lag("text").over(_call())).alias("before"), cut(F.lead("text").over(_call())).alias("after"))
     return rows.where(F.col("avg_logprob") < below).drop("avg_logprob")
 
 
 def rescue_candidates(segments: DataFrame, below: float = -0.5, most: int = 8) -> DataFrame:
     """The first uncertain lines of each channel, 0.3 to 15 s long, with the latest confident text before them."""
-    rows = segments.withColumn("context", F.last(F.when(F.col("avg_logprob") >= below, F.col("text")), ignorenulls=True).over(BEFORE)).where((F.col("avg_logprob") < below) & F.col("dur_ms").between(300, 15_000))
+    rows = segments.withColumn("context", F.last(F.when(F.col("avg_logprob") >= below, F.col("text")), ignorenulls=True).over(_before())).where((F.col("avg_logprob") < below) & F.col("dur_ms").between(300, 15_000))
     rank = F.row_number().over(Window.partitionBy("conversation_id", "speaker").orderBy("segment_index"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= most).select("conversation_id", "segment_index", "speaker", F.col("rank").cast("long").alias("rank"), "context")
 
@@ -115,22 +121,22 @@ def align_segments_to_turns(segments: DataFrame, turns: DataFrame, bucket_ms: in
 
 def crosstalk_adjacent(segments: DataFrame, least_ms: int = 100) -> DataFrame:
     """Following lines of different speakers that overlap."""
-    rows = segments.withColumn("ns", F.lead("speaker").over(CALL)).withColumn("nstart", F.lead("start_ms").over(CALL)).withColumn("overlap_ms", F.col("end_ms") - F.col("nstart"))
+    rows = segments.withColumn("ns", F.lead("speaker").over(_call())).withColumn("nstart", F.lead("start_ms").over(_call())).withColumn("overlap_ms", F.col("end_ms") - F.col("nstart"))
     return rows.where((F.col("ns") != F.col("speaker")) & (F.col("overlap_ms") > least_ms)).select("conversation_id", "segment_index", "overlap_ms", F.when(F.col("overlap_ms") > 1000, "high").otherwise("low").alias("intensity"))
 
 
 def interruptions(segments: DataFrame, agent: str) -> DataFrame:
     """Lines of the agent that begin 0.7 to 2.5 s before another speaker's line, of at least 0.8 s, has ended."""
-    rows = segments.where(F.length("text") >= 2).select("*", F.max("end_ms").over(BEFORE).alias("till"), F.lag("speaker").over(CALL).alias("ps"), F.lag("dur_ms").over(CALL).alias("pd"))
+    rows = segments.where(F.length("text") >= 2).select("*", F.max("end_ms").over(_before()).alias("till"), F.lag("speaker").over(_call()).alias("ps"), F.lag("dur_ms").over(_call()).alias("pd"))
     over = F.col("till") - F.col("start_ms")
     return rows.where((F.col("ps") != F.col("speaker")) & (F.col("speaker") == agent) & (over > 700) & (over <= 2500) & (F.col("pd") >= 800)).select("conversation_id", "segment_index", over.alias("overlap_ms"))
 
 
 def group_text_turns(segments: DataFrame) -> DataFrame:
     """Turns by pauses: over 1.5 s, or over 0.4 s after a question."""
-    gap = F.col("start_ms") - F.lag("end_ms").over(CALL)
-    new = F.coalesce((gap > 1500) | ((gap > 400) & F.lag("text").over(CALL).rlike(r"\?\s*$")), F.lit(False))
-    return segments.withColumn("new", new.cast("long")).select("conversation_id", "segment_index", F.sum("new").over(CALL).alias("turn_group"))
+    gap = F.col("start_ms") - F.lag("end_ms").over(_call())
+    new = F.coalesce((gap > 1500) | ((gap > 400) & F.lag("text").over(_call()).rlike(r"\?\s*$")), F.lit(False))
+    return segments.withColumn("new", new.cast("long")).select("conversation_id", "segment_index", F.sum("new").over(_call()).alias("turn_group"))
 
 
 def merge_regions(segments: DataFrame, pad_ms: int = 300, gap_ms: int = 3000) -> DataFrame:
@@ -144,7 +150,7 @@ def merge_regions(segments: DataFrame, pad_ms: int = 300, gap_ms: int = 3000) ->
 def identify_roles(segments: DataFrame, agent_phrases: list[str], customer_phrases: list[str]) -> DataFrame:
     """Points for each speaker; the most is the agent, the next the customer (ties by speaker)."""
     held = lambda ps: sum((F.contains(F.lower("text"), F.lit(p)).cast("long") for p in ps), F.lit(0))
-    lines = segments.withColumn("opens", (F.row_number().over(CALL) == 1).cast("long")).withColumn("p", 5 * held(agent_phrases) - 3 * held(customer_phrases) - 2 * F.regexp_count("text", F.lit(r"\?")))
+    lines = segments.withColumn("opens", (F.row_number().over(_call()) == 1).cast("long")).withColumn("p", 5 * held(agent_phrases) - 3 * held(customer_phrases) - 2 * F.regexp_count("text", F.lit(r"\?")))
     points = lines.groupBy("conversation_id", "speaker").agg((F.sum("p") + 4 * F.max("opens") + F.when(F.avg("n_words") > 12, 3).otherwise(0)).alias("points"))
     rank = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("points"), "speaker"))
     return points.withColumn("rank", rank).select("conversation_id", "speaker", "points", F.when(F.col("rank") == 1, "agent").when(F.col("rank") == 2, "customer").otherwise("other").alias("role"))
@@ -180,5 +186,5 @@ def export_srt(segments: DataFrame) -> DataFrame:
 
 def running_transcript(segments: DataFrame) -> DataFrame:
     """The words and characters said up to each line, and the first line of the call."""
-    upto = CALL.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _call().rowsBetween(Window.unboundedPreceding, 0)
     return segments.select("conversation_id", "segment_index", F.sum("n_words").over(upto).alias("words_so_far"), F.sum(F.length("text").cast("long")).over(upto).alias("chars_so_far"))
