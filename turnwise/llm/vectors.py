@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,6 +12,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, components
 
 
+@lru_cache(4)
+def _projection(d: int, tables: int, projections: int, width: float, seed: int):
+    """Gaussian directions, offsets and the mixer that joins the quantised values of a table."""
+    draw = np.random.default_rng(seed + d)
+    return draw.standard_normal((tables * projections, d)).T.copy(), draw.uniform(0, width, tables * projections), draw.integers(1, 1 << 62, projections) * 2 + 1
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, tables: int = 100, projections: int = 16, width: float = 2.0, chunk: int = 512, seed: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector; a link is a cosine of at least `threshold`, in double precision.
 
@@ -36,10 +45,8 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
             yield own, d, x / np.sqrt((x * x).sum(1, keepdims=True))
 
     def codes(x, d):
-        draw = np.random.default_rng(seed + d)
-        a, b = draw.standard_normal((tables, projections, d)), draw.uniform(0, width, (tables, projections))
-        mixer = draw.integers(1, 1 << 62, projections) * 2 + 1
-        return np.stack([(np.floor((x @ a[t].T + b[t]) / width).astype(np.int64) * mixer).sum(1) for t in range(tables)], 1) + d
+        a, b, mixer = _projection(d, tables, projections, width, seed)
+        return (np.floor((x @ a + b) / width).astype(np.int64).reshape(len(x), tables, projections) * mixer).sum(2) + d
 
     def key_rows(batches):
         for whole in batches:
@@ -58,50 +65,52 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     blocks = blocks.select("t", F.xxhash64("t", "code", "b.i", "b.j").alias("block"), F.when(F.col("b.i") == F.col("b.j"), F.lit(2)).when(F.col("part") == F.col("b.i"), F.lit(0)).otherwise(F.lit(1)).alias("side"), "cls")
     full = blocks.join(classes, "cls")
 
-    def compare(rows_of_block, t):
-        ids, copies, side = (np.concatenate([b.column(k).to_numpy() for b in rows_of_block]) for k in ("cls", "copies", "side"))
-        batch = pa.Table.from_batches(rows_of_block).combine_chunks().to_batches()[0]
+    def compare(rows):
+        """Links of the blocks in rows, which hold whole blocks, sorted."""
+        batch = rows.combine_chunks().to_batches()[0]
+        block, t, side, ids, copies = (batch.column(k).to_numpy() for k in ("block", "t", "side", "cls", "copies"))
         for own, d, x in units(batch):
-            c, side_, id_, copies_ = codes_of(x, d), side[own], ids[own], copies[own]
-            left, right = np.flatnonzero(side_ != 1), np.flatnonzero(side_ != 0)
-            i, j = np.nonzero(x[left] @ x[right].T >= threshold - 1e-9)
-            i, j = left[i], right[j]
-            keep = (i < j) if (side_ == 2).any() else np.ones(len(i), bool)
-            i, j = i[keep], j[keep]
-            for earlier in range(t):
+            _, first, of_id = np.unique(ids[own], return_index=True, return_inverse=True)
+            code = None
+            cuts = [0, *(np.flatnonzero(block[own][1:] != block[own][:-1]) + 1).tolist(), len(own)]
+            for s, e in zip(cuts, cuts[1:], strict=False):
+                if e - s < 2:
+                    continue
+                y = x[s:e]
+                i, j = np.nonzero(y @ y.T >= threshold - 1e-9)
+                sides = side[own[s:e]]
+                # within a chunk each pair once; between two chunks from the first to the second
+                keep = (i < j) if sides[0] == 2 else (sides[i] == 0) & (sides[j] == 1)
+                i, j = i[keep] + s, j[keep] + s
                 if not len(i):
-                    break
-                fresh = c[i, earlier] != c[j, earlier]
-                i, j = i[fresh], j[fresh]
-            same = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
-            i, j = i[same], j[same]
-            yield id_[i], id_[j], copies_[i], copies_[j]
-
-    def codes_of(x, d):
-        return codes(x, d)
+                    continue
+                now = int(t[own[s]])
+                if now and code is None:
+                    code = codes(x[first], d)
+                for earlier in range(now):
+                    fresh = code[of_id[i], earlier] != code[of_id[j], earlier]
+                    i, j = i[fresh], j[fresh]
+                    if not len(i):
+                        break
+                same = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
+                i, j = own[i[same]], own[j[same]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(copies[i]), pa.array(copies[j])], ["a", "b", "ca", "cb"])
 
     def linked(batches):
-        waiting, key = [], None
-
-        def done():
-            for a, b, ca, cb in compare(waiting, key[0]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(ca), pa.array(cb)], ["a", "b", "ca", "cb"])
-
+        waiting = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            block = batch.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                at = (batch.column("t")[s].as_py(), int(block[s]))
-                if waiting and at != key:
-                    yield from done()
-                    waiting = []
-                key = at
-                waiting.append(batch.slice(s, e - s))
-        if waiting:
-            yield from done()
+            rows = pa.Table.from_batches([batch])
+            rows = rows if waiting is None else pa.concat_tables([waiting, rows])
+            block = rows.column("block").to_numpy()
+            begin = int(np.flatnonzero(block == block[-1])[0])  # the last block may go on in the next batch
+            if begin:
+                yield from compare(rows.slice(0, begin))
+            waiting = rows.slice(begin)
+        if waiting is not None:
+            yield from compare(waiting)
 
     pairs = tmp.table(full.repartition("block").sortWithinPartitions("block").select("t", "block", "side", "cls", "copies", "v").mapInArrow(linked, "a long, b long, ca long, cb long"))
     counts = pairs.select(F.col("a").alias("cls"), F.col("cb").alias("n")).union(pairs.select("b", "ca")).groupBy("cls").agg(F.sum("n").alias("n"))
