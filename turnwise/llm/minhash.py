@@ -92,7 +92,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents with the same set form a class. Candidate pairs of classes are those that share a factor key of each collection;
     a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A class is first compared
-    with its smallest partner, then with the smallest of each bucket where components differ, so that large groups collapse;
+    with its most copied partner, then with the most copied of a bucket where components differ, so that large groups collapse;
     members of a bucket that are still in different components are then compared with each other, so no candidate goes unchecked.
 
     Null and empty texts have an empty set and stay alone; so does a null id, whose component is null and which is kept. Rows
@@ -103,26 +103,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tmp = Scratch(docs.sparkSession)
     rows = tmp.table(shingle_table(docs, id_col, text_col, factors, width, size, seed))
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min_by("keys", "doc_id").alias("keys")))
-    listed = classes.select("cls", F.posexplode("keys").alias("k", "key"))
+    classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min_by("keys", "doc_id").alias("keys"), (-F.count(F.lit(1))).alias("few")))
+    listed = classes.select("cls", "few", F.posexplode("keys").alias("k", "key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = listed.join(shared, "key").groupBy("cls").agg(F.collect_list(F.when(F.col("k") < factors, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("k") >= factors, F.col("key"))).alias("vs"))
-    tables = tmp.table(live.select("cls", "vs", F.explode("us").alias("u")).select("cls", "u", F.explode("vs").alias("v")).select("cls", F.xxhash64("u", "v").alias("bucket")))
-    groups = tables.groupBy("bucket").agg(F.min("cls").alias("rep"), F.max("cls").alias("top")).where("rep < top").select("bucket", "rep")
-    members = tmp.table(tables.join(groups, "bucket").select("bucket", "rep", "cls"))
+    live = listed.join(shared, "key").groupBy("cls").agg(F.min("few").alias("few"), F.collect_list(F.when(F.col("k") < factors, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("k") >= factors, F.col("key"))).alias("vs"))
+    tables = tmp.table(live.select("cls", "few", "vs", F.explode("us").alias("u")).select("cls", "few", "u", F.explode("vs").alias("v")).select("cls", "few", F.xxhash64("u", "v").alias("bucket")))
+    groups = tables.groupBy("bucket").agg(F.min(F.struct("few", "cls")).alias("rep"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket", "rep")
+    members = tmp.table(tables.join(groups, "bucket").select("bucket", "rep", "few", "cls"))
     tmp.drop(tables)
     sets = tmp.table(_sets(docs, id_col, text_col, members.select(F.col("cls").alias("id")).distinct(), size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min("members").alias("members")))
     sized = sets.select(F.col("id").alias("cls"), "n")
-    # each class with its smallest partner, then each open bucket's smallest with the others, then the rest of each open bucket
-    tried = tmp.table(members.where("rep <> cls").groupBy("cls").agg(F.min("rep").alias("a")).select("a", F.col("cls").alias("b")))
+    # each class with its most copied partner, again where buckets are still open, then the rest of each open bucket
+    tried = tmp.table(members.where("rep.cls <> cls").groupBy("cls").agg(F.min("rep").alias("rep")).select(F.least("rep.cls", "cls").alias("a"), F.greatest("rep.cls", "cls").alias("b")).distinct())
     links = tmp.table(_confirmed(tried, sets, percent))
     for step in ("smallest", "rest"):
         found = components(tmp, links)
-        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("cls", "c")).alias("least")).where("lo < hi").select("bucket", "least")
+        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "few", "cls", F.coalesce("component", "cls").alias("c"))
+        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("few", "cls", "c")).alias("least")).where("lo < hi").select("bucket", "least")
         open_ = tmp.table(placed.join(mixed, "bucket").join(sized, "cls"))
         if step == "smallest":
-            pairs = open_.where("c <> least.c").select(F.col("least.cls").alias("a"), F.col("cls").alias("b"))
+            best = open_.where("c <> least.c").groupBy("cls").agg(F.min("least").alias("least"))
+            pairs = best.select(F.least("least.cls", "cls").alias("a"), F.greatest("least.cls", "cls").alias("b"))
         else:
             other = open_.select("bucket", F.col("cls").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
             near = (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
