@@ -46,7 +46,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", keep_quality), ("toxicity", drop_toxic), ("line_dedup", dedup_lines), ("near_dedup", keep_one_of_each), ("packing", pack)]
-#: Trained models and tokenizers are not SQL; tests hold every stage against a brute-force version.
+#: Trained models and tokenizers are not SQL.
 ORACLE_SQL = None
 
 
