@@ -11,12 +11,15 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 from .text import list_column, segment_reduce, shingle_sets, signed, slices
 
+#: 64-bit words of a set's bitmap.
+WORDS = 16
+
 
 def _factor_keys(values: np.ndarray, offsets: np.ndarray, factors: int, width: int, seed: int) -> np.ndarray:
     """(documents, 2 * factors): each key joins `width` minima."""
@@ -50,17 +53,35 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, factors: int, wid
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
+def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """(documents, WORDS): a bit for each value that a document's set has in its top bits."""
+    n, bits = len(offsets) - 1, 64 * WORDS
+    flags = np.zeros(n * bits, bool)
+    flags[np.repeat(np.arange(n), np.diff(offsets)) * bits + (values >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(flags.reshape(n, bits), axis=1, bitorder="little").view(np.uint64).reshape(n, WORDS)
+
+
+def can_reach(n: Column, bits: Column, other_n: Column, other_bits: Column, percent: int) -> Column:
+    """Whether two sets can be as similar as `percent`, by their sizes and bitmaps.
+
+    Each bit that only one bitmap has stands for a member, at least, that only that set has; so no pair that is similar enough fails.
+    """
+    alone = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(WORDS)), F.lit(0))
+    both = F.least(n - alone(bits, other_bits), other_n - alone(other_bits, bits))
+    return 100 * both >= percent * (n + other_n - both)
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, n, members) of the wanted ids; a repeated id gives one row."""
+    """(id, n, members, bits) of the wanted ids, a row for each text."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 values, offsets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), list_column(values, offsets)], ["id", "n", "members"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), list_column(values, offsets), list_column(bitmaps(values, offsets).reshape(-1), np.arange(len(offsets)) * WORDS)], ["id", "n", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(run, "id long, n long, members array<long>")
+    return texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(run, "id long, n long, members array<long>, bits array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -94,6 +115,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A class is first compared
     with its most copied partner, then with the most copied of a bucket where components differ, so that large groups collapse;
     members of a bucket that are still in different components are then compared with each other, so no candidate goes unchecked.
+    Those meet once for each left key, and only pairs whose sizes and bitmaps leave the threshold in reach go on to full sets.
 
     Null and empty texts have an empty set and stay alone; so does a null id, whose component is null and which is kept. Rows
     that repeat an id are returned each, their class is that of one of their texts when these differ. Other columns are ignored.
@@ -107,27 +129,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = classes.select("cls", "few", F.posexplode("keys").alias("k", "key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = listed.join(shared, "key").groupBy("cls").agg(F.min("few").alias("few"), F.collect_list(F.when(F.col("k") < factors, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("k") >= factors, F.col("key"))).alias("vs"))
-    tables = tmp.table(live.select("cls", "few", "vs", F.explode("us").alias("u")).select("cls", "few", "u", F.explode("vs").alias("v")).select("cls", "few", F.xxhash64("u", "v").alias("bucket")))
+    tables = tmp.table(live.select("cls", "few", "vs", F.explode("us").alias("u")).select("cls", "few", "u", F.explode("vs").alias("v")).select("cls", "few", "u", F.xxhash64("u", "v").alias("bucket")))
     groups = tables.groupBy("bucket").agg(F.min(F.struct("few", "cls")).alias("rep"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket", "rep")
-    members = tmp.table(tables.join(groups, "bucket").select("bucket", "rep", "few", "cls"))
+    members = tmp.table(tables.join(groups, "bucket").select("bucket", "u", "rep", "few", "cls"))
     tmp.drop(tables)
-    sets = tmp.table(_sets(docs, id_col, text_col, members.select(F.col("cls").alias("id")).distinct(), size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min("members").alias("members")))
-    sized = sets.select(F.col("id").alias("cls"), "n")
+    sets = tmp.table(_sets(docs, id_col, text_col, members.select(F.col("cls").alias("id")).distinct(), size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min_by("bits", "members").alias("bits"), F.min("members").alias("members")))
+    sized = sets.select(F.col("id").alias("cls"), "n", "bits")
+    right_keys = classes.select("cls", F.slice("keys", factors + 1, factors).alias("vs"))
     # each class with its most copied partner, again where buckets are still open, then the rest of each open bucket
     tried = tmp.table(members.where("rep.cls <> cls").groupBy("cls").agg(F.min("rep").alias("rep")).select(F.least("rep.cls", "cls").alias("a"), F.greatest("rep.cls", "cls").alias("b")).distinct())
     links = tmp.table(_confirmed(tried, sets, percent))
     for step in ("smallest", "rest"):
         found = components(tmp, links)
-        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "few", "cls", F.coalesce("component", "cls").alias("c"))
+        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "u", "few", "cls", F.coalesce("component", "cls").alias("c"))
         mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("few", "cls", "c")).alias("least")).where("lo < hi").select("bucket", "least")
-        open_ = tmp.table(placed.join(mixed, "bucket").join(sized, "cls"))
+        open_ = tmp.table(placed.join(mixed, "bucket"))
         if step == "smallest":
             best = open_.where("c <> least.c").groupBy("cls").agg(F.min("least").alias("least"))
             pairs = best.select(F.least("least.cls", "cls").alias("a"), F.greatest("least.cls", "cls").alias("b"))
         else:
-            other = open_.select("bucket", F.col("cls").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"))
-            near = (F.col("a") < F.col("b")) & (F.col("c") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-            pairs = open_.withColumnRenamed("cls", "a").join(other, "bucket").where(near).select("a", "b")
+            one = open_.select("u", F.col("cls").alias("a"), F.col("c").alias("ca")).distinct().join(sized.withColumnRenamed("cls", "a"), "a").join(right_keys.withColumnRenamed("cls", "a"), "a")
+            other = one.withColumnsRenamed({"a": "b", "ca": "cb", "n": "nb", "bits": "bits_b", "vs": "vs_b"})
+            near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
+            near &= can_reach(F.col("n"), F.col("bits"), F.col("nb"), F.col("bits_b"), percent) & F.arrays_overlap("vs", "vs_b")
+            pairs = one.join(other, "u").where(near).select("a", "b")
         fresh = tmp.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         more = tmp.table(_confirmed(fresh, sets, percent))
         both, all_tried = tmp.table(links.unionByName(more)), tmp.table(tried.unionByName(fresh))
