@@ -109,3 +109,8 @@ def protocol_split(ids: DataFrame, key: str, seed: int, dev_share: float) -> Dat
 
 def operational_stats(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.count(column).alias("n"), F.round(F.avg(column), 2).alias("mean"), F.min(column).alias("low"), F.max(column).alias("high"), F.round(F.percentile(column, 0.5), 6).alias("median"))
+
+
+def list_voiceprints(prints: DataFrame) -> DataFrame:
+    """Each enrolled print with the size of its embedding, newest first."""
+    return prints.select("agent", "enrolled_at", F.size("print").cast("long").alias("dimensions")).orderBy(F.desc("enrolled_at"), "agent")

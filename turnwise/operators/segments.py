@@ -188,3 +188,54 @@ def running_transcript(segments: DataFrame) -> DataFrame:
     """The words and characters said up to each line, and the first line of the call."""
     upto = _call().rowsBetween(Window.unboundedPreceding, 0)
     return segments.select("conversation_id", "segment_index", F.sum("n_words").over(upto).alias("words_so_far"), F.sum(F.length("text").cast("long")).over(upto).alias("chars_so_far"))
+
+
+def needs_second_pass(segments: DataFrame, gate: float = 0.45, floor: float = -1.1) -> DataFrame:
+    """Calls to decode again: known but low confidence, or a line under the floor."""
+    low = segments.groupBy("conversation_id").agg(F.count_if(F.col("avg_logprob") < floor).alias("low_lines"))
+    found = asr_confidence(segments).join(low, "conversation_id")
+    return found.withColumn("again", ((F.col("confidence") > 0) & (F.col("confidence") < gate)) | (F.col("low_lines") > 0))
+
+
+def metric_tone(confidences: DataFrame, good: float = 92, warn: float = 75) -> DataFrame:
+    """The colour of a confidence in percent."""
+    percent = 100 * F.col("confidence")
+    return confidences.withColumn("tone", F.when(percent >= good, "good").when(percent >= warn, "warn").otherwise("bad"))
+
+
+def blended_toxicity(segments: DataFrame, terms: list[str]) -> DataFrame:
+    """A call's toxicity from matched words alone: min(0.95, 0.12 * hits + 2 * hits / words), and its band."""
+    hits = F.size(F.filter(tx.tokens(F.col("text")), lambda t: t.isin(terms))).cast("long")
+    found = segments.groupBy("conversation_id").agg(F.sum(hits).alias("hits"), F.sum("n_words").alias("words"))
+    score = F.round(F.least(F.lit(0.95), 0.12 * F.col("hits") + 2.0 * F.col("hits") / F.greatest(F.lit(1), "words")), 6)
+    return found.select("conversation_id", "hits", score.alias("score")).withColumn("band", F.when(F.col("score") > 0.7, "high").when(F.col("score") > 0.4, "medium").otherwise("low"))
+
+
+def align_words_to_turns(segments: DataFrame, turns: DataFrame, word_ms: int = 400, bucket_ms: int = 30_000) -> DataFrame:
+    """Words vote for the turns that hold their middle; a segment's speaker has most votes (ties by name), else its own. Words in several turns are cross-talk."""
+    words = segments.select("conversation_id", "segment_index", F.explode(F.sequence(F.lit(1), F.col("n_words"))).alias("word"), "start_ms", "n_words").where("n_words > 0")
+    words = words.withColumn("mid", F.col("start_ms") + word_ms * (F.col("word") - 1) + word_ms // 2).withColumn("_b", F.floor(F.col("mid") / bucket_ms))
+    spread = turns.withColumn("_b", F.explode(F.sequence(F.floor(F.col("t_start") / bucket_ms), F.floor((F.col("t_end") - 1) / bucket_ms))))
+    met = words.join(spread, ["conversation_id", "_b"]).where("mid >= t_start and mid < t_end")
+    votes = met.groupBy("conversation_id", "segment_index", "turn_speaker").agg(F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("conversation_id", "segment_index").agg(F.min(F.struct((-F.col("n")).alias("n"), "turn_speaker")).alias("m"))
+    crossed = met.groupBy("conversation_id", "segment_index", "word").agg(F.count(F.lit(1)).alias("n")).groupBy("conversation_id", "segment_index").agg(F.count_if(F.col("n") > 1).alias("crossed"))
+    keys = ["conversation_id", "segment_index"]
+    out = segments.select(*keys, "speaker").join(best, keys, "left").join(crossed, keys, "left")
+    return out.select(*keys, F.coalesce("m.turn_speaker", "speaker").alias("speaker"), F.coalesce("crossed", F.lit(0)).alias("crosstalk_words"))
+
+
+def crosstalk_from_regions(regions: DataFrame, segments: DataFrame, high_ms: int = 1000, bucket_ms: int = 30_000) -> DataFrame:
+    """Regions(conversation_id, r_start, r_end) in which at least two speakers are active, with their speakers and intensity."""
+    spread = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket_ms), F.floor((F.col(e) - 1) / bucket_ms))))
+    met = spread(regions, "r_start", "r_end").join(spread(segments.select("conversation_id", "start_ms", "end_ms", "speaker"), "start_ms", "end_ms"), ["conversation_id", "_b"])
+    found = met.where("start_ms < r_end and r_start < end_ms").groupBy("conversation_id", "r_start", "r_end").agg(F.sort_array(F.collect_set("speaker")).alias("s"))
+    return found.where(F.size("s") >= 2).select("conversation_id", "r_start", "r_end", F.array_join("s", ",").alias("speakers"), F.when(F.col("r_end") - F.col("r_start") > high_ms, "high").otherwise("low").alias("intensity"))
+
+
+def reading_paragraphs(segments: DataFrame, sentences: int = 4) -> DataFrame:
+    """The sentences of a line in paragraphs of so many."""
+    parts = F.filter(F.transform(F.split("text", "[.?!]"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = segments.select("conversation_id", "segment_index", F.posexplode(parts).alias("pos", "sentence")).withColumn("paragraph", F.floor(F.col("pos") / sentences))
+    found = rows.groupBy("conversation_id", "segment_index", "paragraph").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("x"))
+    return found.select("conversation_id", "segment_index", "paragraph", F.array_join(F.transform("x", lambda y: y["sentence"]), ". ").alias("text"))

@@ -321,6 +321,54 @@ def match_voiceprints(spark, d):
     return gov.match_voiceprints(e.where("vec_id >= 50").selectExpr("vec_id AS query_id", "embedding", "model"), e.where("vec_id < 50").selectExpr("vec_id AS agent", "embedding AS print", "model"), 0.45)
 
 
+@query(f"""{SEG}, {CONFIDENCE}, l AS (SELECT conversation_id, count(*) FILTER (avg_logprob < -1.1) AS low_lines FROM segments GROUP BY 1)
+SELECT conversation_id, confidence, low_lines, (confidence > 0 AND confidence < 0.45) OR low_lines > 0 AS again FROM c JOIN l USING (conversation_id)""")
+def needs_second_pass(spark, d):
+    return seg.needs_second_pass(fx.segments(spark, d))
+
+
+@query(f"{SEG}, {CONFIDENCE} SELECT *, CASE WHEN 100 * confidence >= 92 THEN 'good' WHEN 100 * confidence >= 75 THEN 'warn' ELSE 'bad' END AS tone FROM c")
+def metric_tone(spark, d):
+    return seg.metric_tone(seg.asr_confidence(fx.segments(spark, d)))
+
+
+@query(f"""{SEG}, h AS (SELECT conversation_id, n_words, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ('the', 'die', 'que', 'is'))) AS n FROM segments),
+s AS (SELECT conversation_id, CAST(sum(n) AS BIGINT) AS hits, round(least(0.95::DOUBLE, 0.12::DOUBLE * sum(n) + 2.0::DOUBLE * sum(n) / greatest(1, sum(n_words))), 6) AS score FROM h GROUP BY 1)
+SELECT *, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS band FROM s""")
+def blended_toxicity(spark, d):
+    return seg.blended_toxicity(fx.segments(spark, d), ["the", "die", "que", "is"])
+
+
+@query(f"""{TURNS}, w AS (SELECT conversation_id, segment_index, word, start_ms + 400 * (word - 1) + 200 AS mid FROM (SELECT *, unnest(range(1, n_words + 1)) AS word FROM segments)),
+m AS (SELECT w.*, turn_speaker FROM w JOIN turns t ON w.conversation_id = t.conversation_id AND mid >= t_start AND mid < t_end),
+b AS (SELECT conversation_id, segment_index, turn_speaker FROM m GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY conversation_id, segment_index ORDER BY count(*) DESC, turn_speaker) = 1),
+x AS (SELECT conversation_id, segment_index, count(*) FILTER (n > 1) AS crossed FROM (SELECT conversation_id, segment_index, word, count(*) AS n FROM m GROUP BY ALL) GROUP BY ALL)
+SELECT conversation_id, segment_index, coalesce(turn_speaker, speaker) AS speaker, coalesce(crossed, 0) AS crosstalk_words FROM segments LEFT JOIN b USING (conversation_id, segment_index) LEFT JOIN x USING (conversation_id, segment_index)""")
+def align_words_to_turns(spark, d):
+    return seg.align_words_to_turns(fx.segments(spark, d), fx.turns(spark, d))
+
+
+@query(f"""{TURNS}, r AS (SELECT DISTINCT s.conversation_id, greatest(start_ms, t_start) AS r_start, least(end_ms, t_end) AS r_end FROM segments s JOIN turns t ON s.conversation_id = t.conversation_id AND t.turn_index = s.segment_index - 1 WHERE start_ms < t_end AND t_start < end_ms),
+f AS (SELECT conversation_id, r_start, r_end, list_sort(list(DISTINCT speaker)) AS s FROM r JOIN segments USING (conversation_id) WHERE start_ms < r_end AND r_start < end_ms GROUP BY ALL)
+SELECT conversation_id, r_start, r_end, array_to_string(s, ',') AS speakers, CASE WHEN r_end - r_start > 1000 THEN 'high' ELSE 'low' END AS intensity FROM f WHERE len(s) >= 2""")
+def crosstalk_from_regions(spark, d):
+    s, t = fx.segments(spark, d), fx.turns(spark, d).selectExpr("conversation_id", "turn_index + 1 AS segment_index", "t_start", "t_end")
+    met = s.join(t, ["conversation_id", "segment_index"]).where("start_ms < t_end and t_start < end_ms")
+    return seg.crosstalk_from_regions(met.selectExpr("conversation_id", "greatest(start_ms, t_start) AS r_start", "least(end_ms, t_end) AS r_end").distinct(), s)
+
+
+@query(f"""{SEG}, p AS (SELECT conversation_id, segment_index, list_filter(list_transform(regexp_split_to_array(text, '[.?!]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM segments),
+e AS (SELECT conversation_id, segment_index, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM p)
+SELECT conversation_id, segment_index, CAST(pos // 4 AS BIGINT) AS paragraph, string_agg(sentence, '. ' ORDER BY pos) AS text FROM e GROUP BY ALL""")
+def reading_paragraphs(spark, d):
+    return seg.reading_paragraphs(fx.segments(spark, d))
+
+
+@query("SELECT vec_id AS agent, TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(vec_id AS INTEGER)) AS enrolled_at, len(embedding) AS dimensions FROM embeddings")
+def list_voiceprints(spark, d):
+    return gov.list_voiceprints(fx.table(spark, d, "embeddings").selectExpr("vec_id AS agent", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(vec_id AS int)) AS enrolled_at", "embedding AS print"))
+
+
 @query("SELECT event_id AS audit_id, CASE WHEN user_id % 20 < 15 THEN CAST(user_id % 20 AS BIGINT) END AS user_id FROM events")
 def resolve_audit_user(spark, d):
     users = _audit(spark, d).select("username").distinct().selectExpr("username", "cast(substr(username, 6) AS bigint) AS user_id").where("user_id < 15")
