@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwise.functions import text as tx
+from turnwise.operators import calls
 from turnwise.operators import governance as gov
 from turnwise.operators import segments as seg
 from turnwise.operators import trends as tr
 from turnwise.sources import fixtures as fx
+from turnwise.streaming import trends as st
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -426,6 +428,143 @@ def corpus_wer(spark, d):
     return seg.corpus_wer(s.selectExpr("sector AS domain", "text AS reference", "concat('zzz ', text) AS hypothesis"))
 
 
+@query(f"""{SEG} SELECT conversation_id, segment_index, coalesce((3 * conversation_id + 5 * segment_index) % 100 / 100 > 0.6::DOUBLE OR (avg_logprob < -0.8 AND 1 + (conversation_id + 2 * segment_index) % 15 / 10 > 1.8::DOUBLE) OR regexp_matches(text, '^[Tt]he '), false) AS dropped FROM segments""")
+def decoder_gate(spark, d):
+    lines = fx.segments(spark, d).selectExpr("*", "((3 * conversation_id + 5 * segment_index) % 100) / 100.0D AS no_speech", "1 + ((conversation_id + 2 * segment_index) % 15) / 10.0D AS compression")
+    return calls.decoder_gate(lines, ["^[Tt]he "])
+
+
+@query("SELECT event_id AS file_id FROM events WHERE ts < TIMESTAMP '2024-01-20' - INTERVAL 24 HOUR")
+def retention_expired(spark, d):
+    return calls.retention_expired(fx.table(spark, d, "events").selectExpr("event_id AS file_id", "ts AS modified_at"), "2024-01-20 00:00:00")
+
+
+@query(f"""{SEG}, o AS (SELECT conversation_id, segment_index, avg_logprob AS a, avg_logprob + ((conversation_id + segment_index) % 5 - 2) / 10 AS b, n_words % 4 AS s, segment_index % 4 AS t FROM segments)
+SELECT conversation_id, segment_index, coalesce((a < -0.5 AND b >= a + 0.1::DOUBLE) OR (b >= a AND t < s), false) AS accepted FROM o""")
+def accept_rescue(spark, d):
+    s = fx.segments(spark, d)
+    old = s.selectExpr("conversation_id", "segment_index", "avg_logprob", "n_words % 4 AS suspects")
+    return calls.accept_rescue(old, s.selectExpr("conversation_id", "segment_index", "avg_logprob + ((conversation_id + segment_index) % 5 - 2) / 10.0D AS new_logprob", "segment_index % 4 AS new_suspects"))
+
+
+@query(f"""{SEG}, f AS (SELECT *, CASE WHEN speaker = 'SPEAKER_01' AND a AND NOT c THEN 'SPEAKER_00' WHEN speaker = 'SPEAKER_00' AND c AND NOT a THEN 'SPEAKER_01' ELSE speaker END AS fixed FROM (SELECT *, contains(lower(text), 'of the') AS a, contains(lower(text), 'und ') AS c FROM segments))
+SELECT conversation_id, segment_index, fixed AS speaker, fixed <> speaker AS flipped, coalesce(start_ms < lag(end_ms) OVER w - 200 AND fixed <> lag(fixed) OVER w, false) AS interrupts FROM f WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index)""")
+def semantic_role_guard(spark, d):
+    return calls.semantic_role_guard(fx.segments(spark, d), "SPEAKER_00", "SPEAKER_01", ["of the"], ["und "])
+
+
+@query(f"""{SEG}, c AS (SELECT conversation_id, lower(string_agg(text, ' ' ORDER BY segment_index)) AS t, count(*) AS n FROM segments GROUP BY 1),
+i AS (SELECT conversation_id, count(*) AS cuts FROM segments WHERE segment_index % 3 = 2 GROUP BY 1),
+m AS (SELECT conversation_id, greatest(0.0::DOUBLE, least(100.0::DOUBLE, 70 + 15 * contains(t, ' the ')::INT - 25 * (contains(t, ' que ')::INT + contains(t, 'und ')::INT))) AS fcr,
+greatest(1.0::DOUBLE, least(5.0::DOUBLE, 1 + 1.5::DOUBLE * contains(t, 'of the')::INT + CASE WHEN coalesce(cuts, 0) / n > 0.15 THEN 1 ELSE 0 END)) AS ces, 34 * contains(t, 'is')::INT + 33 * contains(t, 'die ')::INT + 33 * contains(t, 'que ')::INT AS adherence FROM c LEFT JOIN i USING (conversation_id))
+SELECT *, CASE WHEN fcr >= 75 THEN 'resolved' WHEN fcr <= 40 THEN 'unresolved' ELSE 'pending' END AS status FROM m""")
+def discourse_metrics(spark, d):
+    s = fx.segments(spark, d)
+    return calls.discourse_metrics(s, s.where("segment_index % 3 = 2"), {"positive": [" the "], "negative": [" que ", "und "], "effort": ["of the"], "greeting": ["is"], "notice": ["die "], "closing": ["que "]})
+
+
+@query("SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: starts_with(t, 'the') AND NOT starts_with(t, 'them') AND NOT starts_with(t, 'then'))) AS n FROM documents) WHERE n > 0")
+def excluded_prefix(spark, d):
+    return fx.table(spark, d, "documents").select("doc_id", calls.prefix_hits(F.col("text"), "the", ["them", "then"]).alias("n")).where("n > 0")
+
+
+LABELS = {"positive": ["the", "is"], "negative": ["die", "que", "und"]}
+SHARES = "w AS (SELECT conversation_id, segment_index, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM segments), p AS (SELECT conversation_id, segment_index, len(list_filter(w, lambda t: t IN ('the', 'is'))) / greatest(1, len(w)) AS pos, len(list_filter(w, lambda t: t IN ('die', 'que', 'und'))) / greatest(1, len(w)) AS neg FROM w)"
+EMOTION = f"""{SHARES}, r AS (SELECT *, neg * 0.45::DOUBLE AS a, neg * 0.35::DOUBLE AS f, neg * 0.2::DOUBLE AS x, 1 - pos - neg AS u FROM p), t AS (SELECT *, a + f + pos + x + u AS t FROM r),
+e AS (SELECT conversation_id, segment_index, a / t AS angry, f / t AS frustrated, pos / t AS satisfied, x / t AS anxious, u / t AS neutral, pos - neg AS sentiment FROM t),
+g AS (SELECT *, CASE greatest(angry, frustrated, satisfied, anxious, neutral) WHEN angry THEN 'angry' WHEN frustrated THEN 'frustrated' WHEN satisfied THEN 'satisfied' WHEN anxious THEN 'anxious' ELSE 'neutral' END AS category FROM e)"""
+
+
+@query(f"{SEG}, {SHARES} SELECT conversation_id, segment_index, 'positive' AS label, round(pos, 6) AS score FROM p UNION ALL SELECT conversation_id, segment_index, 'negative', round(neg, 6) FROM p")
+def score_texts(spark, d):
+    return calls.score_texts(fx.segments(spark, d), calls.KEYS, LABELS).withColumn("score", F.round("score", 6))
+
+
+@query(f"{SEG}, {EMOTION} SELECT conversation_id, segment_index, round(angry, 6) AS angry, round(frustrated, 6) AS frustrated, round(satisfied, 6) AS satisfied, round(anxious, 6) AS anxious, round(neutral, 6) AS neutral, round(sentiment, 6) AS sentiment, category FROM g")
+def emotion_scores(spark, d):
+    return calls.emotion_scores(calls.score_texts(fx.segments(spark, d), calls.KEYS, LABELS))
+
+
+@query(f"{SEG}, {EMOTION} SELECT conversation_id, arg_max(category, segment_index) AS emotion FROM g GROUP BY 1")
+def latest_emotion(spark, d):
+    return calls.latest_emotion(calls.emotion_scores(calls.score_texts(fx.segments(spark, d), calls.KEYS, LABELS)))
+
+
+@query("SELECT event_id, CASE WHEN n > 0.7::DOUBLE AND n > p THEN 'high' WHEN n > 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS band FROM (SELECT event_id, event_id % 100 / 100 AS p, event_id * 7 % 100 / 100 AS n FROM events)")
+def negativity_band(spark, d):
+    return fx.table(spark, d, "events").selectExpr("event_id", "(event_id % 100) / 100.0D AS p", "(event_id * 7 % 100) / 100.0D AS n").select("event_id", calls.negativity_band(F.col("p"), F.col("n")).alias("band"))
+
+
+@query(f"{SEG} SELECT conversation_id, min(speaker) <> max(speaker) AND conversation_id % 3 < 2 AS reliable FROM segments GROUP BY conversation_id")
+def separation_reliable(spark, d):
+    heads = fx.segments(spark, d).groupBy("conversation_id").agg(F.min("speaker").alias("agent"), F.max("speaker").alias("customer"))
+    return calls.separation_reliable(heads.withColumn("method", F.expr("element_at(array('stereo', 'neural', 'text'), cast(conversation_id % 3 AS int) + 1)")), ["stereo", "neural"])
+
+
+NEGATED = "len(list_intersect(regexp_extract_all(regexp_extract(substr(t, 1, instr(t, '{0}') - 1), '(?s)(\\S*.{{0,50}})$', 1) || ' ' || regexp_extract(substr(t, instr(t, '{0}') + {1}), '(?s)^(.{{0,50}}\\S*)', 1), '[a-z0-9]+'), ['no', 'is'])) > 0"
+HELD = {p: f"(contains(t, '{p}') AND NOT {NEGATED.format(p, len(p))})" for p in ("of the", "the ", "que ")}
+
+
+@query(f"""{SEG}, l AS (SELECT conversation_id, segment_index, sector, lower(text) AS t FROM segments WHERE speaker = 'SPEAKER_00'),
+v AS (SELECT conversation_id, segment_index, CASE WHEN sector = 'banking' AND {HELD['the ']} THEN 'rate' WHEN {HELD['of the']} THEN 'promise' WHEN {HELD['que ']} THEN 'pressure' END AS violation, 'CRITICAL' AS severity FROM l) SELECT * FROM v WHERE violation IS NOT NULL""")
+def compliance_violations(spark, d):
+    return calls.compliance_violations(fx.segments(spark, d), "SPEAKER_00", [("promise", "of the", None), ("pressure", "que ", None), ("rate", "the ", "banking")], ["no", "is"])
+
+
+@query(f"""{SEG}, x AS (SELECT *, sum(CASE WHEN speaker = 'SPEAKER_01' AND segment_index % 2 = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conversation_id ORDER BY segment_index) AS event FROM segments)
+SELECT conversation_id, 15 * count(DISTINCT event) AS bonus FROM x WHERE event > 0 AND speaker = 'SPEAKER_00' AND n_words > 5 GROUP BY 1""")
+def crisis_bonus(spark, d):
+    return calls.crisis_bonus(fx.segments(spark, d).selectExpr("*", "speaker = 'SPEAKER_01' AND segment_index % 2 = 1 AS angry", "speaker = 'SPEAKER_00' AND n_words > 5 AS positive"))
+
+
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'of')) AS w FROM documents), b AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'of')) AS w FROM benchmark),
+r AS (SELECT unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM b), s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM d) SELECT DISTINCT doc_id FROM s WHERE run IN (SELECT run FROM r)""")
+def prompt_echo(spark, d):
+    return calls.prompt_echo(fx.table(spark, d, "documents").select("doc_id", "text"), fx.table(spark, d, "benchmark").select("text"), ["the", "of"])
+
+
+def _uri_turns(spark, d):
+    return fx.turns(spark, d).selectExpr("concat('call_', conversation_id) AS uri", "t_start", "t_end", "turn_speaker AS speaker")
+
+
+@query(f"{TURNS} SELECT 'call_' || conversation_id AS uri, printf('SPEAKER call_%d 1 %.3f %.3f <NA> <NA> %s <NA> <NA>', conversation_id, t_start / 1000, (t_end - t_start) / 1000, turn_speaker) AS value FROM turns WHERE t_end > t_start")
+def write_rttm(spark, d):
+    return calls.write_rttm(_uri_turns(spark, d))
+
+
+@query(f"{TURNS} SELECT 'call_' || conversation_id AS uri, t_start / 1000 AS start, (t_end - t_start) / 1000 AS duration, turn_speaker AS speaker FROM turns WHERE t_end > t_start")
+def read_rttm(spark, d):
+    return calls.read_rttm(calls.write_rttm(_uri_turns(spark, d)))
+
+
+@query("""WITH r AS (SELECT 'call_' || o_custkey AS stem, o_orderkey % 5 AS k, 'call_' || o_custkey || '.' || ['wav', 'mp3', 'flac', 'm4a', 'txt'][o_orderkey % 5 + 1] AS name FROM orders), m AS (SELECT stem, arg_min(name, k) AS audio FROM r WHERE k < 4 GROUP BY stem)
+SELECT 'call_' || c_custkey AS stem, audio FROM customer LEFT JOIN m ON stem = 'call_' || c_custkey""")
+def pair_audio_reference(spark, d):
+    recordings = fx.table(spark, d, "orders").selectExpr("concat('call_', o_custkey, '.', element_at(array('wav', 'mp3', 'flac', 'm4a', 'txt'), cast(o_orderkey % 5 AS int) + 1)) AS name")
+    return calls.pair_audio_reference(recordings, fx.table(spark, d, "customer").selectExpr("concat('call_', c_custkey) AS stem"))
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, sha256(conversation_id || ':' || segment_index) AS segment_id, CASE WHEN contains(lower(text), 'the') THEN 1 ELSE 0 END AS hits FROM segments")
+def write_analysis(spark, d):
+    s = fx.segments(spark, d)
+    return calls.segment_keys(s, s.where("contains(lower(text), 'the')"))
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, text FROM segments WHERE segment_index % 2 = 0 AND length(trim(text)) > 0")
+def merge_reviewed(spark, d):
+    return calls.merge_reviewed(fx.segments(spark, d).selectExpr("conversation_id", "segment_index", "text", "segment_index % 2 = 0 AS corrected")).drop("corrected")
+
+
+@query(f"{HITS} SELECT window_start, keyword, count(*) AS n FROM (SELECT keyword, date_trunc('day', created_at)::TIMESTAMP - to_days(CAST(unnest(range(7)) AS INTEGER)) AS window_start FROM hits) GROUP BY ALL")
+def streaming_trends(spark, d):
+    return st.streaming_trends(fx.hits(spark, d))
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ('the', 'die', 'que')))), ',') AS terms, 0 AS cards FROM segments")
+def stream_segment_analysis(spark, d):
+    return st.stream_segment_analysis(fx.segments(spark, d), ["the", "die", "que"])
+
+
 def smooth_speakers(spark, d):
     return seg.smooth_speakers(fx.segments(spark, d))
 
