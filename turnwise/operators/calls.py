@@ -171,3 +171,68 @@ def segment_keys(segments: DataFrame, hits: DataFrame) -> DataFrame:
 def merge_reviewed(rows: DataFrame) -> DataFrame:
     """Lines that a person has corrected and left with text."""
     return rows.where(F.col("corrected") & (F.length(F.trim("text")) > 0))
+
+
+def churn_chunks(segments: DataFrame, customer: str, agent_phrases: list[str], listed: list[str], anchors: list[str], lines: int = 5, fast: tuple[float, float] = (190, 1.4), brisk: tuple[float, float] = (160, 1.2)) -> DataFrame:
+    """Risk of each block of a customer's lines: share of listed words, raised by speech rate and place in the call, cut to a tenth without an anchor.
+
+    Lines under 3 characters or with an agent's phrase are left out. A last block of fewer lines counts only if the call ends in it.
+    """
+    place = F.row_number().over(_order()) - 1
+    rows = segments.withColumn("at", place).withColumn("last", F.count(F.lit(1)).over(Window.partitionBy("conversation_id")) - 1)
+    kept = rows.where((F.col("speaker") == customer) & (F.length(F.trim("text")) >= 3) & ~holds_any(F.col("text"), agent_phrases))
+    kept = kept.withColumn("chunk", F.floor((F.row_number().over(_order()) - 1) / lines)).withColumn("w", tx.tokens(F.col("text")))
+    hit = F.size(F.filter("w", lambda t: t.isin(listed)))
+    found = kept.groupBy("conversation_id", "chunk").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at"), F.max("last").alias("last"), F.avg(tx.wpm(F.col("n_words"), F.col("dur_ms"))).alias("wpm"), F.sum(hit).alias("hits"), F.sum(F.size("w")).alias("words"), F.max(holds_any(F.col("text"), anchors)).alias("anchored"))
+    found = found.where((F.col("n") == lines) | (F.col("at") == F.col("last")))
+    weight = 1.0 + 0.5 * F.col("at") / F.greatest(F.lit(1), "last")
+    pace = F.when(F.col("wpm") > fast[0], fast[1]).when(F.col("wpm") > brisk[0], brisk[1]).otherwise(1.0)
+    found = found.withColumn("weight", weight).withColumn("risk", F.least(F.lit(1.0), F.col("hits") / F.greatest(F.lit(1), "words") * pace * F.col("weight")))
+    return found.select("conversation_id", "chunk", "wpm", "weight", F.when(~F.col("anchored") & (F.col("risk") < 0.85), F.col("risk") * 0.1).otherwise(F.col("risk")).alias("risk"))
+
+
+def churn_risk(chunks: DataFrame, competitors: DataFrame, alarm: float = 0.75) -> DataFrame:
+    """A call's risk: 0.65 of its worst block and 0.35 of the weighted mean, with up to 0.2 more for competitors named; alarm and confidence."""
+    found = chunks.groupBy("conversation_id").agg((0.65 * F.max("risk") + 0.35 * F.sum(F.col("risk") * F.col("weight")) / F.sum("weight")).alias("r"), F.count(F.lit(1)).alias("chunks"))
+    more = F.when(F.col("r") > 0.3, F.least(F.lit(0.2), 0.1 * F.coalesce("named", F.lit(0)))).otherwise(0.0)
+    risk = F.least(F.lit(1.0), F.col("r") + more)
+    out = found.join(competitors, "conversation_id", "left").select("conversation_id", "chunks", F.round(risk, 6).alias("risk"), (risk >= alarm).alias("alarm"))
+    return out.withColumn("confidence", F.when(F.col("chunks") >= 4, "high").when(F.col("chunks") >= 2, "medium").otherwise("low"))
+
+
+def executive_summary(docs: DataFrame, sentences: int = 2) -> DataFrame:
+    """The sentences with most of the text's frequent words (of 4 letters or more), in their order; short texts whole."""
+    parts = F.filter(F.transform(F.split("text", "[.?!]"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = docs.where("text is not null").select("doc_id", "text", F.posexplode(parts).alias("pos", "sentence"))
+    words = rows.select("doc_id", "pos", F.explode(F.filter(tx.tokens(F.col("sentence")), lambda t: F.length(t) >= 4)).alias("word"))
+    counted = words.withColumn("f", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "word")))
+    scores = counted.groupBy("doc_id", "pos").agg(F.round(F.sum("f") / F.sqrt(F.count(F.lit(1))), 9).alias("score"))
+    ranked = rows.join(scores, ["doc_id", "pos"], "left").fillna(0.0, ["score"])
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "pos"))
+    top = ranked.withColumn("rank", rank).where(F.col("rank") <= sentences + 1).groupBy("doc_id").agg(F.max("rank").alias("n"), F.first("text").alias("text"), F.sort_array(F.collect_list(F.when(F.col("rank") <= sentences, F.struct("pos", "sentence")))).alias("s"))
+    return top.select("doc_id", F.when(F.col("n") <= sentences, F.col("text")).otherwise(F.array_join(F.transform("s", lambda x: x["sentence"]), ". ")).alias("summary"))
+
+
+def competitors(docs: DataFrame, names: list[str], own: list[str]) -> DataFrame:
+    """(doc_id, name): names that a text holds as a word, or, from 5 letters on, within one edit; own words do not count."""
+    words = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("t")).where(~F.col("t").isin(own))
+    near = lambda n: (F.col("t") == n) | (F.levenshtein(F.col("t"), F.lit(n), 1) >= 0 if len(n) >= 5 else F.lit(False))
+    found = words.select("doc_id", F.explode(F.array_compact(F.array(*[F.when(near(n), n) for n in names]))).alias("name"))
+    return found.distinct()
+
+
+def mix_and_holdout(rows: DataFrame, seed: int, ratio: int, holdout: float) -> DataFrame:
+    """rows(key, queue): all reviewed rows, a keyed share of them held out, and at most `ratio` times as many automatic ones, those of smallest keyed hash.
+
+    Only the counts of 65,536 hash prefixes meet in one task; the exact cut is made inside the one prefix where it falls.
+    """
+    hashed = rows.withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("key").cast("string")))).withColumn("p", F.substring("h", 1, 4))
+    reviewed, auto = hashed.where("queue = 'review'"), hashed.where("queue = 'auto'")
+    counts = auto.groupBy("p").agg(F.count(F.lit(1)).alias("n")).crossJoin(reviewed.agg((ratio * F.count(F.lit(1))).alias("cap")))
+    cuts = counts.withColumn("before", F.sum("n").over(Window.orderBy("p")) - F.col("n")).where("before < cap")
+    met = auto.join(cuts, "p")
+    whole, cut = met.where("before + n <= cap"), met.where("before + n > cap")
+    cut = cut.withColumn("k", F.row_number().over(Window.partitionBy("p").orderBy("h", "key"))).where("before + k <= cap")
+    part = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") / float(1 << 32)
+    kept = reviewed.select("key", F.when(part < holdout, "holdout").otherwise("train").alias("split"))
+    return kept.unionByName(whole.unionByName(cut.drop("k")).select("key", F.lit("train").alias("split")))

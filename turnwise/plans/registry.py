@@ -565,6 +565,50 @@ def stream_segment_analysis(spark, d):
     return st.stream_segment_analysis(fx.segments(spark, d), ["the", "die", "que"])
 
 
+CHUNKS = """a AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) - 1 AS place, count(*) OVER (PARTITION BY conversation_id) - 1 AS final FROM segments),
+k AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) - 1) // 2 AS chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM a WHERE speaker = 'SPEAKER_01' AND length(trim(text)) >= 3 AND NOT contains(lower(text), 'of the')),
+g AS (SELECT conversation_id, chunk, count(*) AS n, max(place) AS place, max(final) AS final, avg(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60)) AS wpm, sum(len(list_filter(w, lambda t: t IN ('the', 'die', 'que', 'und', 'is')))) AS hits, sum(len(w)) AS words, bool_or(contains(lower(text), 'the')) AS anchored FROM k GROUP BY 1, 2),
+r AS (SELECT *, 1 + 0.5::DOUBLE * place / greatest(1, final) AS weight FROM g WHERE n = 2 OR place = final),
+f AS (SELECT *, least(1.0::DOUBLE, hits / greatest(1, words) * CASE WHEN wpm > 190 THEN 1.4::DOUBLE WHEN wpm > 160 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * weight) AS raw FROM r),
+c AS (SELECT conversation_id, chunk, wpm, weight, CASE WHEN NOT anchored AND raw < 0.85 THEN raw * 0.1::DOUBLE ELSE raw END AS risk FROM f)"""
+
+
+def _chunks(spark, d):
+    return calls.churn_chunks(fx.segments(spark, d), "SPEAKER_01", ["of the"], ["the", "die", "que", "und", "is"], ["the"], 2)
+
+
+@query(f"{SEG}, {CHUNKS} SELECT conversation_id, chunk, round(wpm, 6) AS wpm, round(weight, 6) AS weight, round(risk, 6) AS risk FROM c")
+def churn_chunks(spark, d):
+    return _chunks(spark, d).select("conversation_id", "chunk", *[F.round(x, 6).alias(x) for x in ("wpm", "weight", "risk")])
+
+
+@query(f"""{SEG}, {CHUNKS}, q AS (SELECT conversation_id, 0.65::DOUBLE * max(risk) + 0.35::DOUBLE * sum(risk * weight) / sum(weight) AS r, count(*) AS chunks FROM c GROUP BY 1), z AS (SELECT *, least(1.0::DOUBLE, r + CASE WHEN r > 0.3 THEN least(0.2::DOUBLE, 0.1::DOUBLE * (conversation_id % 3)) ELSE 0 END) AS x FROM q)
+SELECT conversation_id, chunks, round(x, 6) AS risk, x >= 0.75 AS alarm, CASE WHEN chunks >= 4 THEN 'high' WHEN chunks >= 2 THEN 'medium' ELSE 'low' END AS confidence FROM z""")
+def churn_risk(spark, d):
+    return calls.churn_risk(_chunks(spark, d), fx.segments(spark, d).selectExpr("conversation_id", "conversation_id % 3 AS named").distinct())
+
+
+@query("""WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.?!]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, text, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM p),
+w AS (SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id, word) AS f FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS word FROM e) WHERE length(word) >= 4),
+c AS (SELECT doc_id, pos, round(sum(f) / sqrt(count(*)), 9) AS score FROM w GROUP BY 1, 2), r AS (SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM e LEFT JOIN c USING (doc_id, pos))
+SELECT doc_id, CASE WHEN max(rank) <= 2 THEN any_value(text) ELSE string_agg(sentence, '. ' ORDER BY pos) FILTER (rank <= 2) END AS summary FROM r GROUP BY doc_id""")
+def executive_summary(spark, d):
+    return calls.executive_summary(fx.table(spark, d, "documents"))
+
+
+@query("""SELECT DISTINCT doc_id, n AS name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), (VALUES ('there'), ('the'), ('which')) v(n) WHERE t <> 'three' AND (t = n OR (length(n) >= 5 AND levenshtein(t, n) <= 1))""")
+def competitors(spark, d):
+    return calls.competitors(fx.table(spark, d, "documents"), ["there", "the", "which"], ["three"])
+
+
+@query(f"""{SEG}, s AS (SELECT conversation_id || ':' || segment_index AS key, CASE WHEN segment_index = 0 THEN 'review' ELSE 'auto' END AS queue FROM segments), h AS (SELECT *, md5('5|' || key) AS h FROM s)
+SELECT key, CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0 < 0.2 THEN 'holdout' ELSE 'train' END AS split FROM h WHERE queue = 'review'
+UNION ALL SELECT key, 'train' FROM (SELECT key, row_number() OVER (ORDER BY h, key) AS k FROM h WHERE queue = 'auto') WHERE k <= 2 * (SELECT count(*) FROM h WHERE queue = 'review')""")
+def mix_and_holdout(spark, d):
+    rows = fx.segments(spark, d).selectExpr("concat(conversation_id, ':', segment_index) AS key", "if(segment_index = 0, 'review', 'auto') AS queue")
+    return calls.mix_and_holdout(rows, 5, 2, 0.2)
+
+
 def smooth_speakers(spark, d):
     return seg.smooth_speakers(fx.segments(spark, d))
 
