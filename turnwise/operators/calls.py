@@ -236,3 +236,30 @@ def mix_and_holdout(rows: DataFrame, seed: int, ratio: int, holdout: float) -> D
     part = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") / float(1 << 32)
     kept = reviewed.select("key", F.when(part < holdout, "holdout").otherwise("train").alias("split"))
     return kept.unionByName(whole.unionByName(cut.drop("k")).select("key", F.lit("train").alias("split")))
+
+
+def best_hypothesis(rows: DataFrame) -> DataFrame:
+    """The profile with the highest score of each recording: confidence, less 4 a filtered line, plus words (at most 160) / 80, 3 x coverage and 2 x quality."""
+    score = F.col("confidence") - 4 * F.col("filtered") + F.least(F.lit(160), "n_words") / 80 + 3 * F.col("coverage") + 2 * F.col("quality")
+    scored = rows.withColumn("score", F.round(score, 6))
+    best = scored.groupBy("recording_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "profile")).alias("m"))
+    return best.select("recording_id", F.col("m.profile").alias("profile"), (-F.col("m.s")).alias("score"))
+
+
+def offset_words(words: Column, offset: Column) -> Column:
+    """An array of struct(word, start, end), in seconds, shifted; times rounded to milliseconds."""
+    return F.transform(words, lambda w: F.struct(w["word"].alias("word"), F.round(w["start"] + offset, 3).alias("start"), F.round(w["end"] + offset, 3).alias("end")))
+
+
+def correct_terms(df: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Patterns replaced in their order; counts the replacements and keeps raw_text where the text has changed, else empty."""
+    out = df.withColumn("raw_text", F.col("text")).withColumn("n_changes", F.lit(0).cast("long"))
+    for pattern, to in rules:
+        out = out.withColumn("n_changes", F.col("n_changes") + F.regexp_count("text", F.lit(pattern))).withColumn("text", F.regexp_replace("text", pattern, to))
+    return out.withColumn("raw_text", F.when(F.col("raw_text") != F.col("text"), F.col("raw_text")).otherwise(""))
+
+
+def crosstalk_eligible(events: DataFrame, least_ms: int = 300) -> DataFrame:
+    """Overlaps long enough to separate, each separated text beside its speaker; texts beyond the speakers are named stream_n, from 1."""
+    pairs = F.transform("texts", lambda t, i: F.struct(F.coalesce(F.get("speakers", i), F.concat(F.lit("stream_"), i + 1)).alias("speaker"), t.alias("text")))
+    return events.where(F.col("t_end") - F.col("t_start") >= least_ms).select("event_id", F.inline(pairs))

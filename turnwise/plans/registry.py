@@ -609,6 +609,29 @@ def mix_and_holdout(spark, d):
     return calls.mix_and_holdout(rows, 5, 2, 0.2)
 
 
+@query("""SELECT recording_id, profile, score FROM (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY score DESC, profile) AS k FROM (SELECT l_orderkey AS recording_id, l_linenumber AS profile, round(l_linenumber * 7 % 10 - 4.0::DOUBLE * (l_partkey % 3) + least(160, l_partkey % 300) / 80 + 3 * ((l_partkey % 10) / 10) + 2 * ((l_suppkey % 10) / 10), 6) AS score FROM lineitem)) WHERE k = 1""")
+def best_hypothesis(spark, d):
+    rows = fx.table(spark, d, "lineitem").selectExpr("l_orderkey AS recording_id", "l_linenumber AS profile", "l_linenumber * 7 % 10 AS confidence", "l_partkey % 3 AS filtered", "l_partkey % 300 AS n_words", "(l_partkey % 10) / 10.0D AS coverage", "(l_suppkey % 10) / 10.0D AS quality")
+    return calls.best_hypothesis(rows)
+
+
+@query(f"{SEG} SELECT conversation_id, segment_index, word, round(0.4::DOUBLE * (word - 1) + start_ms / 1000, 3) AS start, round(0.4::DOUBLE * word + start_ms / 1000, 3) AS \"end\" FROM (SELECT *, unnest(range(1, n_words + 1)) AS word FROM segments)")
+def offset_words(spark, d):
+    lines = fx.segments(spark, d).where("n_words > 0").withColumn("w", F.expr("transform(sequence(1L, n_words), i -> struct(i AS word, 0.4D * (i - 1) AS start, 0.4D * i AS end))"))
+    return lines.select("conversation_id", "segment_index", F.inline(calls.offset_words(F.col("w"), F.col("start_ms") / 1000)))
+
+
+@query("SELECT doc_id, text, CASE WHEN text <> raw THEN raw ELSE '' END AS raw_text, n AS n_changes FROM (SELECT doc_id, text AS raw, regexp_replace(regexp_replace(text, 'the ', 'THE ', 'g'), 'THE o', 'the o', 'g') AS text, CAST(len(regexp_extract_all(text, 'the ')) + len(regexp_extract_all(regexp_replace(text, 'the ', 'THE ', 'g'), 'THE o')) AS BIGINT) AS n FROM documents) WHERE n > 0")
+def correct_terms(spark, d):
+    return calls.correct_terms(fx.table(spark, d, "documents").select("doc_id", "text"), [("the ", "THE "), ("THE o", "the o")]).where("n_changes > 0").select("doc_id", "text", "raw_text", "n_changes")
+
+
+@query(f"{SEG} SELECT conversation_id * 100 + segment_index AS event_id, CASE k WHEN 1 THEN speaker ELSE 'stream_2' END AS speaker, CASE k WHEN 1 THEN lower(text) ELSE text || '!' END AS text FROM segments, (VALUES (1), (2)) v(k) WHERE dur_ms >= 2000")
+def crosstalk_eligible(spark, d):
+    events = fx.segments(spark, d).selectExpr("conversation_id * 100 + segment_index AS event_id", "0 AS t_start", "dur_ms AS t_end", "array(speaker) AS speakers", "array(lower(text), concat(text, '!')) AS texts")
+    return calls.crosstalk_eligible(events, 2000)
+
+
 def smooth_speakers(spark, d):
     return seg.smooth_speakers(fx.segments(spark, d))
 
