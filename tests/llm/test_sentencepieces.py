@@ -26,3 +26,32 @@ def test_edges(spark):
         assert [got[i].decoded for i in range(len(texts))] == texts
     assert got[0].ids is None and got[1].ids == []
     assert encode(docs.limit(0), PATH).count() == 0
+
+
+def test_each_occurrence_of_a_word_has_its_own_merges(spark):
+    text = " thing is understandable" * 200
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, text)], "doc_id long, text string")
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    forms = {}
+    for r in encode(docs, PATH, dropout=0.1, seed=1).collect():
+        words = "".join(model.id_to_piece(i) + "|" for i in r.ids).split("▁")
+        forms[r.doc_id] = [w for w in words if w.replace("|", "") == "understandable"]
+    plain = "".join(model.id_to_piece(i) + "|" for i in model.encode(" understandable")).split("▁")[-1]
+    assert all(len(x) > 150 and len(set(x)) > 3 and 0 < x.count(plain) < len(x) for x in forms.values())
+    assert forms[1] == forms[3] and forms[1] != forms[2][: len(forms[1])]
+
+
+def test_the_cache_changes_no_ids_and_skips_come_at_the_rate():
+    import numpy as np
+
+    from turnwise.llm.sentencepieces import PieceIds, chunk_spans
+
+    text = (" a thing of understandable beauty, is it not?\n日本語 é" * 300).encode()
+    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    starts, ends, first = chunk_spans(data, offsets)
+    pieces = PieceIds(PATH, 0.2, 3)
+    salts = pieces.salts(data, offsets, first)
+    flat, bounds = pieces(data, starts, ends, salts)
+    assert all(flat[bounds[i] : bounds[i + 1]].tolist() == pieces.ids_of(text[starts[i] : ends[i]].decode(), salts[i]) for i in range(len(starts)))
+    gaps = pieces.gaps(salts, 0)
+    assert abs((gaps == 0).mean() - 0.2) < 0.03 and abs((gaps >= 3).mean() - 0.8**3) < 0.04

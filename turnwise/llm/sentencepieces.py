@@ -1,7 +1,10 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding.
 
 Text is cut where no merge can reach: before runs of spaces and around newlines. In each chunk merges leave an agenda by score,
-then from the left; one is skipped when a keyed hash of the seed, the chunk, its place and its piece falls under the dropout.
+then from the left; each is skipped with the chance of the dropout, drawn by a keyed hash for every occurrence of a chunk on its
+own: of the seed, the text, the chunk's number in it and the number of the skip.
+
+Encodings are cached by chunk and skipped steps, so that occurrences which skip the same steps share the work.
 """
 
 from __future__ import annotations
@@ -11,20 +14,25 @@ import heapq
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import ChunkCache
-from .text import slices, text_bytes
+from .text import mix, slices, span_hashes, text_bytes
 
 SPACE = "▁"
+#: Longer chunks, in bytes, hardly repeat with the same skips and are encoded at each occurrence.
+CACHED_BYTES = 64
+#: About how many bytes of text are encoded, and ids decoded, at once.
+SLICE_BYTES = 1_000_000
+DECODED_IDS = 250_000
+_STEP, _ROUND = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
 _LOADED: dict[tuple, PieceIds] = {}
 
 
 class PieceIds(ChunkCache):
-    def __init__(self, path: str, dropout: float, seed: int, most: int = 2_000_000):
+    def __init__(self, path: str, dropout: float, seed: int, most: int = 500_000):
         import sentencepiece
 
         super().__init__(most)
@@ -33,56 +41,124 @@ class PieceIds(ChunkCache):
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.id = {model.id_to_piece(i): i for i in plain}
-        self.score = {model.id_to_piece(i): model.get_score(i) for i in plain}
+        self.order = {model.id_to_piece(i): -model.get_score(i) for i in plain}
         if len(self.byte) != 256 or any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.id):
             raise ValueError("the model needs byte fallback and pieces that have spaces at their start only")
-        self.dropout, self.seed = int(dropout * 2**32), seed
-
-    def skipped(self, chunk: str, at: int, piece: str) -> bool:
-        return self.dropout > 0 and xxhash.xxh32_intdigest(f"{at}\0{piece}\0{chunk}", self.seed) < self.dropout
-
-    def pieces(self, chunk: str) -> list[str]:
-        """The pieces of a chunk, its spaces already written as their sign."""
+        self.dropout, self.seed = dropout, np.uint64(seed % 2**64)
+
+    def clear(self) -> None:
+        super().clear()
+        self.steps = np.zeros(0, np.int64)
+
+    def salts(self, data: np.ndarray, offsets: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The random key of each chunk: of the seed, its text and its number in that."""
+        count = np.diff(first)
+        number = np.arange(first[-1] - first[0]) - np.repeat(first[:-1] - first[0], count)
+        return mix(np.repeat(mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ mix(np.array([self.seed]))), count) + number.astype(np.uint64) * _ROUND)
+
+    def gaps(self, salts: np.ndarray, k) -> np.ndarray:
+        """How many steps are taken before the k-th skip, after the one before it."""
+        if not self.dropout:
+            return np.full(np.broadcast_shapes(np.shape(salts), np.shape(k)), 1 << 40, np.int64)
+        drawn = mix(salts ^ mix(np.asarray(k, np.uint64).reshape(np.shape(k) or 1) * _STEP + _ROUND))
+        return np.floor(np.log(((drawn >> np.uint64(11)).astype(np.float64) + 1) / 2.0**53) / np.log1p(-self.dropout)).astype(np.int64)
+
+    def pieces(self, chunk: str, skips: frozenset[int] | set[int]) -> tuple[list[str], int]:
+        """(the pieces of a chunk, its spaces already written as their sign, when these steps are skipped; the number of steps)."""
         symbols, n = list(chunk), len(chunk)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        score, agenda = self.score, []
-
-        def offer(left: int) -> None:
-            right = after[left]
-            if right < n:
-                piece = symbols[left] + symbols[right]
-                if piece in score:
-                    heapq.heappush(agenda, (-score[piece], left, right, piece))
-
-        for i in range(n - 1):
-            offer(i)
+        order, step = self.order, -1
+        agenda = [(order[piece], i, i + 1, piece) for i in range(n - 1) if (piece := chunk[i : i + 2]) in order]
+        heapq.heapify(agenda)
         while agenda:
             _, left, right, piece = heapq.heappop(agenda)
-            if right >= n or after[left] != right or symbols[left] + symbols[right] != piece or not symbols[left] or self.skipped(chunk, left, piece):
+            if right >= n or after[left] != right or symbols[left] + symbols[right] != piece or not symbols[left]:
+                continue
+            step += 1
+            if step in skips:
                 continue
             symbols[left], symbols[right] = piece, ""
-            after[left] = after[right]
-            if after[right] < n:
-                before[after[right]] = left
-            if before[left] >= 0:
-                offer(before[left])
-            offer(left)
-        return [s for s in symbols if s]
-
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out, sizes = [], []
-        for chunk in chunks:
-            ids: list[int] = []
-            # a sign that stands for a space but is in the text itself is spelt in bytes
-            marked = chunk.replace(SPACE, "\0").replace(" ", SPACE) if SPACE in chunk else chunk.replace(" ", SPACE)
-            for piece in self.pieces(marked):
-                if SPACE in chunk:
-                    piece = piece.replace("\0", SPACE + "\0")
-                known = self.id.get(piece)
-                ids += [known] if known is not None else [self.byte[b] for b in piece.replace(SPACE + "\0", SPACE).encode()]
-            out += ids
-            sizes.append(len(ids))
-        return np.array(out, np.uint32), np.array(sizes, np.int64)
+            after[left] = beyond = after[right]
+            if beyond < n:
+                before[beyond] = left
+                offered = piece + symbols[beyond]
+                if offered in order:
+                    heapq.heappush(agenda, (order[offered], left, beyond, offered))
+            ahead = before[left]
+            if ahead >= 0:
+                offered = symbols[ahead] + piece
+                if offered in order:
+                    heapq.heappush(agenda, (order[offered], ahead, left, offered))
+        return [s for s in symbols if s], step + 1
+
+    def ids(self, chunk: str, skips) -> tuple[list[int], int]:
+        ids: list[int] = []
+        # a sign that stands for a space but is in the text itself is spelt in bytes
+        marked = chunk.replace(SPACE, "\0").replace(" ", SPACE) if SPACE in chunk else chunk.replace(" ", SPACE)
+        pieces, steps = self.pieces(marked, skips)
+        for piece in pieces:
+            if SPACE in chunk:
+                piece = piece.replace("\0", SPACE + "\0")
+            known = self.id.get(piece)
+            ids += [known] if known is not None else [self.byte[b] for b in piece.replace(SPACE + "\0", SPACE).encode()]
+        return ids, steps
+
+    def ids_of(self, chunk: str, salt: np.uint64) -> list[int]:
+        """The ids of one occurrence, without the cache."""
+        # a pair is offered once at the start or by a merge beside it: at most three steps a character
+        return self.ids(chunk, set((np.cumsum(self.gaps(salt, np.arange(3 * len(chunk) + 1)) + 1) - 1).tolist()) if self.dropout else frozenset())[0]
+
+    def place(self, keys: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray, skips: np.ndarray) -> np.ndarray:
+        """Where the cache holds each of the ascending keys; those not seen before are encoded from their first occurrence."""
+        if len(self.keys) + len(keys) > self.most:
+            self.clear()
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        new = np.flatnonzero(~known)
+        if len(new):
+            some = first[new]
+            found = [self.ids(raw[s:e].decode(), skip) for s, e, skip in zip(starts[some].tolist(), ends[some].tolist(), skips[some].tolist(), strict=True)]
+            sizes = np.array([len(ids) for ids, _ in found], np.int64)
+            begin = len(self.flat) + np.cumsum(sizes) - sizes
+            self.at, self.size = np.insert(self.at, at[new], begin), np.insert(self.size, at[new], sizes)
+            self.steps = np.insert(self.steps, at[new], np.array([steps for _, steps in found], np.int64))
+            self.keys = np.insert(self.keys, at[new], keys[new])
+            self.flat = np.concatenate([self.flat, np.fromiter((i for ids, _ in found for i in ids), np.uint32, int(sizes.sum()))])
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all chunks data[start:end], offsets of each chunk's)."""
+        raw = data.tobytes()
+        sizes, parts = np.zeros(len(starts), np.int64), []
+        cached = (ends - starts <= CACHED_BYTES) | (self.dropout == 0)
+        lone = np.flatnonzero(~cached)
+        if len(lone):
+            found = [self.ids_of(raw[starts[i] : ends[i]].decode(), salts[i]) for i in lone]
+            sizes[lone] = [len(x) for x in found]
+            parts.append((lone, np.fromiter((i for x in found for i in x), np.uint32, int(sizes[lone].sum()))))
+        # round k: occurrences that skip k steps at least; those that skip no further one are done
+        live, keys = np.flatnonzero(cached), span_hashes(data, starts, ends)[cached]
+        skips, k = np.zeros((len(live), 0), np.int64), 0
+        while len(live):
+            some, first, place = np.unique(keys, return_index=True, return_inverse=True)
+            at = self.place(some, first, raw, starts[live], ends[live], skips)[place]
+            last = skips[:, -1] if k else np.full(len(live), -1, np.int64)
+            skip = last + 1 + self.gaps(salts[live], k)
+            more = skip < self.steps[at]
+            done, own = live[~more], at[~more]
+            sizes[done] = self.size[own]
+            stop = np.cumsum(self.size[own])
+            parts.append((done, self.flat[np.repeat(self.at[own] - stop + self.size[own], self.size[own]) + np.arange(int(stop[-1]) if len(stop) else 0)]))
+            live, keys, skips, k = live[more], mix(keys[more] ^ mix(skip[more].astype(np.uint64) * _STEP + _ROUND)), np.column_stack([skips[more], skip[more]]), k + 1
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        flat = np.zeros(int(bounds[-1]), np.uint32)
+        for which, ids in parts:
+            stop = np.cumsum(sizes[which])
+            flat[np.repeat(bounds[which] - stop + sizes[which], sizes[which]) + np.arange(len(ids))] = ids
+        return flat, bounds
 
 
 def piece_ids(path: str, dropout: float, seed: int) -> PieceIds:
@@ -109,7 +185,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
     """docs with `ids_col`, the piece ids of `text_col` (array<int>), in place of a column of that name.
 
     With dropout 0 the ids are the model's own, except that the sign for a space within the text is spelt in bytes. The same seed
-    gives the same ids for the same text; another seed other merges. A null text gives null, an empty one an empty array.
+    gives the same ids for the same text; another seed, text or place in the text other merges of the same word. A null text gives null, an empty one an empty array.
     """
     if not 0 <= dropout < 1:
         raise ValueError("dropout lies in [0, 1)")
@@ -117,12 +193,13 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: st
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, SLICE_BYTES):
                 texts = part.column(text_col)
                 led = pc.if_else(pc.equal(pc.binary_length(pc.fill_null(texts, "")), 0), "", pc.binary_join_element_wise("", pc.fill_null(texts, ""), " "))
                 data, offsets = text_bytes(led)
                 starts, ends, first = chunk_spans(data, offsets)
-                flat, bounds = piece_ids(model_path, dropout, seed)(data, starts, ends, data)
+                pieces = piece_ids(model_path, dropout, seed)
+                flat, bounds = pieces(data, starts, ends, pieces.salts(data, offsets, first))
                 ids = pa.ListArray.from_arrays(pa.array(bounds[first].astype(np.int32), mask=np.append(texts.is_null().to_numpy(zero_copy_only=False), False)), pa.array(flat.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), ids], [*kept, ids_col])
 
@@ -142,13 +219,18 @@ def decode(docs: DataFrame, model_path: str, ids_col: str = "ids", text_col: str
         size = np.array([len(x) for x in spelt])
         at, flat = np.cumsum(size) - size, np.frombuffer(b"".join(spelt), np.uint8)
         for batch in batches:
-            ids = batch.column(ids_col)
-            values, bounds = ids.values.to_numpy(), ids.offsets.to_numpy()
-            sizes = size[values]
-            stop = np.concatenate([[0], np.cumsum(sizes)])
-            data = flat[np.repeat(at[values] - stop[:-1], sizes) + np.arange(stop[-1])].tobytes()
-            out = [None if none else data[stop[b] : stop[e]].decode(errors="replace")[1:] for none, b, e in zip(ids.is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text_col])
+            count, begin = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False).astype(np.int64), 0
+            total = np.cumsum(count)
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + DECODED_IDS, "right")))
+                part, begin = batch.slice(begin, end - begin), end
+                ids = part.column(ids_col)
+                values, bounds = ids.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+                sizes = size[values]
+                stop = np.concatenate([[0], np.cumsum(sizes)])
+                data = flat[np.repeat(at[values] - stop[:-1], sizes) + np.arange(stop[-1])].tobytes()
+                out = [None if none else data[stop[b] : stop[e]].decode(errors="replace")[1:] for none, b, e in zip(ids.is_null().to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(out, pa.string())], [*kept, text_col])
 
     return docs.select(*kept).mapInArrow(run, docs.select(*kept).schema.add(text_col, "string"))
 
