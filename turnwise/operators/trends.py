@@ -121,7 +121,7 @@ def dashboard_summary(calls: DataFrame, hits: DataFrame, alerts: DataFrame, as_o
 
 def flag_anomalous_topics(calls: DataFrame, anomalies: DataFrame) -> DataFrame:
     """(conversation_id, topic, severity, pct_increase) of the topics of a call that are anomalous now."""
-    return calls.select("conversation_id", "topic").distinct().join(F.broadcast(anomalies.select("topic", "severity", "pct_increase").limit(10_000)), "topic")
+    return calls.select("conversation_id", "topic").distinct().join(anomalies.select("topic", "severity", "pct_increase"), "topic")
 
 
 def token_frequency(texts: DataFrame, column: str, k: int, min_chars: int = 4) -> DataFrame:
