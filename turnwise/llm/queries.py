@@ -47,7 +47,7 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import dedup_lines
 
-    found = dedup_lines(_read(spark, sf_dir, "documents"))
+    found = dedup_lines(_read(spark, sf_dir, "documents"), edits=1, near_chars=20, percent=5)
     return found.select("doc_id", "n_lines", "n_removed", F.char_length("text").cast("long").alias("n_chars_left"), F.sha2("text", 256).alias("text_sha256"))
 
 
