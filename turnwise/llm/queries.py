@@ -66,10 +66,10 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .sentencepieces import decode, digest, encode
+    from .sentencepieces import digest, encode
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    found = decode(encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path), path)
+    found = encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), path, decoded_col="decoded")
     return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest("ids").alias("ids_crc32"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
