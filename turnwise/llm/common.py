@@ -1,11 +1,11 @@
-"""Shared Spark helpers: scratch tables, connected components, the next row in a global order."""
+"""Shared Spark helpers: scratch tables, connected components, the next key in a global order."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,9 +14,11 @@ _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a temporary one where it names none."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a local master, whose tasks share its disk, may name none: it gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="turnwise-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -90,36 +92,17 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
     return roots
 
 
-def next_row(df: DataFrame, key: str, columns: list[str], prefix: str, rows_per_range: int = 200) -> DataFrame:
-    """Add prefix+column for each named column: its value in the row that follows in ascending order of the long `key`; the last row gets the first one's.
+def successors(tmp: Scratch, keys: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
+    """keys(doc_id, h, ...) without repeats, each with `next`, a struct of the row that follows by doc_id and h; the last is followed by the first.
 
-    No window runs over the whole table: rows go to ranges of the key, bounded by quantiles, at most 4096 of them, and the first
-    rows of a range are also dealt, as ghosts, to the range before. One shuffle carries the rows. Ties of `key` are ordered by the
-    columns; null keys come first. A one-row table is followed by itself.
+    Keys go to as many ranges as they need and are ordered in each; only the first key of each range, one in rows_per_range, is
+    ordered in one task. Null ids come first. A single key is followed by itself.
     """
-    spark = df.sparkSession
-    n = df.select(key).count()
-    ranges = max(1, min(4096, n // rows_per_range))
-    bounds = sorted({int(x) for x in df.where(F.col(key).isNotNull()).stat.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.2 / ranges)}) if ranges > 1 else []
-    ranged = df.withColumn("_range", range_of(F.col(key), F.lit(bounds) if bounds else F.array(), len(bounds)))
-    heads = [(r["_range"], r["head"]) for r in ranged.groupBy("_range").agg(F.min(F.struct(F.col(key).isNotNull(), F.col(key).alias("head"))).alias("m")).select("_range", "m.head").sort("_range").collect()]
-    before = [(head, heads[i - 1][0], i == 0) for i, (_, head) in enumerate(heads)]
-    real = ranged.withColumn("_ghost", F.lit(0))
-    if not before:
-        return real.drop("_range", "_ghost").withColumns({f"{prefix}{c}": F.col(c) for c in columns})
-    ghosts = F.broadcast(spark.createDataFrame(before, "_head long, _before int, _wrap boolean"))
-    known = [h for h, _, _ in before if h is not None]
-    at_head = F.col(key).isin(known) | F.col(key).isNull() if len(known) < len(before) else F.col(key).isin(known)
-    extra = ranged.where(at_head).join(ghosts, F.col(key).eqNullSafe(F.col("_head")))
-    extra = extra.withColumn("_range", F.col("_before")).withColumn("_ghost", F.lit(1)).select(*real.columns)
-    order = Window.partitionBy("_range").orderBy("_ghost", F.col(key).asc_nulls_first(), *columns)
-    out = real.unionByName(extra).withColumns({f"{prefix}{c}": F.lead(c).over(order) for c in columns})
-    return out.where("_ghost = 0").drop("_range", "_ghost")
-
-
-def range_of(key: Column, bounds: Column, n: int) -> Column:
-    """How many of the n ascending bounds are at or below key, by halving; 0 for null."""
-    steps = [1 << k for k in reversed(range(n.bit_length()))]
-    if not steps:
-        return F.lit(0)
-    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, step: F.when(F.try_element_at(bounds, at + step) <= key, at + step).otherwise(at))
+    keys = tmp.table(keys)
+    by, row = [F.col("doc_id").asc_nulls_first(), F.col("h")], F.struct(*keys.columns)
+    ranged = tmp.table(keys.repartitionByRange(-(-keys.count() // rows_per_range) or 1, *by).withColumn("r", F.spark_partition_id()))
+    heads = ranged.groupBy("r").agg(F.min_by(row, F.struct(F.col("doc_id").isNotNull(), "doc_id", "h")).alias("head"))
+    over = Window.orderBy("r")
+    after = heads.select("r", F.coalesce(F.lead("head").over(over), F.first("head").over(over)).alias("beyond"))
+    follows = ranged.withColumn("next", F.lead(row).over(Window.partitionBy("r").orderBy(*by)))
+    return tmp.table(follows.join(after, "r").select(*keys.columns, F.coalesce("next", "beyond").alias("next")))
