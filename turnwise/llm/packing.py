@@ -2,8 +2,8 @@
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths is packed on the driver: it has at most
 `capacity` rows whatever the input. Its configuration linear program is solved by multiplicative weights, each step priced by a
-knapsack dynamic program; the integral part of the configurations is kept and what is left goes best-fit. The plan, whose size
-is bounded by the histogram's, is then dealt to the pieces by their rank among those of equal length.
+knapsack dynamic program; the configurations are rounded to whole numbers and what is left goes best-fit. The plan, whose size
+is bounded by the capacity and the number of steps, is then dealt to the pieces by their rank among those of equal length.
 """
 
 from __future__ import annotations
@@ -108,66 +108,114 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
-def price(worth: np.ndarray, lengths: np.ndarray, capacity: int) -> dict[int, int]:
-    """The multiset of lengths of the largest total worth that fits: an unbounded knapsack."""
+def knapsack(worth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the largest total worth, the length added last) for each room: an unbounded knapsack; worth[x] is that of length x, -inf where it does not occur."""
+    capacity, short = len(worth) - 1, int(np.flatnonzero(worth > -np.inf)[0])
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     for room in range(1, capacity + 1):
-        fit = int(np.searchsorted(lengths, room, "right"))
         best[room] = best[room - 1]
-        if fit:
-            value = best[room - lengths[:fit]] + worth[:fit]
+        if room >= short:
+            value = best[room - short :: -1] + worth[short : room + 1]
             k = int(value.argmax())
             if value[k] > best[room]:
-                best[room], took[room] = value[k], lengths[k]
-    out: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if took[room]:
-            out[int(took[room])] = out.get(int(took[room]), 0) + 1
-            room -= int(took[room])
-        else:
-            room -= 1
-    return out
-
-
-def configurations(counts: dict[int, int], capacity: int, steps: int = 250, power: float = 1.2, rate: float = 0.1, share: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """Configurations of the covering program with whole multiplicities, none covering a length more often than it occurs.
-
-    The dual weights start as a power of the length, which favours long pieces, and fall exponentially with the fraction
-    covered; each step adds the priced configuration, `share` of the times that its scarcest length allows and once at least.
+                best[room], took[room] = value[k], k + short
+    return best, took
+
+
+def fills(took: np.ndarray, rooms: np.ndarray) -> np.ndarray:
+    """(depth, rooms): the lengths that fill each room best, 0 where there is no further one."""
+    last = np.maximum.accumulate(np.where(took > 0, np.arange(len(took)), 0))
+    out = []
+    while True:
+        rooms = last[rooms]
+        piece = took[rooms]
+        if not piece.any():
+            return np.array(out, np.int64).reshape(len(out), len(rooms))
+        out.append(piece)
+        rooms = rooms - piece
+
+
+def fractional(counts: dict[int, int], capacity: int, gap: float = 0.01, most_rounds: int = 16) -> tuple[dict[tuple, float], float, float]:
+    """`cover` with 2 rounds, or twice as many until its total and its bound are within `gap`, at most `most_rounds`."""
+    rounds, bound, best = 2, 0.0, None
+    while True:
+        used, total, some = cover(counts, capacity, rounds)
+        bound = max(bound, some)
+        if best is None or total < best[1]:
+            best = used, total
+        if best[1] <= (1 + gap) * bound or 2 * rounds > most_rounds:
+            return *best, bound
+        rounds *= 2
+
+
+def cover(counts: dict[int, int], capacity: int, rounds: int, rate: float = 0.2, near: float = 0.02) -> tuple[dict[tuple, float], float, float]:
+    """(configurations with how often each is used, their total, a lower bound of any packing): the covering program, solved by multiplicative weights.
+
+    A configuration is a tuple of (length, how many), longest first. Each step prices, by one knapsack, the configuration of most
+    dual weight that holds each length. Those within `near` of the best are used, the best first, until some length of theirs is
+    covered once more in this step; the dual weights then fall exponentially with what is covered, so the next step uses other
+    lengths. When every length is covered `rounds` times, the mean of the rounds is the solution. The bound is the best of the dual
+    solutions and of the tokens over the capacity; more rounds and a lower rate bring the two closer.
     """
-    lengths = np.array(sorted(counts))
+    lengths = np.array(sorted(x for x in counts if counts[x] > 0))
     n = np.array([counts[x] for x in lengths.tolist()], float)
-    left, out, index = n.copy(), [], {x: i for i, x in enumerate(lengths.tolist())}
-    for _ in range(steps):
-        open_ = left >= 1
+    at = np.zeros(capacity + 1, np.int64)
+    at[lengths] = np.arange(len(lengths))
+    y, lack = (lengths / capacity) ** 1.02, rounds * n
+    bound, used = float(n @ lengths) / capacity, {}
+    while True:
+        open_ = lack > 1e-6 * n
         if not open_.any():
             break
-        worth = (lengths / capacity) ** power * np.exp(rate * (left / n - 1))
-        chosen = price(worth[open_], lengths[open_], capacity)
-        chosen = {x: min(a, int(left[index[x]])) for x, a in chosen.items()}
-        often = max(1, int(share * min(left[index[x]] / a for x, a in chosen.items())))
-        for x, a in chosen.items():
-            left[index[x]] -= a * often
-        out.append((chosen, often))
-    return out
-
-
-def rounded(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """The leading configurations, as many of five shares of them as give the fewest sequences, and best-fit for the rest."""
-    solved, found = configurations(counts, capacity), []
-    for part in (4, 3, 2, 1, 0):
-        taken, left = solved[: len(solved) * part // 4], dict(counts)
-        for held, m in taken:
-            for x, a in held.items():
-                left[x] -= a * m
-        found.append([*taken, *best_fit(left, capacity)])
-    return min(found, key=lambda groups: sum(m for _, m in groups))
-
-
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best-fit decreasing on a histogram: (what a sequence holds, how many such sequences)."""
+        worth = np.full(capacity + 1, -np.inf)
+        worth[lengths[open_]] = y[open_]
+        best, took = knapsack(worth)
+        bound = max(bound, float(n[open_] @ y[open_]) / best[capacity])
+        value = y[open_] + best[capacity - lengths[open_]]
+        order = np.argsort(-value, kind="stable")
+        order = order[value[order] >= (1 - near) * best[capacity]]
+        forced = lengths[open_][order]
+        columns = fills(took, capacity - forced).T
+        room = np.minimum(n, lack)
+        for i, length in enumerate(forced.tolist()):
+            if room[at[length]] <= 0:
+                continue
+            held, often = np.unique(np.append(columns[i][columns[i] > 0], length), return_counts=True)
+            of = at[held]
+            mass = float((room[of] / often).min())
+            if mass > 1e-6:
+                room[of] -= mass * often
+                key = tuple(zip(held[::-1].tolist(), often[::-1].tolist(), strict=True))
+                used[key] = used.get(key, 0.0) + mass / rounds
+        done = np.minimum(n, lack) - room
+        lack = lack - done
+        y = y * np.exp(-rate * done / n)
+    return used, sum(used.values()), bound
+
+
+def rounded(counts: dict[int, int], capacity: int, share: float = 0.5) -> list[tuple[dict[int, int], int]]:
+    """The configurations of the program in whole numbers, the fullest first, each as often as its pieces are there; the rest goes best-fit, into their free room too.
+
+    A use is rounded up, as long as no more than `share` of the program's total is taken, but one sequence at least: what is left to
+    best-fit then has enough short pieces to fill up with.
+    """
+    used, total, _ = fractional(counts, capacity)
+    left, out, open_ = dict(counts), [], max(1, int(share * total))
+    for key, x in sorted(used.items(), key=lambda kx: (capacity - sum(length * a for length, a in kx[0]), -kx[1], kx[0])):
+        often = min(int(np.ceil(x)), open_, *(left[length] // a for length, a in key))
+        if often > 0:
+            out.append((dict(key), often))
+            open_ -= often
+            for length, a in key:
+                left[length] -= a * often
+    return best_fit(left, capacity, out)
+
+
+def best_fit(counts: dict[int, int], capacity: int, begun: list[tuple[dict[int, int], int]] = ()) -> list[tuple[dict[int, int], int]]:
+    """Best-fit decreasing on a histogram, into `begun` sequences first: (what a sequence holds, how many such sequences)."""
     free: dict[int, list] = {}
+    for held, m in begun:
+        free.setdefault(capacity - sum(x * a for x, a in held.items()), []).append((held, m))
     for x in sorted((x for x in counts if counts[x] > 0), reverse=True):
         left = counts[x]
         for room in [r for r in sorted(free) if r >= x]:
@@ -180,7 +228,7 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[dict[int, int]
                 for many, a in ((full, fit), (odd, left - full * fit)):
                     if many:
                         a = min(a, fit)
-                        free.setdefault(room - a * x, []).append((held | {x: a}, many))
+                        free.setdefault(room - a * x, []).append((held | {x: held.get(x, 0) + a}, many))
                         left -= many * a
                 if m - full - odd:
                     free[room].append((held, m - full - odd))
