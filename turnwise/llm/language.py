@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,23 +22,37 @@ def held_out(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4 == 2
 
 
+@lru_cache(1)
+def categories() -> np.ndarray:
+    """1 for each code point that is a letter, 2 for marks, which go on a word, 0 for others; by Unicode category."""
+    return np.array([{"L": 1, "M": 2}.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+
+
+def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code point, bytes) of the UTF-8 characters that start at these places."""
+    b = [data[np.minimum(at + k, max(0, len(data) - 1))].astype(np.int64) for k in range(4)]
+    size = 1 + (b[0] >= 0xC0).astype(np.int64) + (b[0] >= 0xE0) + (b[0] >= 0xF0)
+    two, three = ((b[0] & 31) << 6) | (b[1] & 63), ((b[0] & 15) << 12) | ((b[1] & 63) << 6) | (b[2] & 63)
+    four = ((b[0] & 7) << 18) | ((b[1] & 63) << 12) | ((b[2] & 63) << 6) | (b[3] & 63)
+    return np.minimum(np.choose(size - 1, [b[0], two, three, four]), 0x10FFFF), size
+
+
 def letters(data: np.ndarray) -> np.ndarray:
-    """Which bytes of UTF-8 text belong to letters: ASCII letters and all beyond ASCII but Latin-1 signs and general punctuation."""
-    is_letter = (data >= 0x80) | ((data >= 97) & (data <= 122)) | ((data >= 65) & (data <= 90))
-    if len(data) > 2:
-        sign = np.flatnonzero(data[:-1] == 0xC2)
-        sign = sign[~np.isin(data[sign + 1], (0xAA, 0xB5, 0xBA))]
-        wide = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] >= 0x80) & (data[1:-1] <= 0xAF))
-        for at in (sign, sign + 1, wide, wide + 1, wide + 2):
-            is_letter[at] = False
-        times = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))
-        is_letter[times] = is_letter[times + 1] = False
-        pictures = np.flatnonzero(data == 0xF0)
-        pictures = pictures[(pictures + 3 < len(data))]
-        pictures = pictures[data[pictures + 1] == 0x9F]
-        for k in range(4):
-            is_letter[pictures + k] = False
-    return is_letter
+    """Which bytes of UTF-8 text belong to letters, and to the marks that follow a letter."""
+    kind = (((data | 32) >= 97) & ((data | 32) <= 122)).astype(np.uint8)
+    lead = np.flatnonzero(data >= 0xC0)
+    code, size = code_points(data, lead)
+    own = categories()[code]
+    for k in range(4):
+        kind[lead[size > k] + k] = own[size > k]
+    if not (own == 2).any():
+        return kind == 1
+    # marks before the first letter of a run belong to none
+    any_ = kind > 0
+    begins = np.flatnonzero(any_ & np.append(True, ~any_[:-1]))
+    seen = np.cumsum(kind == 1)
+    run = np.searchsorted(begins, np.arange(len(data)), "right") - 1
+    return any_ & (seen > np.append(0, seen)[begins[np.maximum(run, 0)]])
 
 
 def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +77,7 @@ def letter_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 def word_scripts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The script of the first letter of each word."""
-    b = [data[np.minimum(starts + k, max(0, len(data) - 1))].astype(np.int64) for k in range(3)]
-    code = np.where(b[0] < 0x80, b[0], np.where(b[0] < 0xE0, ((b[0] & 31) << 6) | (b[1] & 63), ((b[0] & 15) << 12) | ((b[1] & 63) << 6) | (b[2] & 63)))
+    code, _ = code_points(data, starts)
     out = np.zeros(len(starts), np.int64)
     for k, (lo, hi) in enumerate(SCRIPTS):
         out[(code >= lo) & (code <= hi)] = k + 1
@@ -122,12 +138,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float) -> np.ndarray:
     return labels
 
 
-def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int, most_langs: int = 64) -> Model | None:
+def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_docs: int) -> Model | None:
     """Trigram and script counts of a sample, about `sample_docs` labelled documents chosen by a hash of the id."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~F.coalesce(held_out(F.col(id_col)), F.lit(True)))
-    tally = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs + 1).collect()}
-    if len(tally) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
+    tally = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
     langs = sorted(tally)
     if not langs:
         return None
@@ -147,9 +161,8 @@ def learn(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sample_doc
                 of_byte = np.repeat(of_doc, np.diff(offsets))
                 of_word = np.repeat(of_doc, np.diff(first))
                 kind = word_scripts(data, starts)
-                for k in range(len(langs)):
-                    grams[k] += np.bincount(at[inside & (of_byte == k)], minlength=BUCKETS)
-                    scripts[k] += np.bincount(kind[of_word == k], minlength=len(SCRIPTS) + 1)
+                grams += np.bincount(of_byte[inside] * BUCKETS + at[inside], minlength=grams.size).reshape(grams.shape)
+                scripts += np.bincount(of_word * scripts.shape[1] + kind, minlength=scripts.size).reshape(scripts.shape)
         both = np.concatenate([grams, scripts], 1)
         k, b = np.nonzero(both)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(both[k, b])], ["k", "b", "n"])
@@ -165,9 +178,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Learns from at most about `sample_docs` documents that have a language and are not held out (crc32 of the id as text, modulo
     4, is not 2; rows with a null id are never learned from). spans lists the runs of words of one language as (first word, word after the last, lang); words are runs of
-    letters. lang_pred is the language of most letters, ties going to the first by name, and score their share times how far it
+    letters (Unicode category L) and the marks after them. lang_pred is the language of most letters, ties going to the first by name, and score their share times how far it
     leads the second language per word. `und` with score 0 where the text is null or has no letter, or nothing could be learned.
-    Languages are at most 64, else ValueError. Other columns are ignored.
+    The model takes 128 KB for each language learned. Texts of one id are judged each on its own. Other columns are ignored.
     """
     model = learn(docs, id_col, text_col, lang_col, sample_docs)
     spark = docs.sparkSession
