@@ -1,6 +1,6 @@
 import numpy as np
 
-from turnwise.llm.vectors import near_vectors
+from turnwise.llm.vectors import near_vectors, smallest
 
 
 def brute(rows):
@@ -31,3 +31,17 @@ def test_edges(spark):
     alone = [(i, 0, i, True) for i in (7, 7, 8, 9, 10, 11, 12, 13)]
     assert got == sorted([(-1, 0, None, True), (2, 3, 2, True), (3, 3, 2, False), (5, 3, 2, False), (14, 3, 2, False), *alone])
     assert near_vectors(vectors.limit(0)).count() == 0
+
+
+def test_buckets_of_many_chunks(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(0, 1, (3, 8))
+    rows = [(i, (centre[i % 3] + rng.normal(0, 0.12, 8)).tolist()) for i in range(120)] + [(200 + i, rng.normal(0, 1, 8).tolist()) for i in range(40)]
+    rows += [(400 + i, rows[0][1]) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(vectors, chunk=4).collect()}
+    assert got == brute(rows)
+
+
+def test_smallest_reachable():
+    assert smallest(7, np.array([5, 4, 3, 1]), np.array([4, 3, 6, 2])).tolist() == [0, 1, 1, 3, 3, 3, 3]

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
+#: Rows of a chunk that are multiplied at once.
+PANEL = 512
+
 
 @lru_cache(4)
 def _projection(d: int, tables: int, projections: int, width: float, seed: int):
@@ -19,12 +22,28 @@ def _projection(d: int, tables: int, projections: int, width: float, seed: int):
     return draw.standard_normal((tables * projections, d)).T.copy(), draw.uniform(0, width, tables * projections), draw.integers(1, 1 << 62, projections) * 2 + 1
 
 
-def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, tables: int = 100, projections: int = 16, width: float = 2.0, chunk: int = 512, seed: int = 8) -> DataFrame:
+def smallest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest number that each of 0..n-1 reaches by the links (i, j)."""
+    label = np.arange(n)
+    while True:
+        both = np.minimum(label[i], label[j])
+        new = label.copy()
+        np.minimum.at(new, i, both)
+        np.minimum.at(new, j, both)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95, tables: int = 100, projections: int = 16, width: float = 2.0, chunk: int = 2048, seed: int = 8) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each vector; a link is a cosine of at least `threshold`, in double precision.
 
     Equal vectors form a class. A table's bucket is the quantised value of `projections` Gaussian projections of the unit
     vector; a pair at cosine 0.95 is missed by all 100 tables with a chance of 6e-6. Buckets are cut into chunks by a hash of
-    the id and compared chunk by chunk, so none is gathered whole; a pair counts in the first table where it meets.
+    the id and compared chunk by chunk, so none is gathered whole; a pair counts in the first table where it meets. Links never
+    leave the task that finds them: of each block of two chunks come, for each class, its number of links and the smallest class
+    it reaches there, so a large cluster gives rows in the number of its classes and blocks, not of its pairs.
 
     Null vectors, zero vectors and those with null or non-finite components have no links and are kept; so are null ids, whose
     component is null. Vectors of different sizes are never compared. Rows that repeat an id: each row gets the links of its id,
@@ -66,36 +85,40 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     full = blocks.join(classes, "cls")
 
     def compare(rows):
-        """Links of the blocks in rows, which hold whole blocks, sorted."""
+        """(class, its links, the smallest class that it reaches) of the blocks in rows, which hold whole blocks, sorted."""
         batch = rows.combine_chunks().to_batches()[0]
         block, t, side, ids, copies = (batch.column(k).to_numpy() for k in ("block", "t", "side", "cls", "copies"))
         for own, d, x in units(batch):
-            _, first, of_id = np.unique(ids[own], return_index=True, return_inverse=True)
             code = None
+            known, first, of_id = np.unique(ids[own], return_index=True, return_inverse=True)
+            weight = copies[own][first]
             cuts = [0, *(np.flatnonzero(block[own][1:] != block[own][:-1]) + 1).tolist(), len(own)]
             for s, e in zip(cuts, cuts[1:], strict=False):
-                if e - s < 2:
-                    continue
-                y = x[s:e]
-                i, j = np.nonzero(y @ y.T >= threshold - 1e-9)
                 sides = side[own[s:e]]
                 # within a chunk each pair once; between two chunks from the first to the second
-                keep = (i < j) if sides[0] == 2 else (sides[i] == 0) & (sides[j] == 1)
-                i, j = i[keep] + s, j[keep] + s
-                if not len(i):
+                one, two = (np.arange(s, e),) * 2 if sides[0] == 2 else (s + np.flatnonzero(sides == 0), s + np.flatnonzero(sides == 1))
+                if e - s < 2 or not len(one) or not len(two):
                     continue
-                now = int(t[own[s]])
+                now, pairs = int(t[own[s]]), []
                 if now and code is None:
                     code = codes(x[first], d)
-                for earlier in range(now):
-                    fresh = code[of_id[i], earlier] != code[of_id[j], earlier]
-                    i, j = i[fresh], j[fresh]
-                    if not len(i):
-                        break
-                same = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
-                i, j = own[i[same]], own[j[same]]
+                for some in np.split(one, range(PANEL, len(one), PANEL)):
+                    i, j = np.nonzero(x[some] @ x[two].T >= threshold - 1e-9)
+                    i, j = some[i], two[j]
+                    keep = i < j if sides[0] == 2 else np.ones(len(i), bool)
+                    i, j = i[keep], j[keep]
+                    for earlier in range(now):
+                        if not len(i):
+                            break
+                        fresh = code[of_id[i], earlier] != code[of_id[j], earlier]
+                        i, j = i[fresh], j[fresh]
+                    same = np.einsum("nd,nd->n", x[i], x[j]) >= threshold
+                    pairs.append((of_id[i[same]], of_id[j[same]]))
+                i, j = (np.concatenate(p) for p in zip(*pairs, strict=True))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(copies[i]), pa.array(copies[j])], ["a", "b", "ca", "cb"])
+                    n = np.bincount(i, weight[j], len(known)) + np.bincount(j, weight[i], len(known))
+                    met = np.flatnonzero(n)
+                    yield pa.RecordBatch.from_arrays([pa.array(known[met]), pa.array(n[met].astype(np.int64)), pa.array(known[smallest(len(known), i, j)[met]])], ["cls", "n", "least"])
 
     def linked(batches):
         waiting = None
@@ -112,9 +135,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
         if waiting is not None:
             yield from compare(waiting)
 
-    pairs = tmp.table(full.repartition("block").sortWithinPartitions("block").select("t", "block", "side", "cls", "copies", "v").mapInArrow(linked, "a long, b long, ca long, cb long"))
-    counts = pairs.select(F.col("a").alias("cls"), F.col("cb").alias("n")).union(pairs.select("b", "ca")).groupBy("cls").agg(F.sum("n").alias("n"))
-    found = components(tmp, pairs.select("a", "b"))
+    met = tmp.table(full.repartition("block").sortWithinPartitions("block").select("t", "block", "side", "cls", "copies", "v").mapInArrow(linked, "cls long, n long, least long"))
+    counts = met.groupBy("cls").agg(F.sum("n").alias("n"))
+    found = components(tmp, met.select(F.col("cls").alias("a"), F.col("least").alias("b")))
     of_class = classes.join(counts, "cls", "left").join(found.withColumnRenamed("id", "cls"), "cls", "left")
     of_class = of_class.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
     of_id = fine.join(of_class, "v").groupBy("id").agg(F.max("n").alias("n"), F.min("c").alias("c"))
