@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -51,12 +52,13 @@ class Scratch:
 
 
 def components(tmp: Scratch, links: DataFrame) -> DataFrame:
-    """links(a, b) -> (id, component): the smallest id reachable from each id that has a link.
+    """links(a, b) -> (id, component): the smallest id reachable from each id that has a link. Ids are of any type that has an order.
 
     Rounds of hooking each node to its smallest neighbour, shortening the pointers until they reach roots, and contracting the
     links to roots. A round at least halves the nodes that still have links, so the rounds are logarithmic in the longest path.
     Null ids and links of a node to itself are left out; no links give an empty table.
     """
+    none = links.select(F.col("a").alias("id"), F.col("a").alias("component")).limit(0)
     links = tmp.table(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     roots = None
     while not links.isEmpty():
@@ -87,9 +89,27 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
         tmp.drop(links, hook, *([] if roots is None else [roots]))
         links, roots = new_links, new_roots
     tmp.drop(links)
-    if roots is None:
-        return tmp.table(links.sparkSession.createDataFrame([], "id long, component long"))
-    return roots
+    return tmp.table(none) if roots is None else roots
+
+
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", least: int = 2_000, counted: DataFrame | None = None) -> DataFrame:
+    """big joined with small, which has one row at most for each key, where a few keys may hold most rows of big.
+
+    A key with over `least` rows, and over a ten-thousandth of all rows, is dealt to several tasks by a hash of `spread`. So there
+    are at most 10,000 such keys, which are broadcast; keys are counted with partial counts, in `counted` if that
+    holds the same rows at less cost. Null keys meet nothing.
+    """
+    counted = big if counted is None else counted
+    counts = counted.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    total = counted.count()
+    per = max(least, total // 10_000)
+    hot = counts.where(F.col("_n") > per).select(*on, F.ceil(F.col("_n") / per).cast("int").alias("_salts")).collect()  # at most 10,000 rows
+    if not hot:
+        return big.join(small, on, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame([tuple(bytes(v) if isinstance(v, bytearray) else v for v in r) for r in hot], big.select(*on).schema.add("_salts", T.IntegerType())))
+    salted = big.join(hot, on, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_salts")), F.lit(0)).cast("int")).drop("_salts")
+    copies = small.join(hot, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def successors(tmp: Scratch, keys: DataFrame, rows_per_range: int = 50_000) -> DataFrame:
