@@ -47,3 +47,38 @@ def test_edges(spark):
 
 def test_miss_chance():
     assert miss_chance(75, 24, 3) < 5e-6
+
+
+def test_an_id_with_two_texts_keeps_the_links_of_both(spark):
+    a, b = ([f"{k}{i}" for i in range(60)] for k in "ab")
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*b, "more"])), (3, " ".join([*a, "more"])), (4, " ".join(b)), (9, "something else, with no link to any of these")]
+    for some in (rows, rows[1:2] + rows[:1] + rows[2:]):
+        got = {(r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()}
+        assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (9, 9)}
+    # the same without the id that joins them: two groups
+    got = {r.doc_id: r.component_id for r in near_duplicates(spark.createDataFrame([(1, " ".join(a)), *rows[2:5]], "doc_id long, text string")).collect()}
+    assert got == {1: 1, 3: 1, 2: 2, 4: 2}
+
+
+def test_blocks_give_the_pairs_of_a_plain_loop(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from turnwise.llm import minhash as module
+
+    monkeypatch.setattr(module, "BLOCK", 4)
+    draw, rows = random.Random(6), []
+    for i in range(60):
+        full = [(1 << 63) - 1 if draw.random() < 0.7 else draw.getrandbits(62) for _ in range(module.WORDS)]
+        rows.append((draw.randrange(3), (i, i * 7), (draw.randrange(4), 0), draw.randrange(600, 1000), full, [draw.randrange(6) for _ in range(3)]))
+    df = spark.createDataFrame(rows, f"u long, cls {module.CLASS}, c {module.CLASS}, n long, bits array<long>, vs array<long>")
+    want, ones = set(), lambda x: bin(x & (2**64 - 1)).count("1")
+    for x in rows:
+        for y in rows:
+            alone = [sum(ones(p & ~q) for p, q in zip(s[4], t[4])) for s, t in ((x, y), (y, x))]
+            both = min(x[3] - alone[0], y[3] - alone[1])
+            if x[0] == y[0] and x[1] < y[1] and x[2] != y[2] and min(x[3], y[3]) * 100 >= 75 * max(x[3], y[3]) and any(p == q for p, q in zip(x[5], y[5])) and 100 * both >= 75 * (x[3] + y[3] - both):
+                want.add((x[1][0], y[1][0]))
+    got = {(r.a, r.b) for r in module.block_pairs(df, 75).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).collect()}
+    assert got == want and len(want) > 8

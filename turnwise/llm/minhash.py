@@ -11,14 +11,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, join_hot
 from .text import list_column, segment_reduce, shingle_sets, signed, slices
 
 #: 64-bit words of a set's bitmap.
 WORDS = 16
+#: About how many classes of one left key are compared at once.
+BLOCK = 64
+#: A class of equal sets: its smallest id, and a hash of its set, since an id may come with several texts.
+CLASS = "struct<doc:bigint,s:bigint>"
 
 
 def _factor_keys(values: np.ndarray, offsets: np.ndarray, factors: int, width: int, seed: int) -> np.ndarray:
@@ -44,7 +48,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str, factors: int, wid
             for part in slices(batch, "text"):
                 values, offsets = shingle_sets(part.column("text"), size)
                 n = len(offsets) - 1
-                a = segment_reduce(np.add, values * np.uint64(0xD6E8FEB86659FD93), offsets, np.uint64(0))
+                a = _set_sum(values, offsets)
                 b = segment_reduce(np.add, (values ^ (values >> np.uint64(31))) * (values | np.uint64(1)), offsets, np.uint64(0))
                 keys = _factor_keys(values, offsets, factors, width, seed)
                 rows = np.arange(n + 1) * 2 * factors
@@ -61,31 +65,39 @@ def bitmaps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(flags.reshape(n, bits), axis=1, bitorder="little").view(np.uint64).reshape(n, WORDS)
 
 
-def can_reach(n: Column, bits: Column, other_n: Column, other_bits: Column, percent: int) -> Column:
-    """Whether two sets can be as similar as `percent`, by their sizes and bitmaps.
+def can_reach(n, bits, other_n, other_bits, percent: int) -> np.ndarray:
+    """Matrix of which sets of two tables can be as similar as `percent`, by their sizes and bitmaps.
 
     Each bit that only one bitmap has stands for a member, at least, that only that set has; so no pair that is similar enough fails.
     """
-    alone = lambda x, y: sum((F.bit_count(x[i].bitwiseAND(F.bitwise_not(y[i]))) for i in range(WORDS)), F.lit(0))
-    both = F.least(n - alone(bits, other_bits), other_n - alone(other_bits, bits))
+    n, other_n = n[:, None], other_n[None, :]
+    x, y = bits[:, None, :], other_bits[None, :, :]
+    both = np.minimum(n - np.bitwise_count(x & ~y).sum(2, dtype=np.int64), other_n - np.bitwise_count(y & ~x).sum(2, dtype=np.int64))
     return 100 * both >= percent * (n + other_n - both)
 
 
+def _set_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return segment_reduce(np.add, values * np.uint64(0xD6E8FEB86659FD93), offsets, np.uint64(0))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size: int) -> DataFrame:
-    """(id, n, members, bits) of the wanted ids, a row for each text."""
+    """(cls, n, members, bits) of the wanted classes."""
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 values, offsets = shingle_sets(part.column("text"), size)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(np.diff(offsets)), list_column(values, offsets), list_column(bitmaps(values, offsets).reshape(-1), np.arange(len(offsets)) * WORDS)], ["id", "n", "members", "bits"])
+                cls = pa.StructArray.from_arrays([part.column("id"), signed(_set_sum(values, offsets))], ["doc", "s"])
+                yield pa.RecordBatch.from_arrays([cls, pa.array(np.diff(offsets)), list_column(values, offsets), list_column(bitmaps(values, offsets).reshape(-1), np.arange(len(offsets)) * WORDS)], ["cls", "n", "members", "bits"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return texts.join(wanted.select("id"), "id", "left_semi").mapInArrow(run, "id long, n long, members array<long>, bits array<long>")
+    found = texts.join(wanted.select(F.col("cls.doc").alias("id")).distinct(), "id", "left_semi").mapInArrow(run, f"cls {CLASS}, n long, members array<long>, bits array<long>")
+    # an id that is repeated gives its sets again, and those of its other texts
+    return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("members").alias("members"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
+    """The stored pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
     def run(batches):
         for batch in batches:
@@ -102,10 +114,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
-    one = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("members").alias("left"))
-    two = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right"))
-    sized = pairs.join(one.select("a", "na"), "a").join(two.select("b", "nb"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b")
-    return sized.join(two.select("b", "right"), "b").join(one.select("a", "left"), "a").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("members").alias("left"))
+    two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right"))
+    near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    met = join_hot(join_hot(pairs, two, ["b"], "a"), one, ["a"], "b", counted=pairs).where(near)
+    return met.select("a", "b", "left", "right").mapInArrow(run, f"a {CLASS}, b {CLASS}")
+
+
+def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that share a left and a right key, are in different components and can be similar enough, from open_(u, cls, c, n, bits, vs).
+
+    The classes of a left key are dealt to blocks of about BLOCK. Blocks, not classes, are joined, and a key with many blocks is salted
+    over about the root of their number of tasks; only pairs that pass leave.
+    """
+    sizes = open_.groupBy("u").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("blocks"))
+    dealt = open_.join(sizes.withColumn("salts", F.ceil(F.sqrt("blocks"))), "u").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    packed = dealt.groupBy("u", "block", "salts").agg(F.collect_list(F.struct("cls", "c", "n", "bits", "vs")).alias("rows"))
+    one = packed.select("u", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("rows").alias("one"))
+    two = packed.select("u", F.col("block").alias("j"), F.pmod("block", "salts").alias("salt"), F.col("rows").alias("two"))
+
+    def opened(block):
+        rows = block.values
+        name = lambda c: np.stack([rows.field(c).field(k).to_numpy() for k in ("doc", "s")], 1)
+        table = lambda c: rows.field(c).flatten().to_numpy().view(np.uint64).reshape(len(rows), -1)
+        return name("cls"), name("c"), rows.field("n").to_numpy(), table("bits"), table("vs")
+
+    def compare(batches):
+        for batch in batches:
+            for x, y in zip(batch.column("one"), batch.column("two"), strict=True):
+                (a, ca, na, ba, va), (b, cb, nb, bb, vb) = opened(x), opened(y)
+                open_pairs = (ca[:, None, :] != cb[None, :, :]).any(2) & (np.minimum(na[:, None], nb) * 100 >= np.maximum(na[:, None], nb) * percent)
+                open_pairs &= (va[:, None, :] == vb[None, :, :]).any(2)
+                i, j = np.nonzero(open_pairs & can_reach(na, ba, nb, bb, percent))
+                less = (a[i, 0] < b[j, 0]) | ((a[i, 0] == b[j, 0]) & (a[i, 1] < b[j, 1]))
+                lo, hi = np.where(less[:, None], a[i], b[j]), np.where(less[:, None], b[j], a[i])
+                ends = [pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["doc", "s"]) for e in (lo, hi)]
+                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+    return one.join(two, ["u", "salt"]).where("i <= j").select("one", "two").mapInArrow(compare, f"a {CLASS}, b {CLASS}").distinct()
+
+
+def _links_of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): the classes of each id that has several, each linked with its first."""
+    key = F.struct("set_a", "set_b", "n_shingles")
+    several = rows.groupBy("doc_id").agg(F.min(key).alias("first"), F.max(key).alias("last")).where("first <> last")
+    edges = rows.join(several, "doc_id").where(key != F.col("first")).select("first", key.alias("other")).distinct()
+    named = lambda k, x: classes.select(key.alias(k), F.col("cls").alias(x))
+    return edges.join(named("first", "x"), "first").join(named("other", "y"), "other").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, factors: int = 24, width: int = 3, size: int = 5, seed: int = 20) -> DataFrame:
@@ -115,17 +170,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A class is first compared
     with its most copied partner, then with the most copied of a bucket where components differ, so that large groups collapse;
     members of a bucket that are still in different components are then compared with each other, so no candidate goes unchecked.
-    Those meet once for each left key, and only pairs whose sizes and bitmaps leave the threshold in reach go on to full sets.
+    Those meet in blocks of each left key, and only pairs whose sizes and bitmaps leave the threshold in reach go on to full sets.
 
     Null and empty texts have an empty set and stay alone; so does a null id, whose component is null and which is kept. Rows
-    that repeat an id are returned each, their class is that of one of their texts when these differ. Other columns are ignored.
+    that repeat an id are returned each; where its texts differ, the id links their classes. Other columns are ignored.
     """
     if not 0 < percent <= 100:
         raise ValueError("percent lies in 1..100")
     tmp = Scratch(docs.sparkSession)
     rows = tmp.table(shingle_table(docs, id_col, text_col, factors, width, size, seed))
     some = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("cls"), F.min_by("keys", "doc_id").alias("keys"), (-F.count(F.lit(1))).alias("few")))
+    classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.struct(F.min("doc_id").alias("doc"), F.col("set_a").alias("s")).alias("cls"), F.min_by("keys", "doc_id").alias("keys"), (-F.count(F.lit(1))).alias("few")))
     listed = classes.select("cls", "few", F.posexplode("keys").alias("k", "key"))
     shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = listed.join(shared, "key").groupBy("cls").agg(F.min("few").alias("few"), F.collect_list(F.when(F.col("k") < factors, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("k") >= factors, F.col("key"))).alias("vs"))
@@ -133,12 +188,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = tables.groupBy("bucket").agg(F.min(F.struct("few", "cls")).alias("rep"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket", "rep")
     members = tmp.table(tables.join(groups, "bucket").select("bucket", "u", "rep", "few", "cls"))
     tmp.drop(tables)
-    sets = tmp.table(_sets(docs, id_col, text_col, members.select(F.col("cls").alias("id")).distinct(), size).groupBy("id").agg(F.min_by("n", "members").alias("n"), F.min_by("bits", "members").alias("bits"), F.min("members").alias("members")))
-    sized = sets.select(F.col("id").alias("cls"), "n", "bits")
+    sets = tmp.table(_sets(docs, id_col, text_col, members.select("cls").distinct(), size))
+    sized = sets.select("cls", "n", "bits")
     right_keys = classes.select("cls", F.slice("keys", factors + 1, factors).alias("vs"))
     # each class with its most copied partner, again where buckets are still open, then the rest of each open bucket
     tried = tmp.table(members.where("rep.cls <> cls").groupBy("cls").agg(F.min("rep").alias("rep")).select(F.least("rep.cls", "cls").alias("a"), F.greatest("rep.cls", "cls").alias("b")).distinct())
-    links = tmp.table(_confirmed(tried, sets, percent))
+    links = tmp.table(_confirmed(tried, sets, percent).unionByName(_links_of_ids(some, classes)))
     for step in ("smallest", "rest"):
         found = components(tmp, links)
         placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "u", "few", "cls", F.coalesce("component", "cls").alias("c"))
@@ -148,11 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             best = open_.where("c <> least.c").groupBy("cls").agg(F.min("least").alias("least"))
             pairs = best.select(F.least("least.cls", "cls").alias("a"), F.greatest("least.cls", "cls").alias("b"))
         else:
-            one = open_.select("u", F.col("cls").alias("a"), F.col("c").alias("ca")).distinct().join(sized.withColumnRenamed("cls", "a"), "a").join(right_keys.withColumnRenamed("cls", "a"), "a")
-            other = one.withColumnsRenamed({"a": "b", "ca": "cb", "n": "nb", "bits": "bits_b", "vs": "vs_b"})
-            near = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-            near &= can_reach(F.col("n"), F.col("bits"), F.col("nb"), F.col("bits_b"), percent) & F.arrays_overlap("vs", "vs_b")
-            pairs = one.join(other, "u").where(near).select("a", "b")
+            pairs = block_pairs(open_.select("u", "cls", "c").distinct().join(sized, "cls").join(right_keys, "cls"), percent)
         fresh = tmp.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
         more = tmp.table(_confirmed(fresh, sets, percent))
         both, all_tried = tmp.table(links.unionByName(more)), tmp.table(tried.unionByName(fresh))
@@ -161,7 +212,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = components(tmp, links)
     tmp.drop(tried, sets, members, links)
     of_class = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "cls").alias("c"))
-    out = rows.drop("keys").join(of_class, ["set_a", "set_b", "n_shingles"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    out = join_hot(rows.drop("keys"), of_class, ["set_a", "set_b", "n_shingles"], "doc_id", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c.doc", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
