@@ -96,7 +96,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, size:
     return found.join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("n").alias("n"), F.min("bits").alias("bits"), F.min("members").alias("members"))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(tmp: Scratch, pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The stored pairs (a, b) with 100 * intersection >= percent * union, on full sets."""
 
     def run(batches):
@@ -117,7 +117,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("members").alias("left"))
     two = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("members").alias("right"))
     near = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    met = join_hot(join_hot(pairs, two, ["b"], "a"), one, ["a"], "b", counted=pairs).where(near)
+    # sizes first, so that full sets travel for pairs that can be near only
+    sized = join_hot(join_hot(pairs, two.drop("right"), ["b"], "a"), one.drop("left"), ["a"], "b", counted=pairs)
+    sized = tmp.table(sized.where(near).select("a", "b"))
+    met = join_hot(join_hot(sized, two.drop("nb"), ["b"], "a"), one.drop("na"), ["a"], "b", counted=sized)
     return met.select("a", "b", "left", "right").mapInArrow(run, f"a {CLASS}, b {CLASS}")
 
 
@@ -193,7 +196,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     right_keys = classes.select("cls", F.slice("keys", factors + 1, factors).alias("vs"))
     # each class with its most copied partner, again where buckets are still open, then the rest of each open bucket
     tried = tmp.table(members.where("rep.cls <> cls").groupBy("cls").agg(F.min("rep").alias("rep")).select(F.least("rep.cls", "cls").alias("a"), F.greatest("rep.cls", "cls").alias("b")).distinct())
-    links = tmp.table(_confirmed(tried, sets, percent).unionByName(_links_of_ids(some, classes)))
+    links = tmp.table(_confirmed(tmp, tried, sets, percent).unionByName(_links_of_ids(some, classes)))
     for step in ("smallest", "rest"):
         found = components(tmp, links)
         placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "u", "few", "cls", F.coalesce("component", "cls").alias("c"))
@@ -205,7 +208,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             pairs = block_pairs(open_.select("u", "cls", "c").distinct().join(sized, "cls").join(right_keys, "cls"), percent)
         fresh = tmp.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
-        more = tmp.table(_confirmed(fresh, sets, percent))
+        more = tmp.table(_confirmed(tmp, fresh, sets, percent))
         both, all_tried = tmp.table(links.unionByName(more)), tmp.table(tried.unionByName(fresh))
         tmp.drop(found, open_, links, more, fresh, tried)
         links, tried = both, all_tried
