@@ -56,33 +56,31 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return grams[keep].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
-def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_labels: int, tmp: Scratch) -> tuple[DataFrame, int]:
-    """(doc_id, row, weight, label): the mean log-ratio of the target's to the raw text's n-gram model; and the number of rows.
+def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most_labels: int, carry: tuple[str, ...], tmp: Scratch) -> DataFrame:
+    """(doc_id, carried columns, label, weight, n): the sum of log-ratios of the target's to the raw text's n-gram model over a text's n n-grams.
 
     The raw model counts all documents, the target those labelled 1 among at most `most_labels` labelled ids.
     """
     spark = docs.sparkSession
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     marked = F.broadcast(tmp.table(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels)))  # at most most_labels rows
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(marked, "doc_id", "left")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry).join(marked, "doc_id", "left")
 
     def count(batches):
-        raw, target, n = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), 0
+        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 grams, offsets = gram_buckets(part.column("text"))
                 good = np.repeat(part.column("label").fill_null(0).to_numpy() == 1, np.diff(offsets))
                 raw += np.bincount(grams, minlength=BUCKETS)
                 target += np.bincount(grams[good], minlength=BUCKETS)
-                n += part.num_rows
         b = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(b, -1)), pa.array(np.append(raw[b], n)), pa.array(np.append(target[b], 0))], ["b", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(b), pa.array(raw[b]), pa.array(target[b])], ["b", "raw", "target"])
 
-    counted = rows.mapInArrow(count, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
+    counted = rows.select("text", "label").mapInArrow(count, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # BUCKETS rows at most
     b, raw, target = (counted[k].to_numpy() for k in ("b", "raw", "target"))
-    total = int(raw[b < 0].sum())
     both = np.zeros((2, BUCKETS))
-    both[0, b[b >= 0]], both[1, b[b >= 0]] = raw[b >= 0], target[b >= 0]
+    both[0, b], both[1, b] = raw, target
     logp = np.log((both + 0.5) / (both + 0.5).sum(1, keepdims=True))
     ratio = spark.sparkContext.broadcast(logp[1] - logp[0] if both[1].any() else np.zeros(BUCKETS))
 
@@ -92,48 +90,36 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
                 grams, offsets = gram_buckets(part.column("text"))
                 sums = np.concatenate([[0], np.cumsum(ratio.value[grams])])
                 size = np.diff(offsets)
-                mean = (sums[offsets[1:]] - sums[offsets[:-1]]) / np.maximum(1, size)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(mean), pa.array(size)], ["doc_id", "label", "weight", "n"])
-
-    return tmp.table(rows.mapInArrow(weigh, "doc_id long, label int, weight double, n long")), total
-
-
-def cut_point(found: DataFrame, bins: int = 4096) -> float:
-    """The weight that best parts labelled good from labelled bad documents (their mean recall), from a histogram of both."""
-    edges = found.where("label is not null").agg(F.min("weight").alias("lo"), F.max("weight").alias("hi"), F.count_distinct("label").alias("kinds")).first()
-    if edges["kinds"] != 2 or edges["hi"] <= edges["lo"]:
-        return float("-inf")
-    width = (edges["hi"] - edges["lo"]) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col("weight") - edges["lo"]) / width))
-    tally = np.zeros((2, bins))
-    for r in found.where("label is not null").groupBy(at.alias("bin"), "label").agg(F.count(F.lit(1)).alias("n")).collect():  # 2 * bins rows at most
-        tally[r["label"], int(r["bin"])] = r["n"]
-    below = np.concatenate([np.zeros((2, 1)), tally.cumsum(1)], 1) / tally.sum(1, keepdims=True)
-    gain = below[0] - below[1]
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float(edges["lo"] + width * (best[0] + best[-1]) / 2)
-
-
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 50_000, temperature: float = 0.002, seed: int = 2) -> DataFrame:
-    """(doc_id, weight, gumbel_key, kept) for each row.
-
-    gumbel_key is weight / temperature plus Gumbel noise drawn from a keyed hash of the id; the k rows of the largest keys are
-    kept, k being the number of rows whose weight lies above the point that best parts the labels. A low temperature keeps the
-    sample close to the weights. Ties at the last key are all kept. Rows with an empty or null text have no n-grams: they are not
-    kept, unless the labels part nothing, when all rows are. Repeated ids get the same noise, a null id none. Other columns are
-    ignored.
+                total = sums[offsets[1:]] - sums[offsets[:-1]]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *carry, "label")), pa.array(total), pa.array(size)], ["doc_id", *carry, "label", "weight", "n"])
+
+    schema = rows.select("doc_id", *carry, "label").schema.add("weight", "double").add("n", "long")
+    return tmp.table(rows.mapInArrow(weigh, schema))
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 50_000, temperature: float = 1.0, seed: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, weight, gumbel_key, kept) for each row.
+
+    weight is the logarithm of a text's importance: the sum over its n-grams of the log-ratio of the target's to the raw text's model, so
+    short texts have little. gumbel_key is weight / temperature plus Gumbel noise drawn from a keyed hash of the id; the k rows of the
+    largest keys are kept, k being the number of rows that the target's model makes at least as likely as the raw text's. So rows with
+    much evidence stay or go, and others are sampled by their importance. Ties at the last key are all kept. Rows with an empty or
+    null text have no n-grams and are not kept. Without labels of 1 all weights are 0 and all other rows are the sample. Repeated ids
+    get the same noise, a null id none. Other columns than those named in `carry` are ignored.
     """
     tmp = Scratch(docs.sparkSession)
-    found, _ = importance(docs, labels, id_col, text_col, label_col, most_labels, tmp)
-    cut = cut_point(found)
-    if cut == float("-inf"):
-        return found.select("doc_id", "weight", (F.col("weight") / temperature).alias("gumbel_key"), F.lit(True).alias("kept"))
+    found = importance(docs, labels, id_col, text_col, label_col, most_labels, carry, tmp)
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noise = F.when(F.col("doc_id").isNull(), 0.0).otherwise(-F.log(-F.log(uniform)))
-    keyed = tmp.table(found.withColumn("gumbel_key", F.col("weight") / temperature + noise))
-    k = keyed.where((F.col("n") > 0) & (F.col("weight") >= cut)).count()
+    keyed = found.withColumn("gumbel_key", F.col("weight") / temperature + noise)
+    return gumbel_top(tmp.table(keyed), carry)
+
+
+def gumbel_top(keyed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """keyed(doc_id, weight, gumbel_key, n) with `kept`: the largest keys, as many as weights are not negative, among rows with n-grams."""
+    k = keyed.where("n > 0 and weight >= 0").count()
     last = kth_largest(keyed.where("n > 0"), "gumbel_key", k)
-    return keyed.select("doc_id", "weight", "gumbel_key", ((F.col("n") > 0) & (F.col("gumbel_key") >= last)).alias("kept"))
+    return keyed.select("doc_id", *carry, "weight", "gumbel_key", ((F.col("n") > 0) & (F.col("gumbel_key") >= last)).alias("kept"))
 
 
 def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> float:
