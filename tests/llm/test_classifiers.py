@@ -1,10 +1,11 @@
-"""Quality and toxicity against their labels, their edge cases, and the pipeline's stages."""
+"""Quality and toxicity against their labels, and their edge cases."""
 
+import math
 import zlib
 
 from pyspark.sql import functions as F
 
-from turnwise.llm.quality import resample
+from turnwise.llm.quality import gumbel_top, kth_largest, resample
 from turnwise.llm.toxicity import score
 
 SF = "/root/testdata/sf0.01"
@@ -55,12 +56,45 @@ def test_toxicity_edges(spark):
     assert score(edges(spark).limit(0), labels).isEmpty()
 
 
-def test_pipeline_stages_return_documents(spark):
-    import corpus_pipeline
-
-    docs = read(spark, "documents")
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality", "toxicity", "line_dedup", "near_dedup", "packing"]
-    one = corpus_pipeline.keep_quality(spark, docs, SF)
-    assert one.columns == docs.columns and one.dtypes == docs.dtypes
-    dropped = docs.select("doc_id").subtract(one.select("doc_id")).join(read(spark, "labels"), "doc_id").where("quality = 1").count()
-    assert dropped <= 0.1 * docs.count()
+def test_quality_on_held_out_labels(spark):
+    docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1").where("quality is not null")
+    out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    held = resample(docs, labels.where(~out)).join(labels.where(out), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    kept = {r.quality: r.share for r in held}
+    assert kept[1] > 0.97 and kept[0] < 0.1, kept
+
+
+def test_rows_are_sampled_by_their_importance(spark):
+    # many rows of few weights: those with more evidence are kept more often, at rates that Gumbel top-k gives
+    weights = [-3.0, -1.0, -0.25, 0.0, 0.25, 1.0, 3.0]
+    keyed = spark.range(70_000).selectExpr("id as doc_id", f"element_at(array({','.join(f'{w}D' for w in weights)}), cast(id % 7 as int) + 1) as weight", "1L as n")
+    uniform = (F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    got = gumbel_top(keyed.withColumn("gumbel_key", F.col("weight") - F.log(-F.log(uniform))))
+    assert got.where("kept").count() == 40_000
+    rate = {r.weight: r.share for r in got.groupBy("weight").agg(F.avg(F.col("kept").cast("int")).alias("share")).collect()}
+    # the key of the last row is one number for all, so a weight's odds follow from it
+    last = got.where("kept").agg(F.min("gumbel_key")).first()[0]
+    for w in weights:
+        assert abs(rate[w] - (1 - math.exp(-math.exp(w - last)))) < 0.02
+    assert sorted(rate.values()) == [rate[w] for w in weights] and rate[3.0] - rate[-3.0] > 0.8
+
+
+def test_ties_and_the_kth_largest(spark):
+    rows = [(i, float(x), float(x), 1) for i, x in enumerate([3, 1, 1, 1, -1, -1, 0.5])] + [(9, 5.0, 5.0, 0)]
+    keyed = spark.createDataFrame(rows, "doc_id long, weight double, gumbel_key double, n long")
+    assert [kth_largest(keyed, "weight", k) for k in (1, 2, 3, 4, 5, 8)] == [5.0, 3.0, 1.0, 1.0, 1.0, -1.0]
+    assert sorted(r.doc_id for r in gumbel_top(keyed).where("kept").collect()) == [0, 1, 2, 3, 6]
+    tied = keyed.withColumn("gumbel_key", F.lit(1.0))
+    assert gumbel_top(tied).where("kept").count() == 7  # all but the row without n-grams
+
+
+def test_labels_of_one_kind(spark):
+    docs, labels = read(spark, "documents", "/root/testdata/sf0.001"), read(spark, "labels", "/root/testdata/sf0.001")
+    one = resample(docs, labels.where("quality = 1"))
+    assert 0 < one.where("kept").count() < docs.count()
+    none = resample(docs, labels.limit(0))
+    assert none.where("not kept").join(docs.where("length(trim(text)) > 0"), "doc_id").isEmpty()
+    assert score(docs, labels.where("toxic = 0")).where("score <> 0").isEmpty()
+    assert score(docs, labels.limit(0)).where("score <> 0").isEmpty()
+    torn = labels.union(labels.withColumn("toxic", F.lit(1)).limit(5)).union(labels.limit(5))
+    assert score(docs, torn).count() == docs.count()

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import segment_reduce, slices, span_hashes, text_bytes, word_spans
 
@@ -107,10 +108,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, label_col:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def learn_lexicon(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of words and stems that mark toxic documents, with their log-odds; at most `most` learned ones and the seeds.
+def learn_lexicon(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of words and stems that mark toxic documents, with their log-odds, and the seeds.
 
-    texts holds (text, label). A key counts once a document.
+    texts holds (text, label) of a bounded sample, so its words do. A key counts once a document.
     """
 
     def count(batches):
@@ -139,7 +140,7 @@ def learn_lexicon(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     size = tally.where("key = 0").first()
     clean, toxic = (size["clean"], size["toxic"]) if size else (0, 0)
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
-    found = tally.where(f"key <> 0 and toxic >= 4 and toxic * {clean + 1} >= 6 * clean * {toxic + 1}").select("key", odds.alias("odds")).orderBy(F.desc("odds"), "key").limit(most).toPandas()
+    found = tally.where(f"key <> 0 and toxic >= 4 and toxic * {clean + 1} >= 6 * clean * {toxic + 1}").select("key", odds.alias("odds")).toPandas()
     learned = dict(zip(found["key"].to_numpy().view(np.uint64).tolist(), found["odds"].tolist(), strict=True))
     for k in keys_of(SEED_INSULTS).tolist():
         learned[k] = max(learned.get(k, 0.0), 2.0)
@@ -147,14 +148,20 @@ def learn_lexicon(texts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
     return keys, np.array([learned[k] for k in keys.tolist()])
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, most_labels: int = 30_000, most_words: int = 5_000, trees: int = 15, depth: int = 3) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each document; score is the calibrated chance that its label is 1.
+def _rows(x: np.ndarray) -> pa.Array:
+    """An array<double> column of a matrix."""
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.reshape(-1)))
 
-    Learns from at most `most_labels` labelled ids, never from those whose crc32 (of the id as text) modulo 4 is 2: the lexicon
-    from remainder 0, the trees from 1, the calibration from 3. Where one of these holds a single class only, all of them serve,
-    and where all do, every score is the share of label 1 (0 without labels). Labels other than 0 and 1 are left out; of labels
-    that differ for one id the larger counts. A null text is empty; null ids are scored, never learned from, and their held_out
-    is false. Repeated rows give a row each. Other columns are ignored.
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, most_labels: int = 30_000, trees: int = 15, depth: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, carried columns, held_out, score, predicted) for each document; score is the calibrated chance that its label is 1.
+
+    Learns from at most `most_labels` labelled ids, never from those whose crc32 (of the id as text) modulo 4 is 2. The lexicon that
+    gives a labelled text its features is learned from the other two remainders, so no text meets its own words; trees and
+    calibration are fitted on these features of all, and other texts are scored by the lexicon of all. Where the labels hold a single
+    class, every score is the share of label 1 (0 without labels). Labels other than 0 and 1 are left out; of labels that differ for
+    one id the larger counts, of its texts the first in order. A null text is empty; null ids are scored, never learned from, and
+    their held_out is false. Repeated rows give a row each. Other columns than those named in `carry` are ignored.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -165,31 +172,35 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     tmp = Scratch(docs.sparkSession)
     spark = docs.sparkSession
     sample = F.broadcast(tmp.table(labelled_sample(docs, labels, id_col, label_col, most_labels)))  # at most most_labels rows
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = tmp.table(rows.join(sample, "doc_id").dropDuplicates(["doc_id"]))
-    lexicon_from = texts.where("part = 0") if texts.where("part = 0").agg(F.count_distinct("label")).first()[0] == 2 else texts
-    lexicon = spark.sparkContext.broadcast(learn_lexicon(lexicon_from.select("text", "label"), most_words))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *carry)
+    texts = tmp.table(rows.select("doc_id", "text").join(sample, "doc_id").groupBy("doc_id", "label", "part").agg(F.min("text").alias("text")))
+    folds = [r["part"] for r in texts.select("part").distinct().collect()]  # three at most
+    lexicons = spark.sparkContext.broadcast({None: learn_lexicon(texts.select("text", "label"))} | {k: learn_lexicon(texts.where(F.col("part") != k).select("text", "label")) for k in folds})
+
+    def own_features(batches):
+        names = ["doc_id", "label", "part"]
+        for batch in batches:
+            for part in slices(batch, "text"):
+                fold, x = part.column("part").to_numpy(), np.zeros((part.num_rows, len(FEATURES)))
+                for k in np.unique(fold).tolist():
+                    x[fold == k] = feature_matrix(part.column("text").filter(pa.array(fold == k)), lexicons.value[k])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), _rows(x)], [*names, "x"])
 
     def features(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                x = feature_matrix(part.column("text"), lexicon.value)
-                out = pa.ListArray.from_arrays(pa.array((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.array(x.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in names] + [out], [*names, "x"])
-
-    names = ["doc_id", "label", "part"]
-    learned = tmp.table(texts.mapInArrow(features, "doc_id long, label double, part long, x array<double>").withColumn("features", array_to_vector("x")))
-    names = ["doc_id"]
-    out = rows.select("doc_id", "text").mapInArrow(features, "doc_id long, x array<double>")
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *carry)), _rows(feature_matrix(part.column("text"), lexicons.value[None]))], ["doc_id", *carry, "x"])
+
+    learned = tmp.table(texts.mapInArrow(own_features, "doc_id long, label double, part long, x array<double>").withColumn("features", array_to_vector("x")))
+    out = rows.mapInArrow(features, rows.select("doc_id", *carry).schema.add("x", T.ArrayType(T.DoubleType())))
     both = lambda df: df.agg(F.count_distinct("label")).first()[0] == 2
-    fit_on, tune_on = (learned.where(p) if both(learned.where(p)) else learned for p in ("part = 1", "part = 3"))
     if both(learned):
-        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=3).fit(fit_on.coalesce(8))
+        model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=trees, maxDepth=depth, stepSize=0.2, seed=3).fit(learned.coalesce(8))
         raw = lambda df: model.transform(df).withColumn("raw", vector_to_array("rawPrediction")[1])
-        curve = IsotonicRegression(labelCol="label", featuresCol="raw").fit(raw(tune_on).select("raw", "label").coalesce(8))
+        curve = IsotonicRegression(labelCol="label", featuresCol="raw").fit(raw(learned).select("raw", "label").coalesce(8))
         out = raw(out.withColumn("features", array_to_vector("x"))).withColumn("prediction", F.lit(0)).drop("prediction", "probability", "rawPrediction")
         out = curve.transform(out).withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")))
     else:
         share = learned.agg(F.avg("label")).first()[0] or 0.0
         out = out.withColumn("score", F.lit(float(share)))
-    return out.select("doc_id", F.coalesce(crc_part(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return out.select("doc_id", *carry, F.coalesce(crc_part(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
