@@ -53,7 +53,10 @@ def preference_pairs(pairs: DataFrame, trained_role: str = "assistant") -> DataF
     prompt wholly. If one conversation is a prefix of the other, its completion is empty. A missing side gives a null completion
     and null spans, and the prompt is then what comes before the last turn of the other side. Markers in texts are broken up.
     """
-    shared = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.size("chosen"), F.size("rejected")))), lambda k: (k <= F.least(F.size("chosen"), F.size("rejected"))) & (F.slice("chosen", F.lit(1), k) == F.slice("rejected", F.lit(1), k))))
+    least = F.greatest(F.lit(0), F.least(F.size("chosen"), F.size("rejected")))
+    same = F.zip_with(F.slice("chosen", F.lit(1), least), F.slice("rejected", F.lit(1), least), lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, F.lit(False)).cast("int")
+    shared = F.when(first > 0, first - 1).otherwise(least)
     one = F.coalesce("chosen", "rejected")
     n = F.when(F.col("chosen").isNull() | F.col("rejected").isNull(), F.greatest(F.lit(0), F.size(one) - 1)).otherwise(shared)
     out = pairs.withColumn("n_prompt_turns", n)
