@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from turnwise.plans import registry
+from turnwise.plans import analysis, registry
 
 from .conftest import SF
 
@@ -18,6 +18,9 @@ def rows(df):
     return sorted(tuple(show(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
+assert analysis.QUERIES is registry.QUERIES
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()

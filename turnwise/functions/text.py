@@ -9,9 +9,20 @@ from pyspark.sql import functions as F
 TURKISH, PLAIN = "çğıöşüÇĞİÖŞÜ", "cgiosuCGIOSU"
 
 
-def tokens(text: Column) -> Column:
-    """ASCII words of lower-cased text."""
-    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+#: Words: runs of letters and digits of any script.
+WORD = r"[\p{L}\p{N}]+"
+
+
+def tokens(text: Column, locale: str = "root") -> Column:
+    """Words of lower-cased text."""
+    return F.regexp_extract_all(fold(text, locale), F.lit(WORD), F.lit(0))
+
+
+def context_window(text: Column, part: Column, window: int = 40) -> Column:
+    """The first place of a part, case-folded, with `window` characters on both sides, trimmed; the text's start where it is not there."""
+    at = F.greatest(F.lit(1), F.instr(F.lower(text), F.lower(part)))
+    begin = F.greatest(F.lit(1), at - window)
+    return F.trim(F.substring(text, begin, at + F.char_length(part) + window - begin))
 
 
 def fold(text: Column, locale: str = "root") -> Column:
@@ -90,10 +101,10 @@ def word_edits(reference: Column, hypothesis: Column) -> Column:
 
 
 def _sign(k: Column) -> Column:
-    """A character of its own for each number from 1: the words of a pair may number 32,000."""
-    code = F.when(k < 0x5000, k + 0x3400).otherwise(k + 0x5800)
-    utf8 = F.concat(F.hex((F.floor(code / 4096) + 0xE0).cast("long")), F.hex((F.floor(code / 64) % 64 + 0x80).cast("long")), F.hex((code % 64 + 0x80).cast("long")))
-    return F.decode(F.unhex(utf8), "UTF-8")
+    """A character of its own for each number from 1 to 983,039, all of four bytes; more raise an error."""
+    code = F.when(k <= 0xEFFFF, k + 0x10000).otherwise(F.raise_error(F.lit("more than 983,039 different words in a pair")).cast("long")).cast("long")
+    part = lambda shift, mark: F.hex(F.shiftright(code, shift).bitwiseAND(63) + mark)
+    return F.decode(F.unhex(F.concat(F.hex(F.shiftright(code, 18) + 0xF0), part(12, 0x80), part(6, 0x80), part(0, 0x80))), "UTF-8")
 
 
 def repeated_runs_cut(text: Column) -> Column:
@@ -102,3 +113,34 @@ def repeated_runs_cut(text: Column) -> Column:
         run = r"\w+" + r"\s+\w+" * (n - 1)
         text = F.regexp_replace(text, rf"(?iU)\b({run})(?:\s+\1\b)+", "$1")
     return text
+
+
+def sanitize_repetitions(text: Column) -> Column:
+    """Text without decoder loops: runs of dots, glued loops as in 7.7.7.7., equal sentences in a row, repeated runs of words."""
+    text = F.regexp_replace(text, r"\.{4,}", "...")
+    text = F.regexp_replace(text, r"(?U)\b(\w{1,3})(?:\.\1){2,}\.?", "$1.")
+    parts = F.split(text, r"(?<=[.?!])\s+", -1)
+    text = F.array_join(F.filter(parts, lambda x, i: (i == 0) | (F.lower(x) != F.lower(F.get(parts, i - 1)))), " ")
+    return repeated_runs_cut(text)
+
+
+def canonical_sector(sector: Column, names: dict[str, str], default: str = "omni") -> Column:
+    """The sector that a name stands for, case-folded and trimmed."""
+    found = F.lit(default)
+    for name, to in names.items():
+        found = F.when(F.lower(F.trim(sector)) == name, to).otherwise(found)
+    return F.coalesce(found, F.lit(default))
+
+
+def restore_punctuation(text: Column, question: str) -> Column:
+    """Sentences begin with a capital; one without an end gets a question mark where the pattern matches it, else a full stop."""
+    parts = F.filter(F.transform(F.split(text, r"(?<=[.?!])\s+", -1), F.trim), lambda x: x != "")
+    ended = lambda x: F.when(x.rlike(r"[.?!]$"), x).when(F.lower(x).rlike(question), F.concat(x, F.lit("?"))).otherwise(F.concat(x, F.lit(".")))
+    fixed = F.transform(parts, lambda x: F.concat(F.upper(F.substring(ended(x), 1, 1)), F.substring(ended(x), F.lit(2), F.char_length(ended(x)))))
+    return F.when(F.trim(text) == "", text).otherwise(F.array_join(fixed, " "))
+
+
+def canonical_words(text: Column, names: dict[str, str]) -> Column:
+    """Words between single spaces replaced by what they stand for, case-folded."""
+    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return F.array_join(F.transform(F.split(text, " ", -1), lambda w: F.coalesce(F.try_element_at(table, F.lower(w)), w)), " ")

@@ -8,9 +8,11 @@ from pyspark.sql.window import Window
 
 
 def list_conversations(segments: DataFrame, hits: DataFrame, sector: str, k: int = 200, chars: int = 500) -> DataFrame:
-    """The newest calls of a sector with the start of their transcript and their number of hits."""
-    calls = segments.where(F.col("sector") == sector).groupBy("conversation_id").agg(F.max("created_at").alias("created_at"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "text"))), lambda x: x["text"]), " ").alias("t"))
-    newest = calls.orderBy(F.desc("created_at"), "conversation_id").limit(min(k, 200))
+    """The newest calls of a sector, 200 at most, with the start of their transcript and their number of hits. Only their lines are gathered."""
+    calls = segments.where(F.col("sector") == sector)
+    top = calls.groupBy("conversation_id").agg(F.max("created_at").alias("created_at")).orderBy(F.desc("created_at"), "conversation_id").limit(min(k, 200))
+    lines = calls.select("conversation_id", "segment_index", "text").join(F.broadcast(top), "conversation_id")  # 200 rows at most
+    newest = lines.groupBy("conversation_id", "created_at").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("segment_index", "text"))), lambda x: x["text"]), " ").alias("t"))
     counts = hits.groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n"))
     return newest.join(counts, "conversation_id", "left").select("conversation_id", "created_at", F.substring("t", 1, chars).alias("transcript"), F.coalesce("n", F.lit(0)).alias("hit_count"))
 
@@ -38,12 +40,14 @@ def apply_rule_changes(rules: DataFrame, changes: DataFrame) -> DataFrame:
     return both.select("rule_id", F.coalesce("new_name", "name").alias("name"), F.when(F.col("version").isNull(), 1).otherwise(F.col("version") + (F.coalesce(F.col("op"), F.lit("")) == "update").cast("int")).cast("long").alias("version"))
 
 
-def scope_conversations(calls: DataFrame, users: DataFrame, username: str) -> DataFrame:
-    """The calls a user may see: an agent their own, a team lead those of their team's agents, other roles all."""
-    me = users.where(F.col("username") == username).select(F.col("username").alias("me"), F.col("role").alias("my_role"), F.col("team").alias("my_team")).limit(1)
+def scope_conversations(calls: DataFrame, users: DataFrame, username: str, see_all: tuple[str, ...] = ("qa", "auditor", "admin")) -> DataFrame:
+    """The calls a user may see: the listed roles all, a team lead those of their team, every other role and unknown users their own alone."""
+    me = users.where(F.col("username") == username).select(F.col("role").alias("my_role"), F.col("team").alias("my_team")).limit(1)
+    me = users.sparkSession.range(1).select(F.lit(username).alias("me")).join(me, F.lit(True), "left")  # one row, known or not
     team = users.select(F.col("username").alias("agent_id"), F.col("team").alias("agent_team"))
     scoped = calls.join(team, "agent_id", "left").crossJoin(F.broadcast(me))
-    mine = F.when(F.col("my_role") == "agent", F.col("agent_id") == F.col("me")).when(F.col("my_role") == "team_lead", F.col("agent_team") == F.col("my_team")).otherwise(F.lit(True))
+    own = F.col("agent_id") == F.col("me")
+    mine = F.when(F.col("my_role").isin(*see_all), F.lit(True)).when(F.col("my_role") == "team_lead", own | (F.col("agent_team") == F.col("my_team"))).otherwise(own)
     return scoped.where(mine).select(*calls.columns)
 
 
@@ -68,10 +72,22 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((dot(a, a) > 0) & (dot(b, b) > 0), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float) -> DataFrame:
-    """The enrolled print of the same model that is most like each query, named only from `threshold` on. prints are a dimension of agents."""
-    met = queries.join(prints, "model").where(F.size("embedding") == F.size("print")).withColumn("score", cosine(F.col("embedding"), F.col("print"))).where("score > 0")
-    best = met.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("agent")).alias("a"))).alias("m"))
+def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float, block: int = 64) -> DataFrame:
+    """The enrolled print of the same model and size that is most like each query, named only from `threshold` on; inactive prints match nothing.
+
+    Vectors are normalised once. Prints are gathered in blocks of about `block`; the queries of a model are dealt to as many tasks as
+    shuffles have, each of which gets that model's blocks.
+    """
+    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda df, c: df.withColumn("u", F.col(c).cast("array<double>")).withColumn("l", norm(F.col("u"))).where("l > 0").withColumn("u", F.transform("u", lambda x: x / F.col("l")))
+    live = prints.where("coalesce(active, true)") if "active" in prints.columns else prints
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = live.count()
+    blocks = unit(live, "print").groupBy("model", F.size("u").alias("d"), F.pmod(F.xxhash64("agent"), F.lit(n // block + 1)).alias("b")).agg(F.collect_list(F.struct((-F.col("agent")).alias("a"), "u")).alias("held"))
+    blocks = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    asked = unit(queries, "embedding").select("query_id", "model", F.size("u").alias("d"), F.col("u").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(tasks)).cast("int").alias("task"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    best = asked.join(blocks, ["model", "d", "task"]).select("query_id", F.array_max(F.transform("held", lambda h: F.struct(dot(F.col("q"), h["u"]).alias("score"), h["a"].alias("a")))).alias("m")).where("m.score > 0").groupBy("query_id").agg(F.max("m").alias("m"))
     out = queries.select("query_id").join(best, "query_id", "left")
     return out.select("query_id", F.when(F.col("m.score") >= threshold, -F.col("m.a")).alias("agent"), F.round(F.coalesce("m.score", F.lit(0.0)), 6).alias("score"))
 
@@ -107,8 +123,30 @@ def protocol_split(ids: DataFrame, key: str, seed: int, dev_share: float) -> Dat
     return ids.select(key, F.when(part < dev_share, "dev").otherwise("train").alias("split"))
 
 
-def operational_stats(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.count(column).alias("n"), F.round(F.avg(column), 2).alias("mean"), F.min(column).alias("low"), F.max(column).alias("high"), F.round(F.percentile(column, 0.5), 6).alias("median"))
+def nth_smallest(df: DataFrame, column: str, k: int, bins: int = 4096):
+    """The k-th smallest value, from 0, exactly: histograms narrow to one value, so nothing is sorted or gathered. Null if there is none."""
+    values = df.where(F.col(column).isNotNull())
+    edge = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if k < 0 or k >= edge["n"]:
+        return None
+    lo, hi = edge["lo"], edge["hi"]
+    while lo < hi:
+        at = F.least(F.lit(bins - 1), F.floor((F.col(column) - lo) / ((hi - lo) / bins)))
+        found = values.where(F.col(column).between(lo, hi)).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).orderBy("bin").collect()  # `bins` rows at most
+        for r in found:
+            if k < r["n"]:
+                lo, hi = r["lo"], r["hi"]
+                break
+            k -= r["n"]
+    return lo
+
+
+def operational_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each metric: n, mean, low, high and the upper median (the value in place n div 2 from 0)."""
+    counts = df.agg(*[F.count(c).alias(c) for c in columns]).first()
+    middle = {c: nth_smallest(df, c, counts[c] // 2) for c in columns}
+    rows = [F.struct(F.lit(c).alias("metric"), F.count(c).alias("n"), F.round(F.avg(c), 2).alias("mean"), F.min(c).cast("double").alias("low"), F.max(c).cast("double").alias("high"), F.lit(middle[c]).cast("double").alias("median")) for c in columns]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 def list_voiceprints(prints: DataFrame) -> DataFrame:

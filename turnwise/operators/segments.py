@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 from turnwise.functions import text as tx
 
 
+_KEYS = ["conversation_id", "segment_index"]
+
+
 def _call():
     """The lines of a call in order."""
     return Window.partitionBy("conversation_id").orderBy("segment_index")
@@ -94,29 +97,36 @@ def rescue_candidates(segments: DataFrame, below: float = -0.5, most: int = 8) -
 
 
 def keyword_hits(segments: DataFrame, rules: DataFrame) -> DataFrame:
-    """Hits of rules(rule_id, term, sector_scope): the words of a term in a row, whole words, once for each segment and term.
+    """Hits of rules(rule_id, term, sector_scope): the words of a term in a row, whole words, once for each segment and term; with the text around.
 
-    The rules are a dimension; Spark broadcasts them where they are small. Terms are joined on their first word.
+    Runs of as many words as some term has are joined with the terms, which are a dimension and mostly broadcast; a run's row holds
+    nothing but its keys, and the texts of hits alone are joined again.
     """
-    words = segments.select("conversation_id", "segment_index", "sector", "text", tx.tokens(F.col("text")).alias("w"))
-    terms = rules.withColumn("tw", F.split("term", " ")).withColumn("first", F.col("tw")[0])
-    found = words.select("*", F.posexplode("w").alias("at", "word")).join(terms, F.col("word") == F.col("first"))
-    found = found.where((F.slice("w", F.col("at") + 1, F.size("tw")) == F.col("tw")) & (F.col("sector_scope").isNull() | F.array_contains("sector_scope", F.col("sector"))))
-    return found.groupBy("conversation_id", "segment_index", "rule_id", "term").agg(F.min(F.col("at").cast("long")).alias("word_index"), F.first(F.substring("text", 1, 120)).alias("context"))
+    terms = rules.withColumn("n", F.size(F.split("term", " ")))
+    lengths = sorted(r["n"] for r in terms.select("n").distinct().collect())  # a few: how many words terms have
+    runs = F.flatten(F.array(*[F.transform(tx.ngrams(F.col("w"), n), lambda g, i: F.struct(g.alias("term"), i.alias("at"))) for n in lengths])) if lengths else F.array().cast("array<struct<term:string,at:int>>")
+    # a run's first place is all that counts
+    places = segments.select(*_KEYS, "sector", tx.tokens(F.col("text")).alias("w")).select(*_KEYS, "sector", F.inline(runs))
+    found = places.join(terms, "term").where(F.col("sector_scope").isNull() | F.array_contains("sector_scope", F.col("sector")))
+    found = found.groupBy(*_KEYS, "rule_id", "term").agg(F.min(F.col("at").cast("long")).alias("word_index"))
+    return found.join(segments.select(*_KEYS, "text"), _KEYS).select(*_KEYS, "rule_id", "term", "word_index", tx.context_window(F.col("text"), F.col("term")).alias("context"))
 
 
 def align_segments_to_turns(segments: DataFrame, turns: DataFrame, bucket_ms: int = 30_000) -> DataFrame:
-    """Each segment's speaker: that of the turn it overlaps most (the first on ties), else its own.
+    """Each segment's speaker: that of the turn it overlaps most (the first on ties), else its own, else that of the call's first turn.
 
-    Spans are dealt to 30-second buckets of their call, so a long recording makes no quadratic pairs.
+    Spans are dealt to 30-second buckets of their call, so a long recording makes no quadratic pairs; a pair counts in the bucket where
+    its overlap starts.
     """
     spread = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket_ms), F.floor((F.col(e) - 1) / bucket_ms))))
     a = spread(segments.select("conversation_id", "segment_index", "start_ms", "end_ms", "speaker"), "start_ms", "end_ms")
     b = spread(turns, "t_start", "t_end")
     overlap = F.least("end_ms", "t_end") - F.greatest("start_ms", "t_start")
-    met = a.join(b, ["conversation_id", "_b"]).withColumn("overlap", overlap).where("overlap > 0")
+    met = a.join(b, ["conversation_id", "_b"]).withColumn("overlap", overlap).where((F.col("overlap") > 0) & (F.floor(F.greatest("start_ms", "t_start") / bucket_ms) == F.col("_b")))
     best = met.groupBy("conversation_id", "segment_index").agg(F.max_by("turn_speaker", F.struct("overlap", -F.col("turn_index"))).alias("aligned"))
-    return segments.select("conversation_id", "segment_index", "speaker").join(best, ["conversation_id", "segment_index"], "left").select("conversation_id", "segment_index", F.coalesce("aligned", "speaker").alias("speaker"))
+    first = turns.groupBy("conversation_id").agg(F.min_by("turn_speaker", "turn_index").alias("opening"))
+    out = segments.select(*_KEYS, "speaker").join(best, _KEYS, "left").join(first, "conversation_id", "left")
+    return out.select(*_KEYS, F.coalesce("aligned", "speaker", "opening").alias("speaker"))
 
 
 def crosstalk_adjacent(segments: DataFrame, least_ms: int = 100) -> DataFrame:
@@ -160,9 +170,29 @@ def speaker_stats(segments: DataFrame) -> DataFrame:
     return segments.groupBy("conversation_id").agg(F.max("end_ms").alias("duration_ms"), F.count_distinct("speaker").alias("speakers"), F.array_join(F.sort_array(F.collect_set("speaker")), ",").alias("names"))
 
 
-def toxicity_rate(segments: DataFrame, terms: list[str]) -> DataFrame:
-    """Distinct matched terms of a call over its words."""
-    words = segments.select("conversation_id", "n_words", "segment_index", F.array_intersect(tx.tokens(F.col("text")), F.array(*[F.lit(t) for t in terms])).alias("hit"))
+def shielded_terms(text: Column, terms: list[str], negators: list[str], chars: int = 30) -> Column:
+    """The terms that a text holds, lower-cased, at some place that no negator stands before: within `chars` characters before the last space there, or after it."""
+    low = F.lower(text)
+
+    def held(term: str) -> Column:
+        parts = F.split(low, r"\Q" + term + r"\E", -1)
+        # the text before the k-th place of the term
+        before = lambda k: F.array_join(F.slice(parts, F.lit(1), k), term)
+
+        def shown(k):
+            space = F.char_length(before(k)) - F.char_length(F.substring_index(before(k), " ", -1))
+            begin = F.greatest(F.lit(1), space - chars + F.when(space == 0, 1).otherwise(0))
+            around = F.substring(before(k), begin, F.char_length(before(k)))
+            return ~F.exists(F.array(*[F.lit(n) for n in negators]).cast("array<string>"), lambda n: F.contains(around, n))
+
+        return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), shown)).otherwise(False)
+
+    return F.array_compact(F.array(*[F.when(held(t), F.lit(t)) for t in terms]))
+
+
+def toxicity_rate(segments: DataFrame, terms: list[str], negators: list[str] = ()) -> DataFrame:
+    """Distinct matched terms of a call over its words; a term after a negator does not count."""
+    words = segments.select("conversation_id", "n_words", "segment_index", shielded_terms(F.col("text"), terms, list(negators)).alias("hit"))
     found = words.groupBy("conversation_id").agg(F.sum("n_words").alias("words"), F.size(F.array_distinct(F.flatten(F.collect_set("hit")))).cast("long").alias("terms"), F.count_if(F.size("hit") > 0).alias("flagged"))
     return found.select("conversation_id", "terms", "flagged", F.round(F.col("terms") / F.greatest(F.lit(1), "words"), 4).alias("rate"), (F.col("flagged") == 0).alias("is_clean"))
 
@@ -239,3 +269,34 @@ def reading_paragraphs(segments: DataFrame, sentences: int = 4) -> DataFrame:
     rows = segments.select("conversation_id", "segment_index", F.posexplode(parts).alias("pos", "sentence")).withColumn("paragraph", F.floor(F.col("pos") / sentences))
     found = rows.groupBy("conversation_id", "segment_index", "paragraph").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("x"))
     return found.select("conversation_id", "segment_index", "paragraph", F.array_join(F.transform("x", lambda y: y["sentence"]), ". ").alias("text"))
+
+
+def evenly_spaced_sample(df: DataFrame, key: str, n: int, bins: int = 4096) -> DataFrame:
+    """(key, k): every (rows div n)-th row in the order of a unique numeric key, the first n of them. Null keys are left out.
+
+    Rows are numbered within slices of the key's range; only the counts of the slices are ordered in one task.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(key)
+    edge = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if not edge["n"] or n < 1:
+        return rows.limit(0).withColumn("k", F.lit(0).cast("long"))
+    width = max(1e-300, (edge["hi"] - edge["lo"]) / bins)
+    binned = rows.withColumn("_b", F.least(F.lit(bins - 1), F.floor((F.col(key) - edge["lo"]) / width)))
+    counts = binned.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))  # a row for each slice
+    at = F.row_number().over(Window.partitionBy("_b").orderBy(key)) + F.col("_before") - 1
+    step = max(1, edge["n"] // n)
+    placed = binned.join(F.broadcast(before), "_b").withColumn("_at", at)  # `bins` rows at most
+    return placed.where((F.col("_at") % step == 0) & (F.col("_at") < step * n)).select(key, (F.col("_at") / step + 1).cast("long").alias("k"))
+
+
+def read_segments(payloads: DataFrame) -> DataFrame:
+    """(conversation_id, sector, at, start_ms, end_ms, text, speaker) of JSON payloads(value); `at` is the place in the array, missing times are 0."""
+    kind = "conversation_id bigint, sector string, segments array<struct<start_ms:bigint,end_ms:bigint,text:string,speaker:string>>"
+    rows = payloads.select(F.from_json("value", kind).alias("p")).select("p.conversation_id", "p.sector", F.posexplode("p.segments").alias("at", "s"))
+    return rows.select("conversation_id", "sector", F.col("at").cast("long").alias("at"), F.coalesce("s.start_ms", F.lit(0)).alias("start_ms"), F.coalesce("s.end_ms", F.lit(0)).alias("end_ms"), "s.text", "s.speaker")
+
+
+def preceding_context(segments: DataFrame, below: float = -0.5) -> DataFrame:
+    """The latest confident text before each line of its call."""
+    return segments.select(*_KEYS, F.last(F.when(F.col("avg_logprob") >= below, F.col("text")), ignorenulls=True).over(_before()).alias("context"))

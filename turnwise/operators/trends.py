@@ -69,18 +69,15 @@ def trend_snapshot(hits: DataFrame, as_of: str, days: int) -> DataFrame:
 def evaluate_alerts(hits: DataFrame, rules: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
     """(events, rules with last_triggered): active rules outside their cooldown whose trend meets the threshold.
 
-    rules(rule_id, keyword, days, threshold_pct, min_count, cooldown_min, is_active, last_triggered). Only the distinct windows of
-    the rules are computed, each once for all keywords.
+    rules(rule_id, keyword, days, threshold_pct, min_count, cooldown_min, is_active, last_triggered). Each keyword is
+    counted once for each different window of its rules.
     """
-    windows = [r["days"] for r in rules.where("is_active").select("days").distinct().limit(64).collect()]
-    trends = None
-    for days in windows:
-        one = compute_trend(hits, "keyword", as_of, days).withColumn("days", F.lit(days))
-        trends = one if trends is None else trends.unionByName(one)
     due = rules.where(F.col("is_active") & (F.col("last_triggered").isNull() | (F.col("last_triggered") + F.make_dt_interval(mins=F.col("cooldown_min")) <= _ts(as_of))))
-    if trends is None:
-        trends = compute_trend(hits, "keyword", as_of, 1).withColumn("days", F.lit(1)).limit(0)
-    fired = trends.join(F.broadcast(due), ["keyword", "days"]).where("pct_change >= threshold_pct AND current_count >= min_count")
+    back = lambda times: _ts(as_of) - F.make_dt_interval(days=(times * F.col("days")).cast("int"))
+    met = hits.where(F.col("created_at") < _ts(as_of)).join(due.select("keyword", "days").distinct(), "keyword").where(F.col("created_at") >= back(2))
+    counts = met.groupBy("keyword", "days").agg(F.count_if(F.col("created_at") >= back(1)).alias("current_count"), F.count_if(F.col("created_at") < back(1)).alias("previous_count"))
+    trends = counts.withColumn("pct_change", percent_change(F.col("current_count"), F.col("previous_count")))
+    fired = trends.join(due, ["keyword", "days"]).where("pct_change >= threshold_pct AND current_count >= min_count")
     events = fired.select("rule_id", "keyword", F.concat(F.lit("Rising: "), "keyword").alias("title"), F.format_string("%d hits in %d days, %d before", "current_count", F.col("days").cast("long"), "previous_count").alias("summary"), F.when(F.col("pct_change") >= 40, "warning").otherwise("info").alias("severity"), "pct_change")
     marked = events.select("rule_id").withColumn("_fired", F.lit(True))
     return events, rules.join(marked, "rule_id", "left").withColumn("last_triggered", F.when(F.col("_fired"), _ts(as_of)).otherwise(F.col("last_triggered"))).drop("_fired")
@@ -109,12 +106,12 @@ def daily_series(hits: DataFrame, keyword: str) -> DataFrame:
     return hits.where(F.col("keyword") == keyword).groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("date")).agg(F.count(F.lit(1)).alias("hit_count"))
 
 
-def dashboard_summary(calls: DataFrame, hits: DataFrame, alerts: DataFrame, as_of: str) -> DataFrame:
-    """One row: calls, mean churn risk (missing is 0), open alerts, hits of the last UTC day, the topic that rises most in 7 days."""
-    day = F.date_trunc("day", _back(as_of, 1 / 24))
-    one = calls.agg(F.count_distinct("conversation_id").alias("total_calls"), F.round(F.avg(F.coalesce("churn_risk", F.lit(0.0))), 6).alias("avg_churn_risk"))
+def dashboard_summary(calls: DataFrame, hits: DataFrame, alerts: DataFrame, as_of: str, days: int = 7) -> DataFrame:
+    """One row: the calls of the last days and their mean churn risk (missing is 0), open alerts, hits since midnight UTC, the topic that rises most in 7 days."""
+    recent = calls.where((F.col("created_at") >= _back(as_of, days)) & (F.col("created_at") < _ts(as_of)))
+    one = recent.agg(F.count_distinct("conversation_id").alias("total_calls"), F.round(F.avg(F.coalesce("churn_risk", F.lit(0.0))), 6).alias("avg_churn_risk"))
     two = alerts.agg(F.count_if(~F.col("acknowledged")).alias("open_alerts"))
-    three = hits.where((F.col("created_at") >= day) & (F.col("created_at") < _ts(as_of))).agg(F.count(F.lit(1)).alias("hits_today"))
+    three = hits.where((F.col("created_at") >= F.date_trunc("day", _ts(as_of))) & (F.col("created_at") < _ts(as_of))).agg(F.count(F.lit(1)).alias("hits_today"))
     four = compute_trend(hits, "topic", as_of, 7).agg(F.max_by("topic", F.struct("pct_change", "topic")).alias("top_rising_topic"))
     return one.crossJoin(two).crossJoin(three).crossJoin(four)
 
@@ -125,5 +122,5 @@ def flag_anomalous_topics(calls: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def token_frequency(texts: DataFrame, column: str, k: int, min_chars: int = 4) -> DataFrame:
-    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]+"), F.lit(0))).alias("token")).where(F.length("token") >= min_chars)
+    words = texts.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit(r"\p{L}+"), F.lit(0))).alias("token")).where(F.length("token") >= min_chars)
     return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(k)

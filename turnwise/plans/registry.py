@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from turnwise.functions import pii
 from turnwise.functions import text as tx
 from turnwise.operators import calls
 from turnwise.operators import governance as gov
@@ -18,13 +20,14 @@ from turnwise.streaming import trends as st
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 AS_OF, T = fx.AS_OF, f"TIMESTAMP '{fx.AS_OF}'"
+NOON = "TIMESTAMP '2024-01-30 12:30:00'"
 SEG, HITS, TURNS = f"WITH {fx.SEGMENTS_SQL}", f"WITH {fx.HITS_SQL}", f"WITH {fx.SEGMENTS_SQL}, {fx.TURNS_SQL}"
 
 
 def query(sql: str):
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        ORACLES[f.__name__] = sql.replace("@word", tx.WORD)
         return f
 
     return add
@@ -116,15 +119,15 @@ def export_daily_series(spark, d):
     return tr.daily_series(fx.hits(spark, d), "view")
 
 
-@query(f"""{SEG}, {fx.HITS_SQL} SELECT (SELECT count(DISTINCT conversation_id) FROM segments) AS total_calls,
-(SELECT round(avg(coalesce(r, 0)), 6) FROM (SELECT CASE WHEN conversation_id % 3 = 0 THEN NULL ELSE (conversation_id % 10) / 10.0 END AS r FROM (SELECT DISTINCT conversation_id FROM segments))) AS avg_churn_risk,
+@query(f"""{SEG}, {fx.HITS_SQL} SELECT (SELECT count(DISTINCT conversation_id) FROM segments WHERE created_at >= {NOON} - INTERVAL 20 DAY AND created_at < {NOON}) AS total_calls,
+(SELECT round(avg(coalesce(r, 0)), 6) FROM (SELECT CASE WHEN conversation_id % 3 = 0 THEN NULL ELSE (conversation_id % 10) / 10.0 END AS r FROM (SELECT DISTINCT conversation_id FROM segments WHERE created_at >= {NOON} - INTERVAL 20 DAY AND created_at < {NOON}))) AS avg_churn_risk,
 (SELECT count(*) FILTER (value <= 50) FROM events WHERE event_type = 'error') AS open_alerts,
-(SELECT count(*) FROM hits WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < {T}) AS hits_today,
-(SELECT topic FROM {trend_sql('topic', 7)} ORDER BY pct_change DESC, topic DESC LIMIT 1) AS top_rising_topic""")
+(SELECT count(*) FROM hits WHERE created_at >= TIMESTAMP '2024-01-30' AND created_at < {NOON}) AS hits_today,
+(SELECT topic FROM {trend_sql('topic', 7).replace(T, NOON)} ORDER BY pct_change DESC, topic DESC LIMIT 1) AS top_rising_topic""")
 def dashboard_summary(spark, d):
-    calls = fx.segments(spark, d).select("conversation_id").distinct().withColumn("churn_risk", F.expr("if(conversation_id % 3 = 0, NULL, (conversation_id % 10) / 10.0D)"))
+    calls = fx.segments(spark, d).select("conversation_id", "created_at").distinct().withColumn("churn_risk", F.expr("if(conversation_id % 3 = 0, NULL, (conversation_id % 10) / 10.0D)"))
     alerts = fx.table(spark, d, "events").where("event_type = 'error'").select((F.col("value") > 50).alias("acknowledged"))
-    return tr.dashboard_summary(calls, fx.hits(spark, d), alerts, AS_OF)
+    return tr.dashboard_summary(calls, fx.hits(spark, d), alerts, "2024-01-30 12:30:00", 20)
 
 
 @query(f"{HITS}, {MATRIX}, {ANOMALIES} SELECT DISTINCT topic, conversation_id, severity, pct_increase FROM hits JOIN a USING (topic)")
@@ -133,7 +136,7 @@ def flag_anomalous_topics(spark, d):
     return tr.flag_anomalous_topics(hits, tr.detect_anomalies(tr.trend_matrix(hits, AS_OF, 30)))
 
 
-@query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY token ORDER BY n DESC, token LIMIT 100")
+@query("SELECT token, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '\\p{L}+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY token ORDER BY n DESC, token LIMIT 100")
 def token_frequency(spark, d):
     return tr.token_frequency(fx.table(spark, d, "documents"), "text", 100)
 
@@ -180,10 +183,10 @@ def rescue_candidates(spark, d):
 TERMS = [("r1", "the", None), ("r2", "of the", None), ("r3", "die", ["telecom", "banking"]), ("r4", "que", ["omni"]), ("r5", "is", None), ("r6", "the the", None)]
 
 
-@query(f"""{SEG}, tok AS (SELECT conversation_id, segment_index, sector, text, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' AS t FROM segments),
+@query(f"""{SEG}, tok AS (SELECT conversation_id, segment_index, sector, text, ' ' || array_to_string(regexp_extract_all(lower(text), '@word'), ' ') || ' ' AS t FROM segments),
 r AS (SELECT * FROM (VALUES ('r1', 'the', NULL), ('r2', 'of the', NULL), ('r3', 'die', ['telecom', 'banking']), ('r4', 'que', ['omni']), ('r5', 'is', NULL), ('r6', 'the the', NULL)) v(rule_id, term, scope))
-SELECT conversation_id, segment_index, rule_id, term, CAST(len(string_split(substr(t, 1, instr(t, ' ' || term || ' ')), ' ')) - 2 AS BIGINT) AS word_index, substr(text, 1, 120) AS context
-FROM tok JOIN r ON contains(t, ' ' || term || ' ') AND (scope IS NULL OR list_contains(scope, sector))""")
+SELECT conversation_id, segment_index, rule_id, term, CAST(len(string_split(substr(t, 1, instr(t, ' ' || term || ' ')), ' ')) - 2 AS BIGINT) AS word_index, trim(substr(text, b, a + length(term) + 40 - b)) AS context
+FROM (SELECT *, greatest(1, a - 40) AS b FROM (SELECT *, greatest(1, instr(lower(text), term)) AS a FROM tok CROSS JOIN r)) WHERE contains(t, ' ' || term || ' ') AND (scope IS NULL OR list_contains(scope, sector))""")
 def keyword_hits(spark, d):
     return seg.keyword_hits(fx.segments(spark, d), spark.createDataFrame(TERMS, "rule_id string, term string, sector_scope array<string>"))
 
@@ -232,11 +235,14 @@ def speaker_stats(spark, d):
     return seg.speaker_stats(fx.segments(spark, d))
 
 
-@query(f"""{SEG}, w AS (SELECT conversation_id, segment_index, n_words, list_filter(['the', 'die', 'que', 'is'], lambda t: list_contains(regexp_extract_all(lower(text), '[a-z0-9]+'), t)) AS hit FROM segments),
+BEGIN = "greatest(1, i - instr(reverse(substr(l, 1, i - 1)) || ' ', ' ') - 30)"
+
+
+@query(f"""{SEG}, w AS (SELECT conversation_id, segment_index, n_words, list_filter(['the ', 'die ', 'que', 'is'], lambda t: len(list_filter(range(1, length(l) + 1), lambda i: substr(l, i, length(t)) = t AND NOT contains(substr(l, {BEGIN}, i - {BEGIN}), 'and'))) > 0) AS hit FROM (SELECT *, lower(text) AS l FROM segments)),
 g AS (SELECT conversation_id, sum(n_words) AS words, len(list_distinct(flatten(list(hit)))) AS terms, count(*) FILTER (len(hit) > 0) AS flagged FROM w GROUP BY 1)
 SELECT conversation_id, terms, flagged, round(terms / greatest(1, words), 4) AS rate, flagged = 0 AS is_clean FROM g""")
 def toxicity(spark, d):
-    return seg.toxicity_rate(fx.segments(spark, d), ["the", "die", "que", "is"])
+    return seg.toxicity_rate(fx.segments(spark, d), ["the ", "die ", "que", "is"], ["and"])
 
 
 @query(f"""{SEG}, b AS (SELECT conversation_id, segment_index, row_number() OVER (PARTITION BY conversation_id ORDER BY start_ms, segment_index) AS k, start_ms, end_ms, speaker, text FROM segments),
@@ -286,13 +292,21 @@ def acknowledge(spark, d):
 
 
 def _users(spark, d):
-    agents = fx.segments(spark, d).selectExpr("agent_id AS username", "'agent' AS role", "team").distinct()
-    return agents.unionByName(agents.groupBy("team").agg(F.lit("team_lead").alias("role")).selectExpr("concat('lead_', team) AS username", "role", "team"))
+    """The agents (one of them an intern), a lead for each team and an auditor."""
+    agents = fx.segments(spark, d).selectExpr("agent_id AS username", "if(agent_id = 'agent_5', 'intern', 'agent') AS role", "team").distinct()
+    leads = agents.groupBy("team").agg(F.lit("team_lead").alias("role")).selectExpr("concat('lead_', team) AS username", "role", "team")
+    return agents.unionByName(leads).unionByName(leads.where("team = 'team_0'").selectExpr("'watcher' AS username", "'auditor' AS role", "team"))
 
 
-@query(f"{SEG} SELECT DISTINCT conversation_id, agent_id FROM segments WHERE team = 'team_1'")
+@query(f"""{SEG}, c AS (SELECT DISTINCT conversation_id, agent_id, team FROM segments) SELECT 'lead_team_1' AS viewer, conversation_id, agent_id FROM c WHERE team = 'team_1' UNION ALL SELECT 'agent_3', conversation_id, agent_id FROM c WHERE agent_id = 'agent_3'
+UNION ALL SELECT 'agent_5', conversation_id, agent_id FROM c WHERE agent_id = 'agent_5' UNION ALL SELECT 'watcher', conversation_id, agent_id FROM c""")
 def scope_conversations(spark, d):
-    return gov.scope_conversations(fx.segments(spark, d).select("conversation_id", "agent_id").distinct(), _users(spark, d), "lead_team_1")
+    calls, users = fx.segments(spark, d).select("conversation_id", "agent_id").distinct(), _users(spark, d)
+    seen = None
+    for viewer in ("lead_team_1", "agent_3", "agent_5", "watcher", "nobody"):
+        one = gov.scope_conversations(calls, users, viewer).select(F.lit(viewer).alias("viewer"), "conversation_id", "agent_id")
+        seen = one if seen is None else seen.unionByName(one)
+    return seen
 
 
 @query(f"{SEG} SELECT conversation_id, segment_index, text FROM segments WHERE conversation_id % 5 <> 0")
@@ -334,7 +348,7 @@ def metric_tone(spark, d):
     return seg.metric_tone(seg.asr_confidence(fx.segments(spark, d)))
 
 
-@query(f"""{SEG}, h AS (SELECT conversation_id, n_words, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ('the', 'die', 'que', 'is'))) AS n FROM segments),
+@query(f"""{SEG}, h AS (SELECT conversation_id, n_words, len(list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t IN ('the', 'die', 'que', 'is'))) AS n FROM segments),
 s AS (SELECT conversation_id, CAST(sum(n) AS BIGINT) AS hits, round(least(0.95::DOUBLE, 0.12::DOUBLE * sum(n) + 2.0::DOUBLE * sum(n) / greatest(1, sum(n_words))), 6) AS score FROM h GROUP BY 1)
 SELECT *, CASE WHEN score > 0.7 THEN 'high' WHEN score > 0.4 THEN 'medium' ELSE 'low' END AS band FROM s""")
 def blended_toxicity(spark, d):
@@ -387,9 +401,9 @@ def protocol_split(spark, d):
     return gov.protocol_split(fx.table(spark, d, "documents"), "doc_id", 7, 0.1)
 
 
-@query("SELECT count(value) AS n, round(avg(value), 2) AS mean, min(value) AS low, max(value) AS high, round(median(value), 6) AS median FROM events")
+@query("""SELECT metric, count(x) AS n, round(avg(x), 2) AS mean, min(x) AS low, max(x) AS high, list_sort(list(x))[count(x) // 2 + 1] AS median FROM (SELECT 'value' AS metric, value AS x FROM events UNION ALL SELECT 'hour', CAST(hour(ts) AS DOUBLE) FROM events) GROUP BY metric""")
 def operational_stats(spark, d):
-    return gov.operational_stats(fx.table(spark, d, "events"), "value")
+    return gov.operational_stats(fx.table(spark, d, "events").selectExpr("value", "cast(hour(ts) AS double) AS hour"), ["value", "hour"])
 
 
 @query(f"{SEG} SELECT conversation_id, segment_index, CAST(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60) AS BIGINT) AS wpm FROM segments")
@@ -397,13 +411,13 @@ def wpm(spark, d):
     return fx.segments(spark, d).select("conversation_id", "segment_index", tx.wpm(F.col("n_words"), F.col("dur_ms")).alias("wpm"))
 
 
-@query("SELECT doc_id, CASE WHEN len(w) < 6 THEN 0.0 ELSE round(1 - len(list_distinct(g)) / len(g), 6) END AS ratio FROM (SELECT doc_id, w, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents))")
+@query("SELECT doc_id, CASE WHEN len(w) < 6 THEN 0.0 ELSE round(1 - len(list_distinct(g)) / len(g), 6) END AS ratio FROM (SELECT doc_id, w, list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '@word') AS w FROM documents))")
 def repeated_ngram_ratio(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return docs.select("doc_id", F.round(tx.repeated_ngram_ratio(F.col("w"), 3), 6).alias("ratio"))
 
 
-@query("SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(100.0 * len(list_filter(w, lambda x: x IN ('the', 'of', 'und', 'de'))) / len(w), 1) END AS ratio FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents)")
+@query("SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(100.0 * len(list_filter(w, lambda x: x IN ('the', 'of', 'und', 'de'))) / len(w), 1) END AS ratio FROM (SELECT doc_id, regexp_extract_all(lower(text), '@word') AS w FROM documents)")
 def filler_ratio(spark, d):
     docs = fx.table(spark, d, "documents").select("doc_id", tx.tokens(F.col("text")).alias("w"))
     return docs.select("doc_id", tx.filler_ratio(F.col("w"), ["the", "of", "und", "de"]).alias("ratio"))
@@ -414,18 +428,29 @@ def analysis_excerpt(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", tx.analysis_excerpt(F.col("text")).alias("excerpt"))
 
 
-@query("""WITH r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9]){14,18}')), '[^0-9]', '', 'g') AS n FROM documents),
-g AS (SELECT doc_id, n, list_sum(list_transform(range(1, length(n) + 1), lambda i: CASE WHEN (length(n) - i) % 2 = 1 THEN CAST(substr(n, i, 1) AS INT) * 2 - CASE WHEN CAST(substr(n, i, 1) AS INT) > 4 THEN 9 ELSE 0 END ELSE CAST(substr(n, i, 1) AS INT) END)) % 10 AS m FROM r)
-SELECT doc_id, count(*) AS cards FROM g WHERE m = 0 GROUP BY doc_id""")
+PII = """r AS (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '[0-9](?:[ .-]?[0-9]){9,31}')), '[^0-9]', '', 'g') AS n FROM documents), d AS (SELECT *, length(n) AS k, list_transform(range(1, length(n) + 1), lambda i: CAST(substr(n, i, 1) AS INT)) AS x FROM r),
+g AS (SELECT *, list_sum(list_transform(range(1, k + 1), lambda i: CASE WHEN (k - i) % 2 = 1 THEN x[i] * 2 - CASE WHEN x[i] > 4 THEN 9 ELSE 0 END ELSE x[i] END)) % 10 = 0 AS luhn,
+  k = 11 AND x[1] <> 0 AND ((x[1] + x[3] + x[5] + x[7] + x[9]) * 7 - x[2] - x[4] - x[6] - x[8] + 100) % 10 = x[10] AND list_sum(x[1:10]) % 10 = x[11] AS tckn FROM d),
+p AS (SELECT doc_id, n, CASE WHEN k BETWEEN 15 AND 19 AND luhn THEN 'pan' WHEN tckn THEN 'tckn' WHEN (k = 12 AND starts_with(n, '905')) OR (k = 11 AND starts_with(n, '05')) OR (k = 10 AND starts_with(n, '5')) THEN 'phone' END AS kind FROM g)"""
+
+
+@query(f"WITH {PII} SELECT doc_id, 0 AS iban, count(*) FILTER (kind = 'pan') AS pan, count(*) FILTER (kind = 'tckn') AS tckn, count(*) FILTER (kind = 'phone') AS phone FROM p WHERE kind IS NOT NULL GROUP BY doc_id")
 def pii_counts(spark, d):
-    return fx.table(spark, d, "documents").select("doc_id", F.size(tx.card_numbers(F.col("text"))).cast("long").alias("cards")).where("cards > 0")
+    found = fx.table(spark, d, "documents").select("doc_id", pii.redact(F.col("text"))[1].alias("n"))
+    return found.select("doc_id", "n.*").where("iban + pan + tckn + phone > 0")
 
 
-@query(f"{SEG} SELECT domain, edits, words, round(100.0 * edits / words, 4) AS wer, round(100 - 100.0 * edits / words, 4) AS accuracy FROM (SELECT sector AS domain, count(*) AS edits, CAST(sum(n_words) AS BIGINT) AS words FROM segments WHERE n_words > 0 GROUP BY sector)")
+@query(f"""{SEG}, x AS (SELECT sector AS domain, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')[1:9] AS r, list_filter(regexp_split_to_array(lower(lead(text) OVER (PARTITION BY conversation_id ORDER BY segment_index)), '[ \\t\\r\\n]+'), lambda w: w <> '')[1:9] AS h FROM segments),
+y AS (SELECT domain, len(r) AS n, len(h) AS m, list_distinct(list_concat(r, h)) AS v, r, h FROM x WHERE h IS NOT NULL AND len(r) > 0),
+z AS (SELECT domain, n, levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(96 + list_position(v, w) AS INTEGER))), ''), array_to_string(list_transform(h, lambda w: chr(CAST(96 + list_position(v, w) AS INTEGER))), '')) AS e FROM y),
+g AS (SELECT domain, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS words FROM z GROUP BY 1)
+SELECT domain, edits, words, round(100.0 * edits / words, 4) AS wer, round(greatest(0.0, 100 - 100.0 * edits / words), 4) AS accuracy FROM g""")
 def corpus_wer(spark, d):
-    """Each segment against itself with one word more in front: one edit a segment."""
-    s = fx.segments(spark, d).where("n_words > 0")
-    return seg.corpus_wer(s.selectExpr("sector AS domain", "text AS reference", "concat('zzz ', text) AS hypothesis"))
+    """The first nine words of each turn against those of the next one of its call."""
+    first = lambda c: F.array_join(F.slice(F.filter(F.split(c, "[ \t\r\n]+"), lambda x: x != ""), 1, 9), " ")
+    nxt = F.lead("text").over(Window.partitionBy("conversation_id").orderBy("segment_index"))
+    pairs = fx.segments(spark, d).select(F.col("sector").alias("domain"), first(F.col("text")).alias("reference"), nxt.alias("h")).where("h is not null and reference <> ''")
+    return seg.corpus_wer(pairs.select("domain", "reference", first(F.col("h")).alias("hypothesis")))
 
 
 @query(f"""{SEG} SELECT conversation_id, segment_index, coalesce((3 * conversation_id + 5 * segment_index) % 100 / 100 > 0.6::DOUBLE OR (avg_logprob < -0.8 AND 1 + (conversation_id + 2 * segment_index) % 15 / 10 > 1.8::DOUBLE) OR regexp_matches(text, '^[Tt]he '), false) AS dropped FROM segments""")
@@ -463,13 +488,13 @@ def discourse_metrics(spark, d):
     return calls.discourse_metrics(s, s.where("segment_index % 3 = 2"), {"positive": [" the "], "negative": [" que ", "und "], "effort": ["of the"], "greeting": ["is"], "notice": ["die "], "closing": ["que "]})
 
 
-@query("SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: starts_with(t, 'the') AND NOT starts_with(t, 'them') AND NOT starts_with(t, 'then'))) AS n FROM documents) WHERE n > 0")
+@query("SELECT doc_id, n FROM (SELECT doc_id, len(list_filter(regexp_extract_all(lower(text), '@word'), lambda t: starts_with(t, 'the') AND NOT starts_with(t, 'them') AND NOT starts_with(t, 'then'))) AS n FROM documents) WHERE n > 0")
 def excluded_prefix(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", calls.prefix_hits(F.col("text"), "the", ["them", "then"]).alias("n")).where("n > 0")
 
 
 LABELS = {"positive": ["the", "is"], "negative": ["die", "que", "und"]}
-SHARES = "w AS (SELECT conversation_id, segment_index, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM segments), p AS (SELECT conversation_id, segment_index, len(list_filter(w, lambda t: t IN ('the', 'is'))) / greatest(1, len(w)) AS pos, len(list_filter(w, lambda t: t IN ('die', 'que', 'und'))) / greatest(1, len(w)) AS neg FROM w)"
+SHARES = "w AS (SELECT conversation_id, segment_index, regexp_extract_all(lower(text), '@word') AS w FROM segments), p AS (SELECT conversation_id, segment_index, len(list_filter(w, lambda t: t IN ('the', 'is'))) / greatest(1, len(w)) AS pos, len(list_filter(w, lambda t: t IN ('die', 'que', 'und'))) / greatest(1, len(w)) AS neg FROM w)"
 EMOTION = f"""{SHARES}, r AS (SELECT *, neg * 0.45::DOUBLE AS a, neg * 0.35::DOUBLE AS f, neg * 0.2::DOUBLE AS x, 1 - pos - neg AS u FROM p), t AS (SELECT *, a + f + pos + x + u AS t FROM r),
 e AS (SELECT conversation_id, segment_index, a / t AS angry, f / t AS frustrated, pos / t AS satisfied, x / t AS anxious, u / t AS neutral, pos - neg AS sentiment FROM t),
 g AS (SELECT *, CASE greatest(angry, frustrated, satisfied, anxious, neutral) WHEN angry THEN 'angry' WHEN frustrated THEN 'frustrated' WHEN satisfied THEN 'satisfied' WHEN anxious THEN 'anxious' ELSE 'neutral' END AS category FROM e)"""
@@ -501,7 +526,7 @@ def separation_reliable(spark, d):
     return calls.separation_reliable(heads.withColumn("method", F.expr("element_at(array('stereo', 'neural', 'text'), cast(conversation_id % 3 AS int) + 1)")), ["stereo", "neural"])
 
 
-NEGATED = "len(list_intersect(regexp_extract_all(regexp_extract(substr(t, 1, instr(t, '{0}') - 1), '(?s)(\\S*.{{0,50}})$', 1) || ' ' || regexp_extract(substr(t, instr(t, '{0}') + {1}), '(?s)^(.{{0,50}}\\S*)', 1), '[a-z0-9]+'), ['no', 'is'])) > 0"
+NEGATED = "len(list_intersect(regexp_extract_all(regexp_extract(substr(t, 1, instr(t, '{0}') - 1), '(?s)(\\S*.{{0,50}})$', 1) || ' ' || regexp_extract(substr(t, instr(t, '{0}') + {1}), '(?s)^(.{{0,50}}\\S*)', 1), '@word'), ['no', 'is'])) > 0"
 HELD = {p: f"(contains(t, '{p}') AND NOT {NEGATED.format(p, len(p))})" for p in ("of the", "the ", "que ")}
 
 
@@ -517,7 +542,7 @@ def crisis_bonus(spark, d):
     return calls.crisis_bonus(fx.segments(spark, d).selectExpr("*", "speaker = 'SPEAKER_01' AND segment_index % 2 = 1 AS angry", "speaker = 'SPEAKER_00' AND n_words > 5 AS positive"))
 
 
-@query("""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'of')) AS w FROM documents), b AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t NOT IN ('the', 'of')) AS w FROM benchmark),
+@query("""WITH d AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t NOT IN ('the', 'of')) AS w FROM documents), b AS (SELECT list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t NOT IN ('the', 'of')) AS w FROM benchmark),
 r AS (SELECT unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM b), s AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS run FROM d) SELECT DISTINCT doc_id FROM s WHERE run IN (SELECT run FROM r)""")
 def prompt_echo(spark, d):
     return calls.prompt_echo(fx.table(spark, d, "documents").select("doc_id", "text"), fx.table(spark, d, "benchmark").select("text"), ["the", "of"])
@@ -560,13 +585,13 @@ def streaming_trends(spark, d):
     return st.streaming_trends(fx.hits(spark, d))
 
 
-@query(f"{SEG} SELECT conversation_id, segment_index, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: t IN ('the', 'die', 'que')))), ',') AS terms, 0 AS cards FROM segments")
+@query(f"{SEG} SELECT conversation_id, segment_index, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t IN ('the', 'die', 'que')))), ',') AS terms, 0 AS cards FROM segments")
 def stream_segment_analysis(spark, d):
     return st.stream_segment_analysis(fx.segments(spark, d), ["the", "die", "que"])
 
 
 CHUNKS = """a AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) - 1 AS place, count(*) OVER (PARTITION BY conversation_id) - 1 AS final FROM segments),
-k AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) - 1) // 2 AS chunk, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM a WHERE speaker = 'SPEAKER_01' AND length(trim(text)) >= 3 AND NOT contains(lower(text), 'of the')),
+k AS (SELECT *, (row_number() OVER (PARTITION BY conversation_id ORDER BY segment_index) - 1) // 2 AS chunk, regexp_extract_all(lower(text), '@word') AS w FROM a WHERE speaker = 'SPEAKER_01' AND length(trim(text)) >= 3 AND NOT contains(lower(text), 'of the')),
 g AS (SELECT conversation_id, chunk, count(*) AS n, max(place) AS place, max(final) AS final, avg(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60)) AS wpm, sum(len(list_filter(w, lambda t: t IN ('the', 'die', 'que', 'und', 'is')))) AS hits, sum(len(w)) AS words, bool_or(contains(lower(text), 'the')) AS anchored FROM k GROUP BY 1, 2),
 r AS (SELECT *, 1 + 0.5::DOUBLE * place / greatest(1, final) AS weight FROM g WHERE n = 2 OR place = final),
 f AS (SELECT *, least(1.0::DOUBLE, hits / greatest(1, words) * CASE WHEN wpm > 190 THEN 1.4::DOUBLE WHEN wpm > 160 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * weight) AS raw FROM r),
@@ -589,14 +614,14 @@ def churn_risk(spark, d):
 
 
 @query("""WITH p AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '[.?!]'), lambda x: trim(x)), lambda x: x <> '') AS s FROM documents WHERE text IS NOT NULL), e AS (SELECT doc_id, text, unnest(s) AS sentence, unnest(range(len(s))) AS pos FROM p),
-w AS (SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id, word) AS f FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '[a-z0-9]+')) AS word FROM e) WHERE length(word) >= 4),
+w AS (SELECT doc_id, pos, word, count(*) OVER (PARTITION BY doc_id, word) AS f FROM (SELECT doc_id, pos, unnest(regexp_extract_all(lower(sentence), '@word')) AS word FROM e) WHERE length(word) >= 4),
 c AS (SELECT doc_id, pos, round(sum(f) / sqrt(count(*)), 9) AS score FROM w GROUP BY 1, 2), r AS (SELECT e.*, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(score, 0) DESC, pos) AS rank FROM e LEFT JOIN c USING (doc_id, pos))
 SELECT doc_id, CASE WHEN max(rank) <= 2 THEN any_value(text) ELSE string_agg(sentence, '. ' ORDER BY pos) FILTER (rank <= 2) END AS summary FROM r GROUP BY doc_id""")
 def executive_summary(spark, d):
     return calls.executive_summary(fx.table(spark, d, "documents"))
 
 
-@query("""SELECT DISTINCT doc_id, n AS name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS t FROM documents), (VALUES ('there'), ('the'), ('which')) v(n) WHERE t <> 'three' AND (t = n OR (length(n) >= 5 AND levenshtein(t, n) <= 1))""")
+@query("""SELECT DISTINCT doc_id, n AS name FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '@word')) AS t FROM documents), (VALUES ('there'), ('the'), ('which')) v(n) WHERE t <> 'three' AND (t = n OR (length(n) >= 5 AND levenshtein(t, n) <= 1))""")
 def competitors(spark, d):
     return calls.competitors(fx.table(spark, d, "documents"), ["there", "the", "which"], ["three"])
 

@@ -41,6 +41,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).selectExpr("conversation_id", "segment_index AS turn_index", "start_ms + 300 AS t_start", "end_ms + 300 AS t_end", "speaker AS turn_speaker")
 
 
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 250 ms of both channels of every call, their energies from a formula, with gaps of three zero frames."""
+    calls = segments(spark, sf_dir).groupBy("conversation_id").agg(F.max("end_ms").alias("end_ms"))
+    rows = calls.select(F.col("conversation_id").alias("recording_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("end_ms") / 250))).alias("frame")).select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"))
+    level = "cast((recording_id * 7 + frame * 13 + channel * 29) % 100 AS double)"
+    energy = f"if((frame + recording_id) % 17 IN (3, 4, 5), 0.0D, {level} * {level} / 20000.0D * if((frame div 9 + channel) % 2 = 0, 1.0D, 0.01D))"
+    return rows.selectExpr("recording_id", "channel", "frame", f"{energy} AS energy", f"least(1.0D, {level} / 70.0D) AS peak", "4000L AS n_samples", f"if({level} > 97, 300L, 0L) AS n_clipped", f"if({level} < 60, 4000L, 100L) AS n_silent")
+
+
 #: The same tables for DuckDB.
 SEGMENTS_SQL = """
 c0 AS (SELECT conv_id AS conversation_id, turn AS segment_index, role, text,
@@ -56,3 +65,8 @@ segments AS (SELECT conversation_id, segment_index, text, n_words, dur_ms,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(6 * conversation_id AS INTEGER)) AS created_at FROM c2)"""
 HITS_SQL = "hits AS (SELECT event_id AS hit_id, event_type AS keyword, event_type || '-' || (user_id % 10) AS topic, user_id AS conversation_id, ts AS created_at, value FROM events)"
 TURNS_SQL = "turns AS (SELECT conversation_id, segment_index AS turn_index, start_ms + 300 AS t_start, end_ms + 300 AS t_end, speaker AS turn_speaker FROM segments)"
+FRAMES_SQL = """
+f0 AS (SELECT conversation_id AS recording_id, unnest(range(0, CAST(max(end_ms) // 250 AS BIGINT) + 1)) AS frame FROM segments GROUP BY 1), f1 AS (SELECT *, unnest([0, 1]) AS channel FROM f0),
+f2 AS (SELECT *, CAST((recording_id * 7 + frame * 13 + channel * 29) % 100 AS DOUBLE) AS v FROM f1),
+frames AS (SELECT recording_id, channel, frame, CASE WHEN (frame + recording_id) % 17 IN (3, 4, 5) THEN 0::DOUBLE ELSE v * v / 20000::DOUBLE * CASE WHEN (frame // 9 + channel) % 2 = 0 THEN 1::DOUBLE ELSE 0.01::DOUBLE END END AS energy,
+  least(1::DOUBLE, v / 70::DOUBLE) AS peak, 4000 AS n_samples, CASE WHEN v > 97 THEN 300 ELSE 0 END AS n_clipped, CASE WHEN v < 60 THEN 4000 ELSE 100 END AS n_silent FROM f2)"""
