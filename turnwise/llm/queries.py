@@ -1,4 +1,4 @@
-"""The ten operators as registered queries, each over its whole table with production parameters."""
+"""The operators as registered queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,6 +7,33 @@ from pyspark.sql import functions as F
 
 from .chat import NEIGHBOURS_SQL
 
+#: 0.5 to 0.95 of the positive's score, all pairs of anchors and rows.
+NEGATIVES_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), s AS (
+  SELECT a.vec_id AS anchor_id, a.label AS anchor_label, r.vec_id, r.label, list_inner_product(a.x, r.x)::BIGINT AS score
+  FROM r AS a, r WHERE a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id
+), p AS (
+  SELECT anchor_id, anchor_label, vec_id AS positive_id, score AS positive_score FROM s WHERE label = anchor_label
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> p.anchor_label AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY rank <= 3"""
+
+#: Base32 of SHA-1: five hexadecimal digits are four of its characters.
+WARC_SQL = """
+WITH r AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+    row_number() OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS place, first(page_id) OVER (PARTITION BY coalesce(html, '') ORDER BY page_id) AS one
+  FROM pages
+), g AS (SELECT *, list_transform(range(8), lambda i: ('0x' || substr(hex, (5 * i + 1)::INTEGER, 5))::BIGINT) AS parts FROM r)
+SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN place > 1 THEN one END AS refers_to
+FROM g"""
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -80,6 +107,24 @@ def op10_preference_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen_text", "rejected_text", spans_text("chosen_spans").alias("chosen_trained"), spans_text("rejected_spans").alias("rejected_trained"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import hard_negatives
+
+    return hard_negatives(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(_read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,6 +138,9 @@ QUERIES = {
         op8_embedding_near_dedup,
         op9_sentencepiece,
         op10_preference_formatting,
+        op11_hard_negative_mining,
+        op12_embedding_whitening,
+        op13_warc,
     )
 }
-ORACLES: dict[str, str] = {"op10_preference_formatting": NEIGHBOURS_SQL}
+ORACLES: dict[str, str] = {"op10_preference_formatting": NEIGHBOURS_SQL, "op11_hard_negative_mining": NEGATIVES_SQL, "op13_warc": WARC_SQL}
