@@ -2,6 +2,7 @@ from collections import defaultdict
 from difflib import SequenceMatcher
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,9 +98,23 @@ def test_speaker_error(spark):
     for bucket in (30_000, 700):
         got = ev.corpus_der(spark.createDataFrame(ref, schema), spark.createDataFrame(hyp, schema), 250, bucket).first()
         assert (got.total, got.missed, got.false_alarm, got.confusion) == der_by_steps(ref, hyp, 125)
+    crowd = [("b", 1000 * i, 1000 * i + 900, f"s{i % 14}") for i in range(70)]
+    renamed = [(u, a, b, f"h{(int(x[1:]) * 5) % 14}") for u, a, b, x in crowd]
+    many = ev.corpus_der(spark.createDataFrame(crowd, schema), spark.createDataFrame(renamed, schema)).first()  # 14 speakers under other names
+    assert many["total"] > 0 and many["der"] == 0
     same = ev.corpus_der(spark.createDataFrame(ref, schema), spark.createDataFrame(ref, schema)).first()
     assert (same.der, same.missed) == (0.0, 0)
     assert ev.best_pairing([[3, 5], [5, 6], [4, 1]]) == 10
+    assert ev.best_pairing([]) == 0
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        x = rng.integers(0, 9, rng.integers(1, 7, 2))
+        y = x if x.shape[0] <= x.shape[1] else x.T
+        assert ev.best_pairing(x) == max(sum(y[i][c] for i, c in enumerate(p)) for p in permutations(range(y.shape[1]), len(y)))
+    order = rng.permutation(40)
+    table = rng.uniform(0, 1, (40, 40))
+    table[np.arange(40), order] += 2  # no pairing is better than the one that has all of these
+    assert ev.best_pairing(table) == pytest.approx(table[np.arange(40), order].sum())
 
 
 def test_more_rule_windows_than_ever(spark):

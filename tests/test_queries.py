@@ -1,8 +1,9 @@
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
-from turnwise.plans import analysis, registry
+from turnwise.plans import analysis, registry, workflows
 
 from .conftest import SF
 
@@ -11,6 +12,10 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(df):
     def show(v):
+        if isinstance(v, (list, tuple, np.ndarray)):
+            return "[" + ", ".join(map(show, v)) + "]"
+        if isinstance(v, dict):
+            return "{" + ", ".join(f"{k}: {show(x)}" for k, x in v.items()) + "}"
         if pd.isna(v):
             return "null"
         return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
@@ -18,7 +23,7 @@ def rows(df):
     return sorted(tuple(show(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-assert analysis.QUERIES is registry.QUERIES
+assert analysis.QUERIES is registry.QUERIES is workflows.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,30 +40,44 @@ def mobile_ok(digits: Column) -> Column:
     return ((n == 12) & F.startswith(digits, F.lit("905"))) | ((n == 11) & F.startswith(digits, F.lit("05"))) | ((n == 10) & F.startswith(digits, F.lit("5")))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def number_kind(run: Column) -> Column:
     """pan, tckn, phone or null for a run of digits."""
-    digits = digits_of(run)
-    return F.when(F.length(digits).between(15, 19) & luhn_ok(digits), "pan").when(tckn_ok(digits), "tckn").when(mobile_ok(digits), "phone")
+    return _let(digits_of(run), lambda digits: F.when(F.length(digits).between(15, 19) & luhn_ok(digits), "pan").when((F.length(digits) == 11) & tckn_ok(digits), "tckn").when(mobile_ok(digits), "phone"))
 
 
-def _masked(text: Column, pattern: str, kind) -> tuple[Column, Column]:
-    """(the text with the matches that have a kind masked, the kinds of all matches)."""
+def _masked(text: Column, pattern: str, kind: Callable[[Column], Column]) -> Column:
+    """A struct of the text with the matches that have a kind masked and of the kinds of all matches."""
     runs = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    kinds = F.transform(runs, kind)
+    found = F.transform(runs, lambda run: F.struct(run.alias("run"), kind(run).alias("kind")))
 
-    def shown(i):
-        run, out = F.get(runs, i), F.get(runs, i)
+    def shown(one: Column) -> Column:
+        out = one["run"]
         for name, (sign, last) in MASKS.items():
-            out = F.when(kind(run) == name, F.concat(F.lit(sign), F.right(digits_of(run), F.lit(last)))).otherwise(out)
-        return F.coalesce(out, F.lit(""))
+            out = F.when(one["kind"] == name, F.concat(F.lit(sign), F.right(digits_of(one["run"]), F.lit(last)))).otherwise(out)
+        return out
+
+    def put(all_: Column) -> Column:
+        masks = F.transform(all_, shown)
+        whole = _let(masks, lambda m: F.array_join(F.transform(F.split(text, pattern, -1), lambda part, i: F.concat(part, F.coalesce(F.get(m, i), F.lit("")))), ""))
+        kinds = F.transform(all_, lambda one: one["kind"])
+        return F.struct(F.when(F.exists(kinds, lambda k: k.isNotNull()), whole).otherwise(text).alias("text"), kinds.alias("kinds"))
 
-    return F.array_join(F.transform(F.split(text, pattern, -1), lambda part, i: F.concat(part, shown(i))), ""), kinds
+    return _let(found, put)
+
+
+def redacted(text: Column) -> Column:
+    """A struct of the masked text and of the kinds of all account numbers and runs of digits that were looked at, in two arrays."""
+    account = lambda run: F.when(iban_ok(run), "iban")
+    return _let(_masked(text, IBAN_RUN, account), lambda once: _let(_masked(once["text"], DIGIT_RUN, number_kind), lambda twice: F.struct(twice["text"].alias("text"), once["kinds"].alias("accounts"), twice["kinds"].alias("numbers"))))
 
 
 def redact(text: Column) -> tuple[Column, Column]:
     """(the masked text, a struct of how many account, card, identity and mobile numbers were masked); nulls stay null with counts of 0."""
-    account = lambda run: F.when(iban_ok(run), "iban")
-    once, ibans = _masked(text, IBAN_RUN, account)
-    twice, numbers = _masked(once, DIGIT_RUN, number_kind)
-    count = lambda kinds, name: F.greatest(F.lit(0), F.coalesce(F.size(F.filter(kinds, lambda k: k == name)), F.lit(0))).cast("long").alias(name)
-    return twice, F.struct(count(ibans, "iban"), count(numbers, "pan"), count(numbers, "tckn"), count(numbers, "phone"))
+    found = redacted(text)
+    counts = F.transform(F.array(found), lambda r: F.struct(*[F.size(F.filter(F.coalesce(r["accounts" if name == "iban" else "numbers"], F.array().cast("array<string>")), lambda k: k == name)).cast("long").alias(name) for name in MASKS]))  # noqa: B023
+    return found["text"], F.get(counts, 0)

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,28 +69,45 @@ def soft_skills(segments: DataFrame, agent: str, phrases: dict[str, list[str]],
     return calls.select("conversation_id", F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long").alias("score"), F.col("wpm").cast("long").alias("wpm"), "interruptions")
 
 
-def best_pairing(overlap: list[list[float]]) -> float:
-    """The largest total of a pairing of rows with columns, each used once: over subsets of the shorter side, which holds at most 12."""
-    if overlap and len(overlap[0]) > len(overlap):
-        overlap = [list(c) for c in zip(*overlap, strict=True)]
-    k = len(overlap[0]) if overlap else 0
-    if k > 12:
-        raise ValueError("more than 12 speakers on both sides of a recording")
-
-    @lru_cache(None)
-    def best(row: int, used: int) -> float:
-        if row == len(overlap):
-            return 0.0
-        return max([best(row + 1, used)] + [overlap[row][c] + best(row + 1, used | 1 << c) for c in range(k) if not used >> c & 1])
+def best_pairing(overlap: np.ndarray) -> float:
+    """The largest total of a pairing of rows with columns, each used once: the Hungarian method, cubic in the speakers, without a limit.
 
-    return best(0, 0)
+    Rows enter one after another; each grows a tree of tight columns, by prices kept on both sides, until it meets a free column, and
+    the pairs on the way there swap. Overlaps are not negative, so pairing all of the shorter side is best.
+    """
+    cost = -np.asarray(overlap, float)
+    if not cost.size:
+        return 0.0
+    if cost.shape[0] > cost.shape[1]:
+        cost = cost.T
+    n, m = cost.shape
+    row_price, column_price, of = np.zeros(n), np.zeros(m + 1), np.full(m + 1, -1)  # column m is where a row enters
+    for row in range(n):
+        of[m], at = row, m
+        gap, came, seen = np.full(m, np.inf), np.full(m, m), np.zeros(m + 1, bool)
+        while of[at] >= 0:
+            seen[at] = True
+            now = of[at]
+            slack = cost[now] - row_price[now] - column_price[:m]
+            closer = ~seen[:m] & (slack < gap)
+            gap[closer], came[closer] = slack[closer], at
+            best = int(np.where(seen[:m], np.inf, gap).argmin())
+            step = gap[best]
+            row_price[of[seen]] += step
+            column_price[seen] -= step
+            gap[~seen[:m]] -= step
+            at = best
+        while at != m:
+            of[at], at = of[came[at]], came[at]
+    used = np.flatnonzero(of[:m] >= 0)
+    return float(-cost[of[used], used].sum())
 
 
 def corpus_der(reference: DataFrame, hypothesis: DataFrame, collar_ms: int = 250, bucket_ms: int = 30_000) -> DataFrame:
     """(uri, total, missed, false_alarm, confusion, der): speaker error of each recording, times in milliseconds.
 
     reference and hypothesis hold (uri, t_start, t_end, speaker). Half a collar on both sides of each reference boundary is left out,
-    overlapping speech is kept. Speakers are paired so that most time agrees. Recordings without reference speech have a null rate.
+    overlapping speech is kept. Speakers, any number of them, are paired so that most time agrees. Recordings without reference speech have a null rate.
     Spans are cut at every boundary and meet turns in buckets of their recording, so long recordings make no quadratic pairs.
     """
     fine = lambda df: df.where("t_end > t_start and speaker is not null").select("uri", "t_start", "t_end", "speaker").distinct()
@@ -113,7 +129,7 @@ def corpus_der(reference: DataFrame, hypothesis: DataFrame, collar_ms: int = 250
     met = r.join(h, ["uri", "begin", "end"]).groupBy("uri", "r", "h").agg(F.sum(F.col("end") - F.col("begin")).alias("ms"))
 
     def pair(rows: pd.DataFrame) -> pd.DataFrame:
-        table = rows.pivot(index="r", columns="h", values="ms").fillna(0).to_numpy().tolist()
+        table = rows.pivot(index="r", columns="h", values="ms").fillna(0).to_numpy()
         return pd.DataFrame({"uri": [rows["uri"].iloc[0]], "correct": [int(best_pairing(table))]})
 
     # a recording's table of speakers by speakers
