@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from turnwise.operators import vocabulary as vo
-from turnwise.plans.registry import QUERIES
+from turnwise.operators import whole as wh
+from turnwise.plans.analysis import RULE_TYPES, RULES
+from turnwise.plans.registry import CHUNKS, ORACLES, PII, QUERIES, query
 from turnwise.sources import fixtures as fx
+from turnwise.sources.scratch import scratch_folder
+from turnwise.sources.store import AnalysisStore, analysis_rows
 
 
 def domain_snap(spark, d):
@@ -24,3 +28,108 @@ def domain_snap(spark, d):
 
 #: Likeness is no SQL function: tests/test_vocabulary.py holds it against loops over all pairs.
 QUERIES["domain_snap"] = domain_snap
+
+
+RUN = "[0-9](?:[ .-]?[0-9]){9,31}"
+#: Segments that read a number aloud: that of the document whose id is 8 * conversation_id + segment_index, if it has one.
+CALLS_SQL = fx.SEGMENTS_SQL.replace("\nsegments AS (", "\nsegments0 AS (") + f""",
+shown AS (WITH {PII.replace(f"unnest(regexp_extract_all(text, '{RUN}'))", f"regexp_extract(text, '{RUN}')")} SELECT doc_id, kind, CASE kind WHEN 'pan' THEN '[KART NO GİZLENDİ] **** ' || right(p.n, 4) WHEN 'tckn' THEN '[TCKN GİZLENDİ] *********' || right(p.n, 2) WHEN 'phone' THEN '[TELEFON GİZLENDİ] *** ' || right(p.n, 4) ELSE regexp_extract(text, '{RUN}') END AS run FROM p JOIN documents USING (doc_id) WHERE n <> ''),
+segments AS (SELECT s.* REPLACE (s.text || coalesce(' # ' || run, '') AS text), kind FROM segments0 s LEFT JOIN shown ON doc_id = 8 * conversation_id + segment_index)"""
+CALLS = f"WITH {CALLS_SQL}"
+
+
+def _of_calls(name: str) -> str:
+    """The twin of another query over these calls."""
+    return ORACLES[name].replace(fx.SEGMENTS_SQL, CALLS_SQL)
+
+
+#: Small letters of a dotted capital I are two characters in the JVM.
+DOTTED = CHUNKS.replace("lower(text), '@word'", "lower(replace(text, 'İ', 'i' || chr(775))), '@word'")
+NAMES_SQL = ORACLES["competitors"].replace("FROM documents", "FROM (SELECT conversation_id AS doc_id, text FROM segments)")
+TOPIC = "CASE lower({0}) WHEN 'the' THEN 't1' WHEN 'of the' THEN 't1' WHEN 'die' THEN 't2' WHEN 'que' THEN 't3' WHEN 'is' THEN 't3' END"
+ANALYSIS_SQL = f"""{CALLS}, c AS ({CALLS}, {DOTTED} SELECT * FROM c), names AS (SELECT doc_id AS conversation_id, name FROM ({NAMES_SQL})),
+h AS (SELECT conversation_id, max(sector) AS sector, max(agent_id) AS agent_id, max(end_ms) AS duration_ms, count(*) AS n_lines, string_agg(text, ' ' ORDER BY segment_index) AS transcript, 0 AS iban,
+  count(*) FILTER (kind = 'pan') AS pan, count(*) FILTER (kind = 'tckn') AS tckn, count(*) FILTER (kind = 'phone') AS phone, count(DISTINCT speaker) FILTER (speaker IN ('SPEAKER_00', 'SPEAKER_01')) = 2 AND conversation_id % 3 < 2 AS reliable FROM segments GROUP BY conversation_id),
+q AS (SELECT conversation_id, 0.65::DOUBLE * max(risk) + 0.35::DOUBLE * sum(risk * weight) / sum(weight) AS r, count(*) AS chunks FROM c GROUP BY 1),
+z AS (SELECT q.*, least(1.0::DOUBLE, r + CASE WHEN r > 0.3 THEN least(0.2::DOUBLE, 0.1::DOUBLE * coalesce(named, 0)) ELSE 0 END) AS x FROM q LEFT JOIN (SELECT conversation_id, count(*) AS named FROM names GROUP BY 1) USING (conversation_id)),
+hit AS ({_of_calls('keyword_engine')}),
+tp AS (SELECT conversation_id, array_to_string(list_sort(list(DISTINCT t)), ',') AS topics FROM (SELECT conversation_id, coalesce({TOPIC.format('keyword')}, {TOPIC.format('matched_text')}) AS t FROM hit) WHERE t IS NOT NULL GROUP BY 1)
+SELECT h.*, g.confidence AS asr_confidence, g.passes AS quality_gate, s.score AS empathy, s.wpm AS agent_wpm, s.interruptions AS customer_cuts, round(coalesce(x, 0), 6) AS churn_risk, coalesce(x >= 0.75, false) AS high_risk,
+  CASE WHEN NOT reliable OR chunks IS NULL THEN 'low' WHEN chunks >= 4 THEN 'high' WHEN chunks >= 2 THEN 'medium' ELSE 'low' END AS churn_confidence, t.rate AS toxicity_rate, t.terms AS toxic_terms, t.is_clean, d.fcr, d.ces, d.adherence, d.status AS resolution, u.summary,
+  coalesce(topics, '') AS topics, coalesce((SELECT array_to_string(list_sort(list(name)), ',') FROM names n WHERE n.conversation_id = h.conversation_id), '') AS competitors,
+  (SELECT count(*) FROM hit n WHERE n.conversation_id = h.conversation_id) AS n_hits, (SELECT count(*) FROM ({_of_calls('compliance_violations')}) n WHERE n.conversation_id = h.conversation_id) AS n_violations, (SELECT count(*) FROM ({_of_calls('crosstalk_adjacent')}) n WHERE n.conversation_id = h.conversation_id) AS n_crosstalk
+FROM h JOIN ({_of_calls('quality_gate')}) g USING (conversation_id) JOIN ({_of_calls('soft_skills').replace('SPEAKER_01', 'SPEAKER_00').replace("WHEN 'user' THEN 'SPEAKER_00'", "WHEN 'user' THEN 'SPEAKER_01'")}) s USING (conversation_id) LEFT JOIN z USING (conversation_id) JOIN ({_of_calls('toxicity')}) t USING (conversation_id)
+JOIN ({_of_calls('discourse_metrics').replace('FROM segments WHERE segment_index % 3 = 2 GROUP BY 1', f"FROM ({_of_calls('interruptions')}) GROUP BY 1")}) d USING (conversation_id)
+JOIN (SELECT doc_id AS conversation_id, summary FROM ({ORACLES['executive_summary'].replace('FROM documents', "FROM (SELECT conversation_id AS doc_id, string_agg(text, ' ' ORDER BY segment_index) AS text FROM segments GROUP BY 1)")})) u USING (conversation_id) LEFT JOIN tp USING (conversation_id)"""
+
+
+def _calls(spark, d):
+    numbers = fx.table(spark, d, "documents").select((F.col("doc_id")).alias("_id"), F.regexp_extract("text", RUN, 0).alias("_run")).where("_run <> ''")
+    lines = fx.segments(spark, d).withColumn("_id", F.expr("8 * conversation_id + segment_index")).join(numbers, "_id", "left")
+    method = F.expr("element_at(array('stereo', 'neural', 'text'), cast(conversation_id % 3 AS int) + 1)")
+    return lines.withColumn("text", F.when(F.col("_run").isNull(), F.col("text")).otherwise(F.concat_ws(" # ", "text", "_run"))).withColumn("method", method).drop("_id", "_run")
+
+
+def _call_rules(spark) -> wh.CallRules:
+    topics = spark.createDataFrame([("t1", 1, ["the", "of the"]), ("t2", 2, ["die"]), ("t3", 3, ["que", "is"])], "topic_id string, place int, terms array<string>")
+    return wh.CallRules(
+        rules=spark.createDataFrame(RULES, RULE_TYPES),
+        topics=topics,
+        synonyms=spark.createDataFrame([("is", ["it is"])], "keyword string, synonyms array<string>"),
+        skills={"listening": ["the", "und "], "compassion": ["que"], "solution": ["of the", "is"], "defensive": ["die "]},
+        fast=140,
+        patterns=[("promise", "of the", None), ("pressure", "que ", None), ("rate", "the ", "banking")],
+        negators=["no", "is"],
+        toxic=["the ", "die ", "que", "is"],
+        shields=["and"],
+        discourse={"positive": [" the "], "negative": [" que ", "und "], "effort": ["of the"], "greeting": ["is"], "notice": ["die "], "closing": ["que "]},
+        agent_phrases=["of the"],
+        churn_words=["the", "die", "que", "und", "is"],
+        anchors=["the"],
+        block=2,
+        rivals=["there", "the", "which"],
+        own_names=["three"],
+    )
+
+
+def _analysed(spark, d, output):
+    return wh.analyze_calls(_calls(spark, d), _call_rules(spark), scratch_folder(spark, "calls"), (output,))[output]
+
+
+@query(ANALYSIS_SQL)
+def call_analysis(spark, d):
+    """What an analysis finds about each call, in one row."""
+    return _analysed(spark, d, "call_analysis")
+
+
+@query(_of_calls("keyword_engine"))
+def call_hits(spark, d):
+    return _analysed(spark, d, "hits").drop("context")
+
+
+@query(f"{CALLS} SELECT v.*, start_ms, end_ms, text FROM ({_of_calls('compliance_violations')}) v JOIN segments USING (conversation_id, segment_index)")
+def call_violations(spark, d):
+    return _analysed(spark, d, "violations")
+
+
+@query(_of_calls("crosstalk_adjacent"))
+def call_events(spark, d):
+    return _analysed(spark, d, "events")
+
+
+@query(f"""{CALLS}, k AS (SELECT conversation_id, count(*) AS n_hits, array_to_string(list_sort(list(DISTINCT sha256(conversation_id || ':' || segment_index))), ',') AS hit_lines FROM ({_of_calls('keyword_engine')}) GROUP BY 1)
+SELECT CAST(conversation_id AS VARCHAR) AS conversation_id, CASE WHEN conversation_id % 3 = 2 THEN 'processing' ELSE 'completed' END AS status, CASE WHEN conversation_id % 3 < 2 THEN max(end_ms) / 1000 END AS duration_sec, CASE WHEN conversation_id % 3 < 2 THEN count(*) ELSE 0 END AS n_segments,
+  CASE WHEN conversation_id % 3 < 2 THEN coalesce(max(n_hits), 0) ELSE 0 END AS n_hits, CASE WHEN conversation_id % 3 < 2 THEN coalesce(max(hit_lines), '') ELSE '' END AS hit_lines FROM segments LEFT JOIN k USING (conversation_id) GROUP BY conversation_id""")
+def stored_analysis(spark, d):
+    """Calls as the store has them: all opened, two thirds analysed, a third of them twice; and the keys of the lines that have hits."""
+    found = wh.analyze_calls(_calls(spark, d), _call_rules(spark), scratch_folder(spark, "calls"), ("hits",))
+    lines = found["lines"]
+    heads = lines.groupBy("conversation_id").agg(F.max("agent_id").alias("agent_id"), F.max("sector").alias("sector"), (F.max("end_ms") / 1000.0).alias("duration_sec"), F.lit(None).cast("string").alias("full_transcript"), F.lit(0.0).alias("asr_confidence"), F.lit(True).alias("quality_gate_passed"), F.lit("{}").alias("metadata_json"))
+    store = AnalysisStore(spark, scratch_folder(spark, "store"))
+    store.open_calls("open", heads.select(F.col("conversation_id").cast("string").alias("conversation_id"), "agent_id"))
+    for commit, part in (("one", "conversation_id % 3 < 2"), ("two", "conversation_id % 3 = 1")):
+        store.write(commit, analysis_rows(heads.where(part), lines.where(part), found["hits"].where(part)), update=True)
+    n_lines = store.read("segments").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_segments"))
+    n_hits = store.read("hits").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_hits"), F.array_join(F.array_sort(F.collect_set("segment_id")), ",").alias("hit_lines"))
+    rows = store.read("conversations").join(n_lines, "conversation_id", "left").join(n_hits, "conversation_id", "left").fillna(0, ["n_segments", "n_hits"]).fillna("", ["hit_lines"])
+    return rows.select("conversation_id", "status", "duration_sec", "n_segments", "n_hits", "hit_lines")
