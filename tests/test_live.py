@@ -6,6 +6,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from turnwise.plans import workflows
+from turnwise.sources import fixtures as fx
 from turnwise.streaming import alerts
 from turnwise.streaming.endpoints import ROCKS, Endpointing, advance, endpoint_stream, flush, utterances
 
@@ -148,3 +150,17 @@ def test_alert_stream_restarts(spark, tmp_path):
         assert query.exception() is None
     found = alerts.alert_events(spark, folder).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")).collect()
     assert {r.rule_id: r.n for r in found} == {"r1": 1, "r2": 3}
+
+
+def test_queries(spark):
+    """The registered forms over all rows of their tables."""
+    sf = "/root/testdata/sf0.001"
+    frames = [tuple(r) for r in workflows._frames_of_words(spark, sf).collect()]
+    assert sorted(tuple(r) for r in workflows.live_partials(spark, sf).collect()) == plain(frames) and len(frames) > 500
+    hits = [tuple(r) for r in fx.hits(spark, sf).select("keyword", "conversation_id", "created_at").collect()]
+    first = min(t for *_, t in hits).date()
+    n = (max(t for *_, t in hits).date() - first).days // 5 + 1
+    batches = [[h for h in hits if (h[2].date() - first).days // 5 == b] for b in range(n)]
+    rules = [(f"rule-{k}", k, 7 if len(k) % 2 == 0 else 1, -20.0, 5, 1440 * len(k), k != "error", None) for k in sorted({h[0] for h in hits})]
+    got = sorted((r.batch, r.rule_id, r.fired_at) for r in workflows.alert_history(spark, sf).collect())
+    assert got == sorted(plain_alerts(batches, rules)) and got

@@ -140,6 +140,34 @@ def prompt_echo(docs: DataFrame, prompts: DataFrame, stop: list[str], n: int = 5
     return runs(docs, "doc_id").join(runs(prompts).distinct(), "run", "left_semi").select("doc_id").distinct()
 
 
+def prompt_overlap(docs: DataFrame, prompts: DataFrame, stop: list[str], least_words: int = 5, ratio: float = 0.6) -> DataFrame:
+    """(doc_id, prompt_id, words, matched) of the texts most of whose words are a prompt's: `least_words` of them at least, and at least `ratio` of all.
+
+    Words are counted as often as they stand in the text, stop words left out. A text that matches lacks at most (1 - ratio) of its
+    words, so of one word more than that, taken in an order, the prompt has at least one: texts meet prompts by those words only, the ones
+    that fewest prompts have, and pairs that meet are counted out. Words without a prompt come first in that order and need no
+    join. Null texts match nothing; rows of docs(doc_id, text) that are equal count once.
+    """
+    words = lambda: F.filter(tx.tokens(F.col("text")), lambda t: ~t.isin(stop))
+    listed = prompts.select("prompt_id", F.array_distinct(words()).alias("have")).where("size(have) > 0").dropDuplicates()
+    common = listed.select(F.explode("have").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    text = docs.where("text is not null").select("doc_id", words().alias("w")).where(F.size("w") >= least_words).distinct()
+    text = text.withColumn("lack", F.floor(F.size("w") * (1 - ratio) + 1e-9)).withColumn("key", F.xxhash64("doc_id", "w"))
+    spoken = text.select("key", "lack", F.explode("w").alias("word")).groupBy("key", "lack", "word").agg(F.count(F.lit(1)).alias("times"))
+    known = spoken.join(common, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = Window.partitionBy("key").orderBy("n", "word").rowsBetween(Window.unboundedPreceding, -1)
+    probes = known.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0))).where("before <= lack and n > 0").select("key", "word")
+    pairs = probes.join(listed.select("prompt_id", F.explode("have").alias("word")), "word").select("key", "prompt_id").distinct()
+    met = pairs.join(text, "key").join(listed, "prompt_id")
+    counted = met.select("doc_id", "prompt_id", F.size("w").cast("long").alias("words"), F.size(F.filter("w", lambda t: F.array_contains("have", t))).cast("long").alias("matched"))
+    return counted.where((F.col("matched") >= least_words) & (F.col("matched") >= ratio * F.col("words") - 1e-9)).distinct()
+
+
+def echoes(docs: DataFrame, prompts: DataFrame, stop: list[str]) -> DataFrame:
+    """Documents that echo one of prompts(prompt_id, text): by a run of five of its words, or by most of their words being its."""
+    return prompt_echo(docs, prompts, stop).unionByName(prompt_overlap(docs, prompts, stop).select("doc_id")).distinct()
+
+
 def write_rttm(turns: DataFrame) -> DataFrame:
     """A speaker-turn line for each turn of positive length."""
     seconds = lambda ms: F.format_string("%.3f", ms / 1000.0)

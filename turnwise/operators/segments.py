@@ -255,6 +255,36 @@ def align_words_to_turns(segments: DataFrame, turns: DataFrame, word_ms: int = 4
     return out.select(*keys, F.coalesce("m.turn_speaker", "speaker").alias("speaker"), F.coalesce("crossed", F.lit(0)).alias("crosstalk_words"))
 
 
+def words_in_turns(words: DataFrame, turns: DataFrame, bucket_ms: int = 30_000) -> DataFrame:
+    """words(conversation_id, segment_index, word, w_start, w_end, ...) with `turn_speaker`, the first turn (by turn_index) that holds the word's middle, else
+    null, and `crosstalk`: several turns hold its middle, or a turn of another speaker than the word's (null: its segment's `speaker`) overlaps it at all.
+
+    Overlaps come from one sweep over a call: of all turns, and of the word's speaker's, those that have begun before the word's end
+    less those that have ended by its start. So no word meets a turn but those around its middle. Turns and words without length overlap
+    nothing.
+    """
+    keys = ["conversation_id", "segment_index", "word"]
+    whole = turns.where("t_end > t_start").select("conversation_id", "turn_index", "t_start", "t_end", "turn_speaker")
+    spread = whole.withColumn("_b", F.explode(F.sequence(F.floor(F.col("t_start") / bucket_ms), F.floor((F.col("t_end") - 1) / bucket_ms))))
+    # twice the middle is whole
+    placed = words.withColumn("_m", F.col("w_start") + F.col("w_end")).withColumn("_b", F.floor(F.col("_m") / (2 * bucket_ms)))
+    held = placed.select(*keys, "_m", "_b").join(spread, ["conversation_id", "_b"]).where("_m >= 2 * t_start and _m < 2 * t_end")
+    held = held.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("turn_index", "turn_speaker")).alias("_first"))
+    rows = words.join(held, keys, "left").withColumn("turn_speaker", F.col("_first.turn_speaker")).withColumn("_who", F.coalesce("turn_speaker", "speaker"))
+
+    event = lambda t, rank, who, begun, ended: F.struct(t.alias("t"), F.lit(rank).alias("rank"), who.alias("who"), F.lit(begun).alias("begun"), F.lit(ended).alias("ended"))
+    none = F.lit(None)
+    of_turns = whole.select("conversation_id", none.cast("bigint").alias("segment_index"), none.cast("bigint").alias("word"), F.inline(F.array(event(F.col("t_end"), 0, F.col("turn_speaker"), 0, 1), event(F.col("t_start"), 3, F.col("turn_speaker"), 1, 0))))
+    # a word asks behind the ends at its start, and before the starts at its end
+    asked = rows.where("w_end > w_start").select("conversation_id", F.col("segment_index").cast("bigint").alias("segment_index"), F.col("word").cast("bigint").alias("word"), F.inline(F.array(event(F.col("w_start"), 1, F.col("_who"), 0, 0), event(F.col("w_end"), 2, F.col("_who"), 0, 0))))
+    upto = lambda *by: Window.partitionBy("conversation_id", *by).orderBy("t", "rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    count = lambda column: F.sum(column).over(upto()) - F.sum(column).over(upto("who"))
+    swept = of_turns.unionByName(asked).withColumn("others", F.when(F.col("rank") == 2, count("begun")).otherwise(-count("ended"))).where("rank in (1, 2)")
+    crossed = swept.groupBy(*keys).agg((F.sum("others") > 0).alias("_crossed"))
+    out = rows.join(crossed, keys, "left")
+    return out.withColumn("crosstalk", F.coalesce(F.col("_n") > 1, F.lit(False)) | F.coalesce("_crossed", F.lit(False))).drop("_n", "_first", "_who", "_crossed")
+
+
 def crosstalk_from_regions(regions: DataFrame, segments: DataFrame, high_ms: int = 1000, bucket_ms: int = 30_000) -> DataFrame:
     """Regions(conversation_id, r_start, r_end) in which at least two speakers are active, with their speakers and intensity."""
     spread = lambda df, s, e: df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(s) / bucket_ms), F.floor((F.col(e) - 1) / bucket_ms))))

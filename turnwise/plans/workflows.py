@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnwise.operators import calls as ca
+from turnwise.operators import segments as seg
 from turnwise.operators import vocabulary as vo
 from turnwise.operators import whole as wh
 from turnwise.plans.analysis import RULE_TYPES, RULES
@@ -12,6 +14,8 @@ from turnwise.plans.registry import CHUNKS, ORACLES, PII, QUERIES, query
 from turnwise.sources import fixtures as fx
 from turnwise.sources.scratch import scratch_folder
 from turnwise.sources.store import AnalysisStore, analysis_rows
+from turnwise.streaming import alerts
+from turnwise.streaming import endpoints as ep
 
 
 def domain_snap(spark, d):
@@ -133,3 +137,56 @@ def stored_analysis(spark, d):
     n_hits = store.read("hits").groupBy("conversation_id").agg(F.count(F.lit(1)).alias("n_hits"), F.array_join(F.array_sort(F.collect_set("segment_id")), ",").alias("hit_lines"))
     rows = store.read("conversations").join(n_lines, "conversation_id", "left").join(n_hits, "conversation_id", "left").fillna(0, ["n_segments", "n_hits"]).fillna("", ["hit_lines"])
     return rows.select("conversation_id", "status", "duration_sec", "n_segments", "n_hits", "hit_lines")
+
+
+@query(r"""WITH s AS (SELECT doc_id, unnest(x) AS text, unnest(range(len(x))) AS pos FROM (SELECT doc_id, regexp_split_to_array(text, '[.?!]') AS x FROM documents)), d AS (SELECT 100000 * doc_id + pos AS doc_id, list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t NOT IN ('the', 'of')) AS w FROM s), b AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '@word'), lambda t: t NOT IN ('the', 'of')) AS w FROM benchmark),
+u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d WHERE len(w) >= 5), m AS (SELECT doc_id, item_id AS prompt_id, n AS words, count(*) AS matched FROM u JOIN (SELECT item_id, unnest(list_distinct(w)) AS t FROM b) USING (t) GROUP BY ALL)
+SELECT * FROM m WHERE matched >= 5 AND matched >= 0.6::DOUBLE * words""")
+def prompt_overlap(spark, d):
+    """Sentences of documents most of whose words are a benchmark text's."""
+    sentences = fx.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "[.?!]", -1)).alias("pos", "text")).selectExpr("100000 * doc_id + pos AS doc_id", "text")
+    return ca.prompt_overlap(sentences, fx.table(spark, d, "benchmark").select(F.col("item_id").alias("prompt_id"), "text"), ["the", "of"])
+
+
+WORDS_SQL = "w AS (SELECT conversation_id, segment_index, word, speaker, start_ms + 400 * (word - 1) AS w_start, start_ms + 400 * word - 50 AS w_end FROM (SELECT *, unnest(range(1, n_words + 1)) AS word FROM segments))"
+
+
+def _words(spark, d):
+    words = fx.segments(spark, d).where("n_words > 0").select("conversation_id", "segment_index", "speaker", "start_ms", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_words"))).alias("word"))
+    return words.withColumn("w_start", F.expr("start_ms + 400 * (word - 1)")).withColumn("w_end", F.expr("start_ms + 400 * word - 50")).drop("start_ms")
+
+
+@query(f"""WITH {fx.SEGMENTS_SQL}, {fx.TURNS_SQL}, {WORDS_SQL}, o AS (SELECT w.*, turn_index, turn_speaker, 2 * t_start <= w_start + w_end AND w_start + w_end < 2 * t_end AS mid FROM w JOIN turns t ON t.conversation_id = w.conversation_id AND t_start < w_end AND t_end > w_start AND t_end > t_start),
+f AS (SELECT conversation_id, segment_index, word, arg_min(turn_speaker, turn_index) FILTER (mid) AS turn_speaker, count(*) FILTER (mid) AS n FROM o GROUP BY ALL),
+x AS (SELECT w.*, f.turn_speaker, coalesce(n, 0) AS n FROM w LEFT JOIN f USING (conversation_id, segment_index, word)),
+c AS (SELECT x.conversation_id, x.segment_index, x.word, x.turn_speaker, x.n > 1 OR count(o.word) FILTER (o.turn_speaker <> coalesce(x.turn_speaker, x.speaker)) > 0 AS crosstalk FROM x LEFT JOIN o USING (conversation_id, segment_index, word) GROUP BY ALL)
+SELECT conversation_id, segment_index, word, turn_speaker, crosstalk FROM c""".replace("GROUP BY ALL)\nSELECT conv", "GROUP BY x.conversation_id, x.segment_index, x.word, x.turn_speaker, x.n)\nSELECT conv"))
+def words_in_turns(spark, d):
+    """Each word's turn, and whether another speaker's turn touches it."""
+    return seg.words_in_turns(_words(spark, d), fx.turns(spark, d)).select("conversation_id", "segment_index", "word", "turn_speaker", "crosstalk")
+
+
+def live_partials(spark, d):
+    """Partial and final utterances of every call's words, 400 ms each, every seventh one silent."""
+    frames = _frames_of_words(spark, d)
+    return ep.utterances(frames)
+
+
+def _frames_of_words(spark, d):
+    words = fx.segments(spark, d).where("n_words > 0").selectExpr("cast(conversation_id AS string) AS session_id", "start_ms", "posexplode(filter(split(text, '[ \\t\\r\\n]+'), x -> x <> '')) AS (i, text)")
+    return words.selectExpr("session_id", "start_ms + 400 * i AS start", "start_ms + 400 * i + 400 AS end", "if(i % 7 in (5, 6), '', text) AS text")
+
+
+def alert_history(spark, d):
+    """What the alert rules of every keyword fire as the hits come in, in batches of five days."""
+    hits, folder = fx.hits(spark, d).select("keyword", "conversation_id", "created_at"), scratch_folder(spark, "alerts")
+    rules = hits.select("keyword").distinct().selectExpr("concat('rule-', keyword) AS rule_id", "keyword", "if(length(keyword) % 2 = 0, 7, 1) AS days", "-20.0D AS threshold_pct", "5 AS min_count", "60 * 24 * length(keyword) AS cooldown_min", "keyword <> 'error' AS is_active", "cast(null AS timestamp) AS last_triggered")
+    edge = hits.agg(F.min("created_at").cast("date").alias("lo"), F.datediff(F.max("created_at"), F.min("created_at")).alias("n")).first()
+    for number in range((edge["n"] or 0) // 5 + 1):
+        batch = hits.where(F.floor(F.datediff("created_at", F.lit(edge["lo"])) / 5) == number)
+        alerts.evaluate_batch(batch, number, rules, folder)
+    return alerts.alert_events(spark, folder).select("batch", "rule_id", "keyword", "title", "summary", "severity", "pct_change", "fired_at")
+
+
+#: Folds over what was heard and fired before: tests/test_live.py holds them against plain loops.
+QUERIES |= {f.__name__: f for f in (live_partials, alert_history)}
