@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from turnwise.functions import text as tx
 from turnwise.operators import calls as ca
+from turnwise.operators import scoring as sc
 from turnwise.operators import segments as seg
 from turnwise.operators import vocabulary as vo
 from turnwise.operators import whole as wh
 from turnwise.plans.analysis import RULE_TYPES, RULES
-from turnwise.plans.registry import CHUNKS, ORACLES, PII, QUERIES, query
+from turnwise.plans.registry import CHUNKS, ORACLES, PII, QUERIES, SEG, query
+from turnwise.sources import files as fi
 from turnwise.sources import fixtures as fx
 from turnwise.sources.scratch import scratch_folder
 from turnwise.sources.store import AnalysisStore, analysis_rows
@@ -190,3 +193,87 @@ def alert_history(spark, d):
 
 #: Folds over what was heard and fired before: tests/test_live.py holds them against plain loops.
 QUERIES |= {f.__name__: f for f in (live_partials, alert_history)}
+
+
+class HashModel:
+    """A stand-in for a trained model: a score for each label that a hash of label and text gives."""
+
+    def __init__(self, labels: list[str]):
+        self.labels = labels
+
+    def predict(self, texts: list[str]) -> list[list[float]]:
+        from hashlib import md5
+
+        return [[int(md5(f"{label}|{t}".encode()).hexdigest()[:8], 16) / 2**32 for label in self.labels] for t in texts]
+
+
+def _hashed(label: str, text: str = "text") -> str:
+    return f"CAST('0x' || substr(md5('{label}|' || {text}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+
+
+PATTERNS = [("promise", "of the", None), ("pressure", "que ", None), ("rate", "the ", "banking")]
+
+
+@query(f"""{SEG}, v AS ({ORACLES['compliance_violations']}), c AS (SELECT conversation_id, segment_index, substr(text, 1, 400) AS text FROM segments s WHERE speaker = 'SPEAKER_00' AND n_words > 5 AND (contains(lower(text), 'an') OR contains(lower(text), 'un'))
+  AND len(list_intersect(regexp_extract_all(lower(text), '@word'), ['no', 'is'])) = 0 AND NOT EXISTS (SELECT 1 FROM v WHERE v.conversation_id = s.conversation_id AND v.segment_index = s.segment_index)),
+k AS (SELECT conversation_id, segment_index, CASE WHEN {_hashed('misleading promise')} > 0.8::DOUBLE THEN 'misleading promise' WHEN {_hashed('asking for password')} > 0.85::DOUBLE THEN 'asking for password' END AS violation FROM c)
+SELECT *, CASE violation WHEN 'misleading promise' THEN 'HIGH' ELSE 'CRITICAL' END AS severity FROM k WHERE violation IS NOT NULL""")
+def scored_violations(spark, d):
+    """Violations that a model sees in the agents' lines that no pattern flags."""
+    lines = sc.compliance_candidates(fx.segments(spark, d), "SPEAKER_00", PATTERNS, ["no", "is"], ["an", "un"])
+    labels = [sc.PROMISE[0], sc.PASSWORD[0], "neutral conversation"]
+    return sc.scored_violations(lines, sc.score_with(lines, sc.KEYS, lambda: HashModel(labels)))
+
+
+@query(f"""{SEG}, {CHUNKS.split("g AS (SELECT conversation_id, chunk")[0]}
+b AS (SELECT conversation_id, chunk, count(*) AS n, max(place) AS place, max(final) AS final, avg(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60)) AS wpm, string_agg(text, ' ' ORDER BY segment_index) AS text FROM k GROUP BY 1, 2),
+w AS (SELECT *, 1 + 0.5::DOUBLE * place / greatest(1, final) AS weight, contains(lower(text), 'und ') OR list_contains(regexp_extract_all(lower(text), '@word'), 'there') AS anchored FROM b WHERE n = 2 OR place = final),
+f AS (SELECT *, least(1.0::DOUBLE, ({_hashed('canceling service')} + {_hashed('switching to competitor')}) * CASE WHEN wpm > 190 THEN 1.4::DOUBLE WHEN wpm > 160 THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END * weight) AS raw FROM w)
+SELECT conversation_id, chunk, round(wpm, 6) AS wpm, round(weight, 6) AS weight, round(CASE WHEN NOT anchored AND raw < 0.85 THEN raw * 0.1::DOUBLE ELSE raw END, 6) AS risk FROM f""")
+def scored_churn(spark, d):
+    """Risk of each block of a customer's lines by a model's scores."""
+    blocks = sc.churn_blocks(fx.segments(spark, d), "SPEAKER_01", ["of the"], ["und "], ["there"], 2)
+    found = sc.scored_churn(blocks, sc.score_with(blocks, ["conversation_id", "chunk"], lambda: HashModel(sc.LEAVING)))
+    return found.select("conversation_id", "chunk", *[F.round(c, 6).alias(c) for c in ("wpm", "weight", "risk")])
+
+
+EXCERPT = "CASE WHEN length(text) > 1024 THEN substr(text, 1, 512) || ' [SEP] ' || right(text, 512) ELSE text END"
+NEGATIVE_SQL = f"""n AS (SELECT doc_id, text, trim(coalesce(text, '')) = '' AS blank, {_hashed('positive', EXCERPT)} AS p, {_hashed('negative', EXCERPT)} AS n FROM documents)"""
+
+
+@query(f"WITH {NEGATIVE_SQL} SELECT doc_id, round(CASE WHEN blank THEN 0 ELSE n END, 6) AS negative, CASE WHEN blank THEN 'unknown' WHEN n > 0.7::DOUBLE AND n > p THEN 'high' WHEN n > 0.5::DOUBLE THEN 'medium' ELSE 'low' END AS band FROM n")
+def negativity(spark, d):
+    """How negative a model finds each document."""
+    docs = fx.table(spark, d, "documents").select("doc_id", "text")
+    return sc.negativity(docs, "doc_id", lambda: HashModel(["positive", "negative"])).withColumn("negative", F.round("negative", 6))
+
+
+@query(f"""WITH {NEGATIVE_SQL}, w AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN n END AS s, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '@word'), lambda t: t IN ('que', 'die'))) AS hits, len(regexp_extract_all(lower(coalesce(text, '')), '@word')) AS words FROM n),
+v AS (SELECT doc_id, hits, CASE WHEN s IS NULL THEN CASE WHEN hits > 0 THEN least(0.95::DOUBLE, 0.12::DOUBLE * hits + 2.0::DOUBLE * hits / words) ELSE 0 END WHEN hits > 0 THEN greatest(s, least(0.99::DOUBLE, 0.45::DOUBLE + 0.05::DOUBLE * hits)) ELSE s END AS score FROM w)
+SELECT doc_id, hits, round(score, 6) AS score, CASE WHEN score > 0.7::DOUBLE THEN 'high' WHEN score > 0.4::DOUBLE THEN 'medium' ELSE 'low' END AS band FROM v""")
+def toxicity_blend(spark, d):
+    """Toxicity of each document by a model's score, which a third of them lack, and listed words."""
+    docs = fx.table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    scored = docs.where("doc_id % 3 > 0").select("doc_id", sc.model_excerpt(F.col("text")).alias("text"))
+    scores = sc.score_with(scored, ["doc_id"], lambda: HashModel(["negative"])).select("doc_id", F.col("score").alias("s"))
+    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("words"), F.size(F.filter("w", lambda t: t.isin("que", "die"))).cast("long").alias("hits"))
+    found = words.join(scores, "doc_id", "left").select("doc_id", "hits", sc.blended(F.col("s"), F.col("hits"), F.col("words")).alias("b"))
+    return found.select("doc_id", "hits", F.round("b.score", 6).alias("score"), "b.band")
+
+
+REPORT = """r AS (SELECT 'call_' || conv_id AS recording, ['telecom', 'banking', 'omni', 'insurance'][conv_id % 4 + 1] AS sector, turn, (conv_id * 7 + turn) % 50 / 10 AS elapsed_s, CAST((conv_id * 3 + turn) % 100 AS DOUBLE) AS confidence, CAST((conv_id + turn * 11) % 100 AS DOUBLE) AS quality,
+  (conv_id + turn) % 2 = 0 AS passes, turn % 3 AS filtered, CASE WHEN conv_id % 3 = 0 THEN turn % 5 END AS errors, CASE WHEN conv_id % 3 = 0 THEN 10 + turn END AS words, ['low', 'medium', 'high'][(conv_id + turn) % 3 + 1] AS toxicity, (conv_id * 13 + turn * 7) % 100 / 100 AS negative, turn % 2 AS profane, CASE WHEN conv_id % 17 = 5 THEN 'no audio' END AS error FROM conversations)"""
+
+
+@query(f"""WITH {REPORT}, g AS (SELECT sector, recording, grouping(sector, recording) AS g, count(*) FILTER (error IS NULL) AS done, count(*) FILTER (error IS NOT NULL) AS failed, max(error) AS error, coalesce(sum(elapsed_s) FILTER (error IS NULL), 0) AS elapsed_s, avg(confidence) FILTER (error IS NULL) AS confidence, avg(quality) FILTER (error IS NULL) AS quality,
+  count(*) FILTER (error IS NULL AND passes) AS passed, coalesce(sum(filtered) FILTER (error IS NULL), 0)::BIGINT AS filtered, sum(errors) FILTER (error IS NULL) AS errors, sum(words) FILTER (error IS NULL) AS words, max(negative) FILTER (error IS NULL) AS negative, arg_max(toxicity, (negative, toxicity)) FILTER (error IS NULL) AS toxicity, coalesce(sum(profane) FILTER (error IS NULL), 0)::BIGINT AS profane
+  FROM r GROUP BY ROLLUP (sector, recording)),
+x AS (SELECT *, printf('%.1f s | confidence %.1f %% | quality %.0f %% | ', round(elapsed_s, 1), round(confidence, 1), round(quality, 0)) || CASE WHEN g > 0 THEN printf('%d of %d passed', passed, done) WHEN passed > 0 THEN 'passed' ELSE 'review' END || printf(' | filtered %d', filtered) || CASE WHEN words > 0 THEN printf(' | WER %.1f %%', round(100.0::DOUBLE * errors / words, 1)) ELSE '' END || printf(' | toxicity %s (%.1f %%) | profane %d', toxicity, round(100 * negative::DOUBLE, 1), profane) AS good FROM g)
+SELECT sector, recording, CASE g WHEN 0 THEN 'recording' WHEN 1 THEN 'sector' ELSE 'total' END AS kind, '[' || CASE g WHEN 0 THEN sector || ' / ' || recording WHEN 1 THEN sector ELSE 'all' END || '] ' || CASE WHEN done > 0 THEN good || CASE WHEN g > 0 AND failed > 0 THEN printf(' | %d failed', failed) ELSE '' END WHEN g = 0 THEN 'error: ' || error ELSE printf('%d failed', failed) END AS line FROM x""")
+def batch_report(spark, d):
+    """Report lines of every call, sector and all."""
+    rows = fx.table(spark, d, "conversations").selectExpr(
+        "concat('call_', conv_id) AS recording", "element_at(array('telecom', 'banking', 'omni', 'insurance'), cast(conv_id % 4 AS int) + 1) AS sector", "((conv_id * 7 + turn) % 50) / 10.0D AS elapsed_s", "cast((conv_id * 3 + turn) % 100 AS double) AS confidence", "cast((conv_id + turn * 11) % 100 AS double) AS quality",
+        "(conv_id + turn) % 2 = 0 AS passes", "turn % 3 AS filtered", "if(conv_id % 3 = 0, turn % 5, null) AS errors", "if(conv_id % 3 = 0, 10 + turn, null) AS words", "element_at(array('low', 'medium', 'high'), cast((conv_id + turn) % 3 AS int) + 1) AS toxicity", "((conv_id * 13 + turn * 7) % 100) / 100.0D AS negative", "turn % 2 AS profane", "if(conv_id % 17 = 5, 'no audio', null) AS error",
+    )
+    return fi.batch_report(rows)
