@@ -127,6 +127,9 @@ def test_upper_median_and_scope(spark):
     df = spark.createDataFrame([(float(x),) for x in (5, 1, 9, 7, 3, 3)] + [(None,)], "v double")
     assert gov.operational_stats(df, ["v"]).first().median == 5.0
     assert [gov.nth_smallest(df, "v", k) for k in range(7)] == [1, 3, 3, 5, 7, 9, None]
+    inf, nan = float("inf"), float("nan")
+    ends = spark.createDataFrame([(v,) for v in (inf, 4.0, -inf, nan, inf, 2.0, None)], "v double")
+    assert [gov.nth_smallest(ends, "v", k) for k in range(5)] == [-inf, 2.0, 4.0, inf, inf] and np.isnan(gov.nth_smallest(ends, "v", 5)) and gov.nth_smallest(ends, "v", 6) is None
     calls = spark.createDataFrame([(1, "ann"), (2, "bob"), (3, "cyd")], "conversation_id int, agent_id string")
     users = spark.createDataFrame([("ann", "agent", "t"), ("bob", "agent", "t"), ("cyd", "intern", "u"), ("lee", "team_lead", "t"), ("qa1", "qa", None)], "username string, role string, team string")
     seen = lambda name: sorted(r.conversation_id for r in gov.scope_conversations(calls, users, name).collect())
@@ -139,6 +142,8 @@ def test_the_shield_of_a_negator(spark):
     got = {r.conversation_id: (r.terms, r.flagged) for r in seg.toxicity_rate(spark.createDataFrame(rows, schema), ["idiot"], ["not "]).collect()}
     assert got == {1: (1, 1), 2: (1, 1)}
     assert seg.toxicity_rate(spark.createDataFrame(rows[1:2], schema), ["idiot"], ["not "]).first().terms == 0
+    many = [(3, 0, 1, "not idiot " * 20_000)]  # every place is looked at
+    assert seg.toxicity_rate(spark.createDataFrame(many, schema), ["idiot"], ["not "]).first().terms == 0
 
 
 def test_inactive_prints_match_nothing(spark):
@@ -146,6 +151,8 @@ def test_inactive_prints_match_nothing(spark):
     prints = spark.createDataFrame([(7, [1.0, 0.1], "m", False), (8, [1.0, 1.0], "m", True), (9, [1.0, 0.0], "n", True)], "agent long, print array<double>, model string, active boolean")
     got = {r.query_id: (r.agent, round(r.score, 3)) for r in gov.match_voiceprints(queries, prints, 0.7).collect()}
     assert got == {1: (8, 0.707), 2: (None, 0.0), 3: (None, 0.0)}
+    named = spark.createDataFrame([("agent_y", [1.0, 0.1], "m"), ("agent_x", [2.0, 0.2], "m"), ("agent_z", [0.0, 1.0], "m")], "agent string, print array<double>, model string")
+    assert {r.query_id: r.agent for r in gov.match_voiceprints(queries, named, 0.7).collect()} == {1: "agent_x", 2: None, 3: None}  # as like: the smaller name
 
 
 def test_text_rules(spark):

@@ -36,3 +36,12 @@ def test_upsert_and_terms(spark):
     assert sorted((r.agent, r.print, r.active) for r in gov.upsert_voiceprints(old, new).collect()) == [(1, [3.0], True), (2, [2.0], True), (3, [4.0], True)]
     lists = spark.createDataFrame([(1, 0, "Net"), (2, 0, "net"), (2, 1, "Fiber"), (1, 1, "Modem")], "source int, pos int, term string")
     assert [r.term for r in gov.combine_terms(lists, 2).orderBy("place").collect()] == ["Net", "Modem"]
+    long = spark.range(10_001).selectExpr("1 AS call", "0 AS source", "id AS pos", "if(id = 10000, 'last', 'word') AS term").union(spark.sql("SELECT 1, 1, 0, 'next'"))
+    assert [r.term for r in gov.combine_terms(long, by=["call"]).orderBy("place").collect()] == ["word", "last", "next"]
+
+
+def test_long_word_edits(spark):
+    """Whole texts, however many different words they have."""
+    words = [f"w{i}" for i in range(3000)]
+    df = spark.createDataFrame([(words, [*words[:10], "x", *words[11:2000], *words[2001:]])], "r array<string>, h array<string>")
+    assert df.select(tx.word_edits(F.col("r"), F.col("h"))).first()[0] == 2

@@ -95,9 +95,10 @@ def card_numbers(text: Column) -> Column:
 
 def word_edits(reference: Column, hypothesis: Column) -> Column:
     """Word-level edit distance of two arrays: words become single characters, so the built-in distance applies."""
-    words = F.array_distinct(F.concat(reference, hypothesis))
-    coded = lambda a: F.array_join(F.transform(a, lambda w: _sign(F.array_position(words, w))), "")
-    return F.levenshtein(coded(reference), coded(hypothesis))
+    coded = lambda a, words: F.array_join(F.transform(a, lambda w: _sign(F.array_position(words, w))), "")
+    # the pair and its words are worked out once, not for every word
+    pair = F.struct(reference.alias("r"), hypothesis.alias("h"), F.array_distinct(F.concat(reference, hypothesis)).alias("words"))
+    return F.get(F.transform(F.array(pair), lambda p: F.levenshtein(coded(p["r"], p["words"]), coded(p["h"], p["words"]))), 0)
 
 
 def _sign(k: Column) -> Column:

@@ -73,7 +73,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float, block: int = 64) -> DataFrame:
-    """The enrolled print of the same model and size that is most like each query, named only from `threshold` on; inactive prints match nothing.
+    """The enrolled print of the same model and size that is most like each query (of equal ones that of the smallest agent, a number or text), named only from `threshold` on; inactive prints match nothing.
 
     Vectors are normalised once. Prints are gathered in blocks of about `block`; the queries of a model are dealt to as many tasks as
     shuffles have, each of which gets that model's blocks.
@@ -83,13 +83,13 @@ def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float, b
     live = prints.where("coalesce(active, true)") if "active" in prints.columns else prints
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = live.count()
-    blocks = unit(live, "print").groupBy("model", F.size("u").alias("d"), F.pmod(F.xxhash64("agent"), F.lit(n // block + 1)).alias("b")).agg(F.collect_list(F.struct((-F.col("agent")).alias("a"), "u")).alias("held"))
+    blocks = unit(live, "print").groupBy("model", F.size("u").alias("d"), F.pmod(F.xxhash64("agent"), F.lit(n // block + 1)).alias("b")).agg(F.collect_list(F.struct(F.col("agent").alias("a"), "u")).alias("held"))
     blocks = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
     asked = unit(queries, "embedding").select("query_id", "model", F.size("u").alias("d"), F.col("u").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(tasks)).cast("int").alias("task"))
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    best = asked.join(blocks, ["model", "d", "task"]).select("query_id", F.array_max(F.transform("held", lambda h: F.struct(dot(F.col("q"), h["u"]).alias("score"), h["a"].alias("a")))).alias("m")).where("m.score > 0").groupBy("query_id").agg(F.max("m").alias("m"))
+    best = asked.join(blocks, ["model", "d", "task"]).select("query_id", F.array_min(F.transform("held", lambda h: F.struct((-dot(F.col("q"), h["u"])).alias("s"), h["a"].alias("a")))).alias("m")).where("m.s < 0").groupBy("query_id").agg(F.min("m").alias("m"))
     out = queries.select("query_id").join(best, "query_id", "left")
-    return out.select("query_id", F.when(F.col("m.score") >= threshold, -F.col("m.a")).alias("agent"), F.round(F.coalesce("m.score", F.lit(0.0)), 6).alias("score"))
+    return out.select("query_id", F.when(-F.col("m.s") >= threshold, F.col("m.a")).alias("agent"), F.round(F.coalesce(-F.col("m.s"), F.lit(0.0)), 6).alias("score"))
 
 
 def upsert_voiceprints(prints: DataFrame, new: DataFrame) -> DataFrame:
@@ -103,11 +103,11 @@ def resolve_user(log: DataFrame, users: DataFrame) -> DataFrame:
     return log.join(users.select("username", "user_id"), "username", "left")
 
 
-def combine_terms(lists: DataFrame, k: int | None = None) -> DataFrame:
-    """lists(source, pos, term): each term once, case-folded, in the order of its first place; the first k if given. Term lists are short."""
-    first = lists.groupBy(F.lower("term").alias("folded")).agg(F.min(F.struct("source", "pos", "term")).alias("m"))
-    place = F.row_number().over(Window.orderBy("m.source", "m.pos"))
-    out = first.select(F.col("m.term").alias("term"), place.cast("long").alias("place"))
+def combine_terms(lists: DataFrame, k: int | None = None, by: list[str] = ()) -> DataFrame:
+    """lists(by, source, pos, term): each term of a group once, case-folded, in the order of its first place; the first k if given. A group's terms are ordered in one task; without `by` all are one group, which suits short lists."""
+    first = lists.groupBy(*by, F.lower("term").alias("folded")).agg(F.min(F.struct("source", "pos", "term")).alias("m"))
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("m.source", "m.pos"))
+    out = first.select(*by, F.col("m.term").alias("term"), place.cast("long").alias("place"))
     return out if k is None else out.where(F.col("place") <= k)
 
 
@@ -124,11 +124,22 @@ def protocol_split(ids: DataFrame, key: str, seed: int, dev_share: float) -> Dat
 
 
 def nth_smallest(df: DataFrame, column: str, k: int, bins: int = 4096):
-    """The k-th smallest value, from 0, exactly: histograms narrow to one value, so nothing is sorted or gathered. Null if there is none."""
-    values = df.where(F.col(column).isNotNull())
+    """The k-th smallest value, from 0, exactly: histograms narrow to one value, so nothing is sorted or gathered. Null if there is none.
+
+    Infinite values stand at both ends, those that are no number behind all others; they are counted and not binned.
+    """
+    number, infinite = F.col(column).cast("double"), float("inf")
+    values = df.where(number.isNotNull() & ~F.isnan(number) & (F.abs(number) < infinite))
     edge = values.agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if k < 0 or k >= edge["n"]:
+    ends = df.agg(F.count_if(number == -infinite).alias("low"), F.count_if(number == infinite).alias("high"), F.count_if(F.isnan(number)).alias("odd")).first()
+    if k < 0:
         return None
+    if k < ends["low"]:
+        return -infinite
+    k -= ends["low"]
+    if k >= edge["n"]:
+        k -= edge["n"]
+        return infinite if k < ends["high"] else float("nan") if k < ends["high"] + ends["odd"] else None
     lo, hi = edge["lo"], edge["hi"]
     while lo < hi:
         at = F.least(F.lit(bins - 1), F.floor((F.col(column) - lo) / ((hi - lo) / bins)))

@@ -173,19 +173,21 @@ def speaker_stats(segments: DataFrame) -> DataFrame:
 def shielded_terms(text: Column, terms: list[str], negators: list[str], chars: int = 30) -> Column:
     """The terms that a text holds, lower-cased, at some place that no negator stands before: within `chars` characters before the last space there, or after it."""
     low = F.lower(text)
+    listed = F.array(*[F.lit(n) for n in negators]).cast("array<string>")
 
     def held(term: str) -> Column:
         parts = F.split(low, r"\Q" + term + r"\E", -1)
-        # the text before the k-th place of the term
-        before = lambda k: F.array_join(F.slice(parts, F.lit(1), k), term)
 
-        def shown(k):
-            space = F.char_length(before(k)) - F.char_length(F.substring_index(before(k), " ", -1))
-            begin = F.greatest(F.lit(1), space - chars + F.when(space == 0, 1).otherwise(0))
-            around = F.substring(before(k), begin, F.char_length(before(k)))
-            return ~F.exists(F.array(*[F.lit(n) for n in negators]).cast("array<string>"), lambda n: F.contains(around, n))
+        def step(acc, part):
+            # of what stands before this place only as much is carried on as a negator may be in
+            before = F.concat(acc["tail"], part)
+            space = F.char_length(before) - F.char_length(F.substring_index(before, " ", -1))
+            around = F.substring(before, F.greatest(F.lit(1), space - chars), F.char_length(before))
+            free = ~F.exists(listed, lambda n: F.contains(around, n))
+            return F.struct(F.concat(around, F.lit(term)).alias("tail"), (acc["free"] | free).alias("free"))
 
-        return F.when(F.size(parts) > 1, F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), shown)).otherwise(False)
+        start = F.struct(F.lit("").alias("tail"), F.lit(False).alias("free"))
+        return F.when(F.size(parts) > 1, F.aggregate(F.slice(parts, F.lit(1), F.greatest(F.lit(1), F.size(parts) - 1)), start, step)["free"]).otherwise(False)
 
     return F.array_compact(F.array(*[F.when(held(t), F.lit(t)) for t in terms]))
 

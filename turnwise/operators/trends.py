@@ -60,10 +60,8 @@ def forecast_next_day(matrix: DataFrame, n: int = 7) -> DataFrame:
 
 def trend_snapshot(hits: DataFrame, as_of: str, days: int) -> DataFrame:
     """The trend of each (topic, keyword), as a table to store."""
-    keyed = hits.withColumn("key", F.concat_ws("|", "topic", "keyword"))
-    found = compute_trend(keyed, "key", as_of, days)
-    part = lambda i: F.split("key", r"\|")[i]
-    return found.select(part(0).alias("topic"), part(1).alias("keyword"), F.col("current_count").alias("hit_count"), "conversation_count", F.lit(f"{days}d").alias("window"), "pct_change")
+    found = compute_trend(hits.withColumn("key", F.struct("topic", "keyword")), "key", as_of, days)
+    return found.select("key.topic", "key.keyword", F.col("current_count").alias("hit_count"), "conversation_count", F.lit(f"{days}d").alias("window"), "pct_change")
 
 
 def evaluate_alerts(hits: DataFrame, rules: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:

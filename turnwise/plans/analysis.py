@@ -186,12 +186,12 @@ def canonical_sector(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", tx.canonical_sector(F.col("source"), {"web": "omni", "forum": "telecom"}, "other").alias("sector"))
 
 
-@query(f"""{TURNS}, w AS (SELECT conversation_id, segment_index, unnest(regexp_extract_all(lower(text), '@word')) AS t, unnest(range(1000)) AS i FROM segments), f AS (SELECT conversation_id, t, min(segment_index * 10000 + i) AS place FROM w WHERE t IS NOT NULL GROUP BY ALL)
-SELECT conversation_id, t AS term, place AS "first" FROM f""")
+@query(f"""{TURNS}, w AS (SELECT conversation_id, segment_index, unnest(regexp_extract_all(lower(text), '@word')) AS t, unnest(range(1000)) AS i FROM segments), f AS (SELECT conversation_id, t, min((segment_index, i)) AS f FROM w WHERE t IS NOT NULL GROUP BY ALL)
+SELECT conversation_id, t AS term, row_number() OVER (PARTITION BY conversation_id ORDER BY f) AS place FROM f""")
 def combine_terms(spark, d):
     """The different words of each call in the order of their first place."""
-    words = fx.segments(spark, d).select("conversation_id", "segment_index", F.posexplode(tx.tokens(F.col("text"))).alias("i", "term"))
-    return words.groupBy("conversation_id", "term").agg(F.min(F.expr("segment_index * 10000 + i")).alias("first"))
+    words = fx.segments(spark, d).select("conversation_id", F.col("segment_index").alias("source"), F.posexplode(tx.tokens(F.col("text"))).alias("pos", "term"))
+    return gov.combine_terms(words, by=["conversation_id"])
 
 
 @query(f"""{SEG}, n AS (SELECT conversation_id, segment_index, start_ms, end_ms, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.?!;])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM segments WHERE trim(text) <> '')
@@ -247,11 +247,11 @@ def hotword_list(spark, d):
     return gov.combine_terms(lists, 27)
 
 
-@query("SELECT agent, CASE WHEN agent >= 40 THEN 'new' ELSE 'old' END AS print_of, agent >= 40 OR agent % 2 = 0 AS active FROM (SELECT vec_id AS agent FROM embeddings WHERE vec_id < 60)")
+@query("SELECT agent, CASE WHEN agent % 3 = 0 THEN 'new' ELSE 'old' END AS print_of, agent % 3 = 0 OR agent % 4 = 0 AS active FROM (SELECT vec_id AS agent FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0)")
 def upsert_voiceprints(spark, d):
     prints = fx.table(spark, d, "embeddings")
-    old = prints.where("vec_id < 50").selectExpr("vec_id AS agent", "embedding AS print", "vec_id % 2 = 0 AS active")
-    new = prints.where("vec_id >= 40 AND vec_id < 60").selectExpr("vec_id AS agent", "transform(embedding, x -> cast(x + 100 AS float)) AS embedding")
+    old = prints.where("vec_id % 2 = 0").selectExpr("vec_id AS agent", "embedding AS print", "vec_id % 4 = 0 AS active")
+    new = prints.where("vec_id % 3 = 0").selectExpr("vec_id AS agent", "transform(embedding, x -> cast(x + 100 AS float)) AS embedding")
     return gov.upsert_voiceprints(old, new).select("agent", F.when(F.col("print")[0] > 50, "new").otherwise("old").alias("print_of"), "active")
 
 

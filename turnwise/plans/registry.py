@@ -329,12 +329,13 @@ def apply_speaker_corrections(spark, d):
     return gov.apply_speaker_corrections(s, one.unionByName(two))
 
 
-@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, p.vec_id AS agent, list_cosine_similarity(q.e, p.e) AS score FROM v q JOIN v p ON q.vec_id >= 50 AND p.vec_id < 50),
+@query("""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, 'agent_' || p.vec_id AS agent, list_cosine_similarity(q.e, p.e) AS score FROM v q JOIN v p ON q.vec_id % 10 > 0 AND p.vec_id % 10 = 0),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, agent) AS k FROM s WHERE score > 0)
-SELECT q.vec_id AS query_id, CASE WHEN score >= 0.45 THEN agent END AS agent, round(coalesce(score, 0.0), 6) AS score FROM (SELECT vec_id FROM v WHERE vec_id >= 50) q LEFT JOIN b ON b.query_id = q.vec_id AND k = 1""")
+SELECT q.vec_id AS query_id, CASE WHEN score >= 0.45 THEN agent END AS agent, round(coalesce(score, 0.0), 6) AS score FROM (SELECT vec_id FROM v WHERE vec_id % 10 > 0) q LEFT JOIN b ON b.query_id = q.vec_id AND k = 1""")
 def match_voiceprints(spark, d):
+    """A tenth of the vectors are enrolled, the others ask."""
     e = fx.table(spark, d, "embeddings").withColumn("model", F.lit("m"))
-    return gov.match_voiceprints(e.where("vec_id >= 50").selectExpr("vec_id AS query_id", "embedding", "model"), e.where("vec_id < 50").selectExpr("vec_id AS agent", "embedding AS print", "model"), 0.45)
+    return gov.match_voiceprints(e.where("vec_id % 10 > 0").selectExpr("vec_id AS query_id", "embedding", "model"), e.where("vec_id % 10 = 0").selectExpr("concat('agent_', vec_id) AS agent", "embedding AS print", "model"), 0.45)
 
 
 @query(f"""{SEG}, {CONFIDENCE}, l AS (SELECT conversation_id, count(*) FILTER (avg_logprob < -1.1) AS low_lines FROM segments GROUP BY 1)
@@ -440,17 +441,16 @@ def pii_counts(spark, d):
     return found.select("doc_id", "n.*").where("iban + pan + tckn + phone > 0")
 
 
-@query(f"""{SEG}, x AS (SELECT sector AS domain, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '')[1:9] AS r, list_filter(regexp_split_to_array(lower(lead(text) OVER (PARTITION BY conversation_id ORDER BY segment_index)), '[ \\t\\r\\n]+'), lambda w: w <> '')[1:9] AS h FROM segments),
-y AS (SELECT domain, len(r) AS n, len(h) AS m, list_distinct(list_concat(r, h)) AS v, r, h FROM x WHERE h IS NOT NULL AND len(r) > 0),
-z AS (SELECT domain, n, levenshtein(array_to_string(list_transform(r, lambda w: chr(CAST(96 + list_position(v, w) AS INTEGER))), ''), array_to_string(list_transform(h, lambda w: chr(CAST(96 + list_position(v, w) AS INTEGER))), '')) AS e FROM y),
+@query(f"""{SEG}, x AS (SELECT sector AS domain, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda w: w <> '') AS r, list_filter(regexp_split_to_array(lower(lead(text) OVER (PARTITION BY conversation_id ORDER BY segment_index)), '[ \\t\\r\\n]+'), lambda w: w <> '') AS h FROM segments),
+y AS (SELECT domain, len(r) AS n, list_sort(list_intersect(r, h)) AS v, r, h FROM x WHERE h IS NOT NULL AND len(r) > 0),
+z AS (SELECT domain, n, levenshtein(array_to_string(list_transform(r, lambda w: coalesce(chr(CAST(64 + list_position(v, w) AS INTEGER)), '!')), ''), array_to_string(list_transform(h, lambda w: coalesce(chr(CAST(64 + list_position(v, w) AS INTEGER)), '?')), '')) AS e FROM y),
 g AS (SELECT domain, CAST(sum(e) AS BIGINT) AS edits, CAST(sum(n) AS BIGINT) AS words FROM z GROUP BY 1)
 SELECT domain, edits, words, round(100.0 * edits / words, 4) AS wer, round(greatest(0.0, 100 - 100.0 * edits / words), 4) AS accuracy FROM g""")
 def corpus_wer(spark, d):
-    """The first nine words of each turn against those of the next one of its call."""
-    first = lambda c: F.array_join(F.slice(F.filter(F.split(c, "[ \t\r\n]+"), lambda x: x != ""), 1, 9), " ")
+    """Each turn against the next one of its call. The twin spells words that both have as letters, up to 63 in a pair."""
     nxt = F.lead("text").over(Window.partitionBy("conversation_id").orderBy("segment_index"))
-    pairs = fx.segments(spark, d).select(F.col("sector").alias("domain"), first(F.col("text")).alias("reference"), nxt.alias("h")).where("h is not null and reference <> ''")
-    return seg.corpus_wer(pairs.select("domain", "reference", first(F.col("h")).alias("hypothesis")))
+    pairs = fx.segments(spark, d).where("n_words >= 0").select(F.col("sector").alias("domain"), F.col("text").alias("reference"), nxt.alias("hypothesis"), "n_words")
+    return seg.corpus_wer(pairs.where("hypothesis is not null and n_words > 0").drop("n_words"))
 
 
 @query(f"""{SEG} SELECT conversation_id, segment_index, coalesce((3 * conversation_id + 5 * segment_index) % 100 / 100 > 0.6::DOUBLE OR (avg_logprob < -0.8 AND 1 + (conversation_id + 2 * segment_index) % 15 / 10 > 1.8::DOUBLE) OR regexp_matches(text, '^[Tt]he '), false) AS dropped FROM segments""")
