@@ -44,8 +44,8 @@ def test_documents(spark):
 def test_edges(spark):
     rows = [(5, "a b c d e f g"), (None, "x"), (2, None), (3, ""), (3, ""), (4, "é" * 9), (7, "p q r"), (7, "p q r"), (9, "w " * 50000)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, fingerprint int, _range int")
-    got = sorted(((r.doc_id or -1, r.n_chars, r.edited_sha256) for r in edited_fingerprints(docs).collect()))
-    assert got == sorted((i or -1, n, sha) for i, n, sha, *_ in brute(rows))
+    got = sorted(((-1 if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in edited_fingerprints(docs).collect()))
+    assert got == sorted((-1 if i is None else i, n, sha) for i, n, sha, *_ in brute(rows))
     assert edited_fingerprints(docs.limit(0)).count() == 0
     assert edited_fingerprints(docs.limit(1)).collect()[0].near_next == 1.0
 

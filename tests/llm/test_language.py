@@ -59,3 +59,9 @@ def test_more_languages_than_a_byte_of_bits(spark):
     got = identify(spark.createDataFrame(rows + [(99999, rows[0][1] + " x" * 200_000, None)], "doc_id long, text string, lang string")).collect()
     told = {r.doc_id: r.lang_pred for r in got}
     assert len(got) == 841 and sum(told[i] == lang for i, _, lang in rows) > 800
+
+
+def test_null_ids_are_not_held_out(spark):
+    rows = [(i, "the cat and the dog " * 3, "en") for i in range(8)] + [(None, "the dog", "en"), (None, None, None)]
+    got = identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("doc_id is null").collect()
+    assert [r.held_out for r in got] == [False, False] and sorted(r.lang_pred for r in got) == ["en", "und"]

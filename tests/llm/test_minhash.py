@@ -40,7 +40,7 @@ def test_edges(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(3, " ".join(words), 1), (1, " ".join(words[:39]), 1), (7, " ".join(words[1:]) + " x", 1), (4, None, 1), (5, "", 1), (6, "a b", 1), (8, "A\tB ", 1), (None, "a b", 1), (9, " ".join(words), 1), (9, " ".join(words), 1), (10, " ".join(str(i % 977) for i in range(60000)), 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, keys int")
-    got = sorted((r.doc_id or -1, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_duplicates(docs).collect())
     assert got == [(-1, 1, None, True), (1, 35, 1, True), (3, 36, 1, False), (4, 0, 4, True), (5, 0, 5, True), (6, 1, 6, True), (7, 36, 1, False), (8, 1, 6, False), (9, 36, 1, False), (9, 36, 1, False), (10, 977, 10, True)]
     assert near_duplicates(docs.limit(0)).count() == 0
 

@@ -58,7 +58,7 @@ def test_every_stage_does_its_part(spark, tmp_path):
 
     packed = [(i, t) for i, t in rows(at["packing"]) if left.count(i) == 1]
     found = [r for r in at["end"].collect() if left.count(r.doc_id) == 1]
-    assert sorted({r.doc_id or -1 for r in found}) == sorted(i or -1 for i, _ in packed)
+    assert sorted({-1 if r.doc_id is None else r.doc_id for r in found}) == sorted(-1 if i is None else i for i, _ in packed)
     assert check(rows(at["packing"]), at["end"].collect()) >= 1
 
 

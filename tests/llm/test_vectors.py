@@ -27,7 +27,7 @@ def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(5, [1.0, 0.0]), (3, [2.0, 0.0]), (2, [1.0, 0.0]), (7, None), (8, [0.0, 0.0]), (9, [nan, 1.0]), (10, [inf, 1.0]), (11, [1.0, None]), (12, []), (13, [1.0, 0.0, 0.0]), (14, [1e30, 1e28]), (None, [1.0, 0.0]), (7, None)]
     vectors = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, t int")
-    got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors).collect())
+    got = sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, r.component_id, r.kept) for r in near_vectors(vectors).collect())
     alone = [(i, 0, i, True) for i in (7, 7, 8, 9, 10, 11, 12, 13)]
     assert got == sorted([(-1, 0, None, True), (2, 3, 2, True), (3, 3, 2, False), (5, 3, 2, False), (14, 3, 2, False), *alone])
     assert near_vectors(vectors.limit(0)).count() == 0

@@ -66,7 +66,7 @@ def test_edges(spark):
     rows = [(1, [1.0, 2.0]), (1, [3.0, 1.0]), (None, [0.5, 0.25]), (2, None), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0, 1.0, 1.0]), (8, [-0.001, 5.0]), (9, [4.0])]
     vectors = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, n int")
     got = whiten(vectors).collect()
-    assert sorted((r.vec_id or -1, r.component) for r in got) == [(-1, 1), (-1, 2), (1, 1), (1, 1), (1, 2), (1, 2), (7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (9, 1)]
+    assert sorted((-1 if r.vec_id is None else r.vec_id, r.component) for r in got) == [(-1, 1), (-1, 2), (1, 1), (1, 1), (1, 2), (1, 2), (7, 1), (7, 2), (7, 3), (8, 1), (8, 2), (9, 1)]
     assert {(r.n, r.deviation, r.whitened, r.explained) for r in got if r.vec_id in (7, 9)} == {(1, 0, None, None)}
     assert {r.n for r in got if r.vec_id not in (7, 9)} == {4}
     assert whiten(vectors.limit(0)).count() == 0

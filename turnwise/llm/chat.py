@@ -20,8 +20,8 @@ def conversations_as_rows(turns: DataFrame, id_col: str = "conv_id", turn_col: s
 
 
 def pair_neighbours(conversations: DataFrame) -> DataFrame:
-    """(pair_id, chosen_id, rejected_id, chosen, rejected): conversations 2k and 2k + 1 make pair k; the side that is missing is null."""
-    sided = conversations.select(F.expr("conv_id div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("even"), "conv_id", "turns")
+    """(pair_id, chosen_id, rejected_id, chosen, rejected): conversations 2k and 2k + 1 make pair k, for negative k too; the side that is missing is null."""
+    sided = conversations.select(F.expr("(conv_id - pmod(conv_id, 2)) div 2").alias("pair_id"), (F.pmod("conv_id", F.lit(2)) == 0).alias("even"), "conv_id", "turns")
     pick = lambda c, even: F.max(F.when(F.col("even") if even else ~F.col("even"), F.col(c)))
     return sided.groupBy("pair_id").agg(pick("conv_id", True).alias("chosen_id"), pick("conv_id", False).alias("rejected_id"), pick("turns", True).alias("chosen"), pick("turns", False).alias("rejected"))
 
@@ -72,7 +72,7 @@ def preference_pairs(pairs: DataFrame, trained_role: str = "assistant") -> DataF
 #: What preference_pairs gives for neighbouring conversations, for DuckDB.
 NEIGHBOURS_SQL = f"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, conv_id // 2 AS pair_id, conv_id % 2 = 0 AS even,
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, (conv_id - (conv_id % 2 + 2) % 2) // 2 AS pair_id, conv_id % 2 = 0 AS even,
   '{START}' || replace(role, '<|im_', '<\u200b|im_') || chr(10) || replace(text, '<|im_', '<\u200b|im_') || '{END}' || chr(10) AS s FROM t),
 sizes AS (SELECT pair_id, max(conv_id) FILTER (WHERE even) AS chosen_id, max(conv_id) FILTER (WHERE NOT even) AS rejected_id,
   count(*) FILTER (WHERE even) AS nc, count(*) FILTER (WHERE NOT even) AS nr FROM r GROUP BY pair_id),

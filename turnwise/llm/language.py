@@ -177,7 +177,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score, spans) for each document.
 
     Learns from at most about `sample_docs` documents that have a language and are not held out (crc32 of the id as text, modulo
-    4, is not 2; rows with a null id are never learned from). spans lists the runs of words of one language as (first word, word after the last, lang); words are runs of
+    4, is not 2; rows with a null id are never learned from, and not held out). spans lists the runs of words of one language as (first word, word after the last, lang); words are runs of
     letters (Unicode category L) and the marks after them. lang_pred is the language of most letters, ties going to the first by name, and score their share times how far it
     leads the second language per word. `und` with score 0 where the text is null or has no letter, or nothing could be learned.
     The model takes 128 KB for each language learned. Texts of one id are judged each on its own. Other columns are ignored.
@@ -220,5 +220,5 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                 kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, kind)], ["doc_id", "held_out", "lang_pred", "score", "spans"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<begin: int, end: int, lang: string>>")
