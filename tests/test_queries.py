@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from turnwise.plans import analysis, registry, workflows
+from turnwise.plans import analysis, details, registry, workflows
 
 from .conftest import SF
 
@@ -18,12 +18,12 @@ def rows(df):
             return "{" + ", ".join(f"{k}: {show(x)}" for k, x in v.items()) + "}"
         if pd.isna(v):
             return "null"
-        return f"{float(v):.6f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return f"{float(v):.6f}" if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 
     return sorted(tuple(show(v) for v in r) for r in df[sorted(df.columns)].astype(object).itertuples(index=False))
 
 
-assert analysis.QUERIES is registry.QUERIES is workflows.QUERIES
+assert analysis.QUERIES is registry.QUERIES is workflows.QUERIES is details.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
