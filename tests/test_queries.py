@@ -3,7 +3,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from turnwise.plans import analysis, details, registry, workflows
+from turnwise.plans import analysis, details, registry, twins, workflows  # noqa: F401
 
 from .conftest import SF
 

@@ -191,7 +191,7 @@ def alert_history(spark, d):
     return alerts.alert_events(spark, folder).select("batch", "rule_id", "keyword", "title", "summary", "severity", "pct_change", "fired_at")
 
 
-#: Folds over what was heard and fired before: tests/test_live.py holds them against plain loops.
+#: Folds over what was heard and fired before: tests/test_live.py holds them against plain loops; the twin of live_partials is in twins.py.
 QUERIES |= {f.__name__: f for f in (live_partials, alert_history)}
 
 
