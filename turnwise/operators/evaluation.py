@@ -48,15 +48,16 @@ def suspicious_segments(lines: DataFrame) -> DataFrame:
     return lines.withColumn("w", tx.tokens(F.col("text"))).select(*KEYS, F.coalesce(flagged, F.lit(False)).alias("suspicious"))
 
 
-def soft_skills(segments: DataFrame, agent: str, phrases: dict[str, list[str]], crisis: DataFrame | None = None, fast: int = 170) -> DataFrame:
+def soft_skills(segments: DataFrame, agent: str, phrases: dict[str, list[str]], crisis: DataFrame | None = None, fast: int = 170, weighed: str | None = None) -> DataFrame:
     """(conversation_id, score 0 to 100, wpm, interruptions) of the agent of each call.
 
     50, plus 10 (to 20), 15 (to 30) and 15 (to 30) for each different phrase of the lists `listening`, `compassion` and `solution`, plus
     the crisis bonus (to 30; crisis holds conversation_id, bonus), less 20 (to 40) for each `defensive` one, 5 (to 20) for each line over
-    `fast` words a minute and 8 (to 30) for each interruption. Lines under two characters are left out.
+    `fast` words a minute and 8 (to 30) for each interruption. Lines under two characters are left out. `weighed` names a column that says of which lines defensive phrases count.
     """
     lines = segments.where((F.col("speaker") == agent) & (F.char_length(F.trim("text")) >= 2))
-    said = lambda kind: sum((F.max(F.contains(F.lower("text"), F.lit(p.lower())).cast("int")) for p in phrases.get(kind, [])), F.lit(0))
+    counts = lambda kind: F.col(weighed) if weighed and kind == "defensive" else F.lit(True)
+    said = lambda kind: sum((F.max((F.contains(F.lower("text"), F.lit(p.lower())) & counts(kind)).cast("int")) for p in phrases.get(kind, [])), F.lit(0))
     pace = F.floor(F.col("n_words") / F.greatest(F.lit(0.5), F.col("dur_ms") / 1000.0) * 60)
     mine = lines.groupBy("conversation_id").agg(*[said(k).alias(k) for k in ("listening", "compassion", "solution", "defensive")], F.count_if(pace > fast).alias("rushed"), F.floor(F.avg(pace)).alias("wpm"))
     cuts = seg.interruptions(segments, agent).groupBy("conversation_id").agg(F.count(F.lit(1)).alias("interruptions"))

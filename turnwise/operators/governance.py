@@ -161,5 +161,6 @@ def operational_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def list_voiceprints(prints: DataFrame) -> DataFrame:
-    """Each enrolled print with the size of its embedding, newest first."""
-    return prints.select("agent", "enrolled_at", F.size("print").cast("long").alias("dimensions")).orderBy(F.desc("enrolled_at"), "agent")
+    """Each enrolled print with the size of its embedding and, where prints have it, its model, newest first."""
+    model = ["model"] if "model" in prints.columns else []
+    return prints.select("agent", "enrolled_at", F.size("print").cast("long").alias("dimensions"), *model).orderBy(F.desc("enrolled_at"), "agent")

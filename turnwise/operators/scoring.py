@@ -94,6 +94,13 @@ def scored_churn(blocks: DataFrame, scores: DataFrame, fast: tuple[float, float]
     return rows.select(*keys, "wpm", "weight", F.when(~F.col("anchored") & (F.col("raw") < 0.85), F.col("raw") * 0.1).otherwise(F.col("raw")).alias("risk"))
 
 
+def weigh_defensive(segments: DataFrame, agent: str, phrases: list[str], load: Callable[[], Model], least: float = 0.6, words: int = 3) -> DataFrame:
+    """segments with `weighed`: whether a line's defensive phrases count. An agent's lines of more than three words that hold one do where the model's score for `defensive` is above 0.6, others always."""
+    asked = segments.where((F.col("speaker") == agent) & (F.col("n_words") > words) & ca.holds_any(F.col("text"), [p.lower() for p in phrases]))
+    scores = wide(score_with(asked.select(*KEYS, "text"), KEYS, load), KEYS, ["defensive"])
+    return segments.join(scores, KEYS, "left").withColumn("weighed", F.coalesce(F.col("s0") > least, F.lit(True))).drop("s0")
+
+
 def model_excerpt(text: Column) -> Column:
     """A text of up to 1024 characters whole, else its first and last 512."""
     return F.when(F.char_length(text) > 2 * EXCERPT_CHARS, F.concat(F.substring(text, 1, EXCERPT_CHARS), F.lit(" [SEP] "), F.right(text, F.lit(EXCERPT_CHARS)))).otherwise(text)

@@ -96,6 +96,12 @@ def paragraphs(texts: DataFrame, key: str, sentences: int = 4) -> DataFrame:
     return rows.select(key, F.posexplode(F.when(F.size("p") <= 1, cut("w", PARAGRAPH_WORDS)).otherwise(cut("p", sentences))).alias("paragraph", "text"))
 
 
+def sentence_words(parts: DataFrame, words: DataFrame) -> DataFrame:
+    """(keys, part, words): of each part(keys, part, start_ms, end_ms) of a line, the words(keys, word, w_start, w_end) of the line that its time touches, in order; a word on a cut is in both parts."""
+    met = parts.join(words, KEYS).where("w_start < end_ms and w_end > start_ms").groupBy(*KEYS, "part").agg(F.transform(F.sort_array(F.collect_list(F.struct("w_start", "word"))), lambda x: x["word"]).alias("words"))
+    return parts.select(*KEYS, "part").join(met, [*KEYS, "part"], "left").withColumn("words", F.coalesce("words", F.array().cast(dict(met.dtypes)["words"])))
+
+
 def speech_regions(calls: DataFrame, spans: DataFrame, pad_ms: int = 300, gap_ms: int = 3000) -> DataFrame:
     """(conversation_id, region, start_ms, end_ms) to decode of calls(conversation_id, length_ms, rms), from detected speech spans(conversation_id, start_ms, end_ms).
 

@@ -6,8 +6,13 @@ from pyspark.sql import functions as F
 
 from turnwise.operators import calls as ca
 from turnwise.operators import evaluation as ev
+from turnwise.operators import folds
+from turnwise.operators import governance as gov
+from turnwise.operators import scoring as sc
 from turnwise.operators import transcripts as tr
-from turnwise.plans.registry import QUERIES, SEG, _users, query  # noqa: F401
+from turnwise.operators import trends
+from turnwise.plans.registry import AS_OF, FIRED, HITS, QUERIES, SEG, _rules, _users, query  # noqa: F401
+from turnwise.plans.workflows import HashModel, _hashed
 from turnwise.sources import fixtures as fx
 
 SHOWN = "CASE WHEN coalesce(speaker, '') = '' THEN 'Konuşmacı' WHEN contains(speaker, 'IVR') THEN 'IVR' WHEN speaker = 'SPEAKER_00' THEN 'Temsilci' WHEN speaker = 'SPEAKER_01' THEN 'Müşteri' ELSE speaker END"
@@ -167,3 +172,39 @@ def soft_skills_in_crisis(spark, d):
     lines = fx.segments(spark, d)
     events = lines.withColumn("angry", F.expr("speaker = 'SPEAKER_01' AND segment_index % 2 = 1")).withColumn("positive", F.expr("speaker = 'SPEAKER_00' AND n_words > 5"))
     return ev.soft_skills(lines, "SPEAKER_00", {"listening": ["the", "und "], "defensive": ["die "]}, ca.crisis_bonus(events), 1000)
+
+
+@query(f"""{SEG}, g AS (SELECT *, NOT (n_words > 3 AND (contains(lower(text), 'die ') OR contains(lower(text), 'un '))) OR {_hashed('defensive')} > 0.6::DOUBLE AS ok FROM segments WHERE speaker = 'SPEAKER_00' AND length(trim(text)) >= 2),
+m AS (SELECT conversation_id, max((contains(lower(text), 'die ') AND ok)::INT) + max((contains(lower(text), 'un ') AND ok)::INT) AS de, CAST(floor(avg(floor(n_words / greatest(0.5, dur_ms / 1000.0) * 60))) AS BIGINT) AS wpm FROM g GROUP BY 1),
+c AS (SELECT conversation_id, count(*) AS cuts FROM (SELECT *, max(end_ms) OVER (PARTITION BY conversation_id ORDER BY segment_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS till, lag(speaker) OVER w AS ps, lag(dur_ms) OVER w AS pd FROM segments WHERE length(text) >= 2 WINDOW w AS (PARTITION BY conversation_id ORDER BY segment_index))
+  WHERE ps <> speaker AND speaker = 'SPEAKER_00' AND till - start_ms > 700 AND till - start_ms <= 2500 AND pd >= 800 GROUP BY 1)
+SELECT conversation_id, CAST(greatest(0, 50 - least(40, 20 * coalesce(de, 0)) - least(30, 8 * coalesce(cuts, 0))) AS BIGINT) AS score, coalesce(wpm, 0) AS wpm, coalesce(cuts, 0) AS interruptions FROM (SELECT DISTINCT conversation_id FROM segments) LEFT JOIN m USING (conversation_id) LEFT JOIN c USING (conversation_id)""")
+def soft_skills_weighed(spark, d):
+    """Scores of the agents whose defensive phrases a model weighs."""
+    lines = sc.weigh_defensive(fx.segments(spark, d), "SPEAKER_00", ["die ", "un "], lambda: HashModel(["defensive"]))
+    return ev.soft_skills(lines, "SPEAKER_00", {"defensive": ["die ", "un "]}, None, 1000, "weighed")
+
+
+@query(f"""{SEG}, n AS (SELECT conversation_id, segment_index, start_ms, end_ms, text, list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.?!;])\\\\s+', '\\\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS p FROM segments WHERE trim(text) <> ''),
+l AS (SELECT *, CASE WHEN len(p) <= 1 OR end_ms - start_ms <= 2500 THEN [text] ELSE p END AS q FROM n),
+t AS (SELECT *, list_reduce(range(1, len(q) + 1), lambda a, i: list_append(a, CASE WHEN i = len(q) THEN end_ms ELSE CAST(round((a[-1] + greatest(100, end_ms - start_ms) * length(q[i]) / list_sum(list_transform(q, lambda s: length(s)))) / 10) AS BIGINT) * 10 END), [start_ms]) AS cuts FROM l),
+s AS (SELECT conversation_id, segment_index, i - 1 AS part, cuts[i] AS s, cuts[i + 1] AS e FROM (SELECT *, unnest(range(1, len(q) + 1)) AS i FROM t)), w AS (SELECT conversation_id, segment_index, word, start_ms + 400 * (word - 1) AS ws, start_ms + 400 * word - 50 AS we FROM (SELECT *, unnest(range(1, n_words + 1)) AS word FROM segments)),
+m AS (SELECT conversation_id, segment_index, part, string_agg(word, ',' ORDER BY ws, word) AS words FROM s JOIN w USING (conversation_id, segment_index) WHERE ws < e AND we > s GROUP BY ALL)
+SELECT conversation_id, segment_index, CAST(part AS INTEGER) AS part, coalesce(words, '') AS words FROM s LEFT JOIN m USING (conversation_id, segment_index, part)""".replace("\\\\", "\\"))
+def sentence_words(spark, d):
+    """The words of every sentence of every line."""
+    words = fx.segments(spark, d).where("n_words > 0").select("conversation_id", "segment_index", "start_ms", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_words"))).alias("word"))
+    words = words.selectExpr("conversation_id", "segment_index", "word", "start_ms + 400 * (word - 1) AS w_start", "start_ms + 400 * word - 50 AS w_end")
+    return tr.sentence_words(folds.split_sentences(fx.segments(spark, d)), words).withColumn("words", F.array_join("words", ","))
+
+
+@query(f"""{HITS}, {FIRED} SELECT rule_id, to_json({{'title': title, 'summary': summary, 'severity': severity, 'details': {{'keyword': keyword, 'pct_change': pct_change::DOUBLE}}, 'timestamp': '{AS_OF}'}})::VARCHAR AS payload FROM e""")
+def alert_bodies(spark, d):
+    """The whole body that each alert sends."""
+    return trends.alert_payloads(trends.evaluate_alerts(fx.hits(spark, d), _rules(spark, d), AS_OF)[0], AS_OF)
+
+
+@query("SELECT 'agent_' || vec_id AS agent, TIMESTAMP '2024-01-01' + to_hours(vec_id % 50) AS enrolled_at, CAST(len(embedding) AS BIGINT) AS dimensions, 'model_' || (vec_id % 3) AS model FROM embeddings")
+def voiceprint_models(spark, d):
+    prints = fx.table(spark, d, "embeddings").selectExpr("concat('agent_', vec_id) AS agent", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(vec_id % 50 AS int)) AS enrolled_at", "embedding AS print", "concat('model_', vec_id % 3) AS model")
+    return gov.list_voiceprints(prints)
