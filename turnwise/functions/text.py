@@ -45,8 +45,9 @@ def wpm(words: Column, dur_ms: Column) -> Column:
 
 def ngrams(words: Column, n: int) -> Column:
     """Runs of n words, joined by spaces; none if there are fewer."""
-    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " "))
+    at = lambda w: F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    # the words are worked out once, not for every run
+    return F.get(F.transform(F.array(words), lambda w: F.transform(at(w), lambda i: F.array_join(F.slice(w, i, n), " "))), 0)
 
 
 def repeated_ngram_ratio(words: Column, n: int) -> Column:
