@@ -92,16 +92,19 @@ def components(tmp: Scratch, links: DataFrame) -> DataFrame:
     return tmp.table(none) if roots is None else roots
 
 
-def join_hot(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", least: int = 2_000, counted: DataFrame | None = None) -> DataFrame:
+def join_hot(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner", least: int = 2_000, counted: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
     """big joined with small, which has one row at most for each key, where a few keys may hold most rows of big.
 
     A key with over `least` rows, and over a ten-thousandth of all rows, is dealt to several tasks by a hash of `spread`. So there
     are at most 10,000 such keys, which are broadcast; keys are counted with partial counts, in `counted` if that
-    holds the same rows at less cost. Null keys meet nothing.
+    holds the same rows at less cost, or taken from `counts`, which has a row and its number `_n` for each key that can meet. Null keys meet nothing.
     """
     counted = big if counted is None else counted
-    counts = counted.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counted.count()
+    if counts is None:
+        counts = counted.where(" and ".join(f"{c} is not null" for c in on)).groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+        total = counted.count()
+    else:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
     per = max(least, total // 10_000)
     hot = counts.where(F.col("_n") > per).select(*on, F.ceil(F.col("_n") / per).cast("int").alias("_salts")).collect()  # at most 10,000 rows
     if not hot:

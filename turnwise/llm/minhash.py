@@ -130,8 +130,8 @@ def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
     The classes of a left key are dealt to blocks of about BLOCK. Blocks, not classes, are joined, and a key with many blocks is salted
     over about the root of their number of tasks; only pairs that pass leave.
     """
-    sizes = open_.groupBy("u").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("blocks"))
-    dealt = open_.join(sizes.withColumn("salts", F.ceil(F.sqrt("blocks"))), "u").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    sizes = open_.groupBy("u").agg((F.floor(F.count(F.lit(1)) / BLOCK) + 1).alias("blocks"), F.count(F.lit(1)).alias("_n"))
+    dealt = join_hot(open_, sizes.select("u", "blocks", F.ceil(F.sqrt("blocks")).alias("salts")), ["u"], "cls", counts=sizes.select("u", "_n")).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     packed = dealt.groupBy("u", "block", "salts").agg(F.collect_list(F.struct("cls", "c", "n", "bits", "vs")).alias("rows"))
     one = packed.select("u", F.col("block").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("rows").alias("one"))
     two = packed.select("u", F.col("block").alias("j"), F.pmod("block", "salts").alias("salt"), F.col("rows").alias("two"))
@@ -157,6 +157,37 @@ def block_pairs(open_: DataFrame, percent: int) -> DataFrame:
     return one.join(two, ["u", "salt"]).where("i <= j").select("one", "two").mapInArrow(compare, f"a {CLASS}, b {CLASS}").distinct()
 
 
+def mixed_keys(tmp: Scratch, keyed: DataFrame, factors: int) -> DataFrame:
+    """(cls, c, few, us, vs) from keyed(cls, c, few, k, key): the left and right keys that classes of different components have.
+
+    The components of a key are compared by a hash; two that have the same one, in a key of no others, would be taken for one (2**-64).
+    """
+    h = F.xxhash64("c")
+    keys = tmp.table(keyed.groupBy("key").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi").select("key", "_n"))
+    met = join_hot(keyed, keys.select("key"), ["key"], "cls", counts=keys)
+    side = lambda test: F.collect_list(F.when(test, F.col("key")))
+    return met.groupBy("cls", "c", "few").agg(side(F.col("k") < factors).alias("us"), side(F.col("k") >= factors).alias("vs"))
+
+
+def voted(tmp: Scratch, keyed: DataFrame, first) -> DataFrame:
+    """(a, b): each class of keyed(cls, c, few, key) with the class of another component that most of its keys name, two of them at least. A key names its most copied class, or its least copied one where `first` is F.max."""
+    named = keyed.groupBy("key").agg(first(F.struct("few", "cls", "c")).alias("rep"), F.count(F.lit(1)).alias("_n"), F.min(F.xxhash64("c")).alias("lo"), F.max(F.xxhash64("c")).alias("hi"))
+    named = tmp.table(named.where("lo <> hi").select("key", "rep", "_n"))
+    votes = join_hot(keyed.select("cls", "c", "key"), named.drop("_n"), ["key"], "cls", counts=named.select("key", "_n")).where("c <> rep.c")
+    best = votes.groupBy("cls", "rep").agg(F.count(F.lit(1)).alias("votes")).where("votes > 1").groupBy("cls").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "rep")).alias("best"))
+    return best.select(F.least("best.rep.cls", "cls").alias("a"), F.greatest("best.rep.cls", "cls").alias("b")).distinct()
+
+
+def open_rows(tmp: Scratch, mixed: DataFrame) -> DataFrame:
+    """(u, cls, c) from mixed(cls, c, us, vs): a row for each class and left key that has, with one of its right keys, classes of different components."""
+    mixed = tmp.table(mixed)
+    one = mixed.select("cls", "c", "vs", F.explode("us").alias("u"))
+    tables = one.select("cls", "c", "u", F.explode("vs").alias("v")).select("cls", "c", "u", F.xxhash64("u", "v").alias("bucket"))
+    h = F.xxhash64("c")
+    buckets = tmp.table(tables.groupBy("bucket").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi").select("bucket", "_n"))
+    return join_hot(tables, buckets.select("bucket"), ["bucket"], "cls", counts=buckets).select("u", "cls", "c").distinct()
+
+
 def _links_of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """(a, b): the classes of each id that has several, each linked with its first."""
     key = F.struct("set_a", "set_b", "n_shingles")
@@ -170,10 +201,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept) for each document.
 
     Documents with the same set form a class. Candidate pairs of classes are those that share a factor key of each collection;
-    a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. A class is first compared
-    with its most copied partner, then with the most copied of a bucket where components differ, so that large groups collapse;
-    members of a bucket that are still in different components are then compared with each other, so no candidate goes unchecked.
-    Those meet in blocks of each left key, and only pairs whose sizes and bitmaps leave the threshold in reach go on to full sets.
+    a pair at the threshold is missed with a chance under 2 * (1 - 0.75**width)**factors, 4e-6 here. The most copied class
+    of each key is put to the key's other components, and a class is compared with the one it is given most often, then the same with the least copied, so that large
+    groups collapse. The pairs of keys are formed only then, of keys that still join different components; all members of such
+    a table's bucket are compared with each other, so no candidate goes unchecked. Those meet in blocks of each left key, and
+    only pairs whose sizes and bitmaps leave the threshold in reach go on to full sets.
 
     Null and empty texts have an empty set and stay alone; so does a null id, whose component is null and which is kept. Rows
     that repeat an id are returned each; where its texts differ, the id links their classes. Other columns are ignored.
@@ -184,36 +216,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = tmp.table(shingle_table(docs, id_col, text_col, factors, width, size, seed))
     some = rows.where("n_shingles > 0 and doc_id is not null")
     classes = tmp.table(some.groupBy("set_a", "set_b", "n_shingles").agg(F.struct(F.min("doc_id").alias("doc"), F.col("set_a").alias("s")).alias("cls"), F.min_by("keys", "doc_id").alias("keys"), (-F.count(F.lit(1))).alias("few")))
-    listed = classes.select("cls", "few", F.posexplode("keys").alias("k", "key"))
-    shared = listed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    live = listed.join(shared, "key").groupBy("cls").agg(F.min("few").alias("few"), F.collect_list(F.when(F.col("k") < factors, F.col("key"))).alias("us"), F.collect_list(F.when(F.col("k") >= factors, F.col("key"))).alias("vs"))
-    tables = tmp.table(live.select("cls", "few", "vs", F.explode("us").alias("u")).select("cls", "few", "u", F.explode("vs").alias("v")).select("cls", "few", "u", F.xxhash64("u", "v").alias("bucket")))
-    groups = tables.groupBy("bucket").agg(F.min(F.struct("few", "cls")).alias("rep"), F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("bucket", "rep")
-    members = tmp.table(tables.join(groups, "bucket").select("bucket", "u", "rep", "few", "cls"))
-    tmp.drop(tables)
-    sets = tmp.table(_sets(docs, id_col, text_col, members.select("cls").distinct(), size))
-    sized = sets.select("cls", "n", "bits")
+    listed = classes.select("cls", F.col("cls").alias("c"), "few", F.posexplode("keys").alias("k", "key"))
+    live = tmp.table(mixed_keys(tmp, listed, factors).where("size(us) > 0 and size(vs) > 0"))
+    sets = tmp.table(_sets(docs, id_col, text_col, live.select("cls"), size))
+    links = tmp.table(_links_of_ids(some, classes))
+    tried = tmp.table(links.limit(0))
     right_keys = classes.select("cls", F.slice("keys", factors + 1, factors).alias("vs"))
-    # each class with its most copied partner, again where buckets are still open, then the rest of each open bucket
-    tried = tmp.table(members.where("rep.cls <> cls").groupBy("cls").agg(F.min("rep").alias("rep")).select(F.least("rep.cls", "cls").alias("a"), F.greatest("rep.cls", "cls").alias("b")).distinct())
-    links = tmp.table(_confirmed(tmp, tried, sets, percent).unionByName(_links_of_ids(some, classes)))
-    for step in ("smallest", "rest"):
+    for step in ("vote", "vote again", "rest"):
         found = components(tmp, links)
-        placed = members.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("bucket", "u", "few", "cls", F.coalesce("component", "cls").alias("c"))
-        mixed = placed.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(F.struct("few", "cls", "c")).alias("least")).where("lo < hi").select("bucket", "least")
-        open_ = tmp.table(placed.join(mixed, "bucket"))
-        if step == "smallest":
-            best = open_.where("c <> least.c").groupBy("cls").agg(F.min("least").alias("least"))
-            pairs = best.select(F.least("least.cls", "cls").alias("a"), F.greatest("least.cls", "cls").alias("b"))
+        placed = live.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "few", "us", "vs", F.coalesce("component", "cls").alias("c"))
+        placed = tmp.table(placed)
+        keyed = placed.select("cls", "c", "few", F.posexplode(F.concat("us", "vs")).alias("k", "key"), F.size("us").alias("left"))
+        keyed = keyed.select("cls", "c", "few", "key", F.when(F.col("k") < F.col("left"), 0).otherwise(factors).alias("k"))
+        if step == "rest":
+            pairs = block_pairs(open_rows(tmp, mixed_keys(tmp, keyed, factors)).join(sets.select("cls", "n", "bits"), "cls").join(right_keys, "cls"), percent)
         else:
-            pairs = block_pairs(open_.select("u", "cls", "c").distinct().join(sized, "cls").join(right_keys, "cls"), percent)
-        fresh = tmp.table(pairs.distinct().join(tried, ["a", "b"], "left_anti"))
+            pairs = voted(tmp, keyed, F.min if step == "vote" else F.max)
+        fresh = tmp.table(pairs.join(tried, ["a", "b"], "left_anti"))
         more = tmp.table(_confirmed(tmp, fresh, sets, percent))
         both, all_tried = tmp.table(links.unionByName(more)), tmp.table(tried.unionByName(fresh))
-        tmp.drop(found, open_, links, more, fresh, tried)
+        tmp.drop(found, placed, links, more, fresh, tried)
         links, tried = both, all_tried
     found = components(tmp, links)
-    tmp.drop(tried, sets, members, links)
+    tmp.drop(tried, sets, live, links)
     of_class = classes.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "cls").alias("c"))
     out = join_hot(rows.drop("keys"), of_class, ["set_a", "set_b", "n_shingles"], "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("c.doc", "doc_id")).alias("component_id"))
