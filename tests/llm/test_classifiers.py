@@ -1,11 +1,16 @@
 """Quality and toxicity against their labels, and their edge cases."""
 
 import math
+import re
 import zlib
+from collections import Counter
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
-from turnwise.llm.quality import gumbel_top, kth_largest, resample
+from turnwise.llm.quality import BUCKETS, gumbel_top, kth_largest, resample
+from turnwise.llm.text import mix, span_hashes
 from turnwise.llm.toxicity import score
 
 SF = "/root/testdata/sf0.01"
@@ -64,6 +69,36 @@ def test_quality_on_held_out_labels(spark):
     assert kept[1] > 0.97 and kept[0] < 0.1, kept
 
 
+def test_weights_are_those_of_plain_counts(spark):
+    docs, labels = read(spark, "documents", "/root/testdata/sf0.001"), read(spark, "labels", "/root/testdata/sf0.001")
+    good = {r.doc_id for r in labels.where("quality = 1").collect()}
+    one = lambda x: int(mix(np.array([x % 2**64], np.uint64))[0])
+
+    def grams(text):
+        words = [m[0] for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|([^A-Za-z0-9\x80-\xff\x20\x09-\x0d])\1*", (text or "").encode())]
+        own = [int(span_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in words]
+        upper = lambda c: 65 <= c <= 90
+        shape = [h if re.match(rb"[^A-Za-z\x80-\xff]", w) else one(upper(w[0]) + 2 * upper(w[min(1, len(w) - 1)]) + 4 * min(len(w), 15) + (1 << 40)) for w, h in zip(words, own, strict=True)]
+        pairs = [one(x * 3 + y) for x, y in zip(shape, shape[1:])] + [one(x * 5 + y) for x, y in zip(own, own[1:])]
+        return [g % BUCKETS for g in own + shape + pairs]
+
+    texts = {r.doc_id: grams(r.text) for r in docs.collect()}
+    raw = Counter(g for t in texts.values() for g in t)
+    target = Counter(g for i, t in texts.items() if i in good for g in t)
+    of = lambda model, g: math.log((model[g] + 0.5) / (sum(model.values()) + 0.5 * BUCKETS))
+    ratio = {g: of(target, g) - of(raw, g) for g in raw}
+    for r in resample(docs, labels).collect():
+        assert math.isclose(r.weight, sum(ratio[g] for g in texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-6)
+
+
+def test_the_sample_has_the_share_of_good_labels(spark):
+    docs, labels = read(spark, "documents"), read(spark, "labels")
+    has = docs.where("length(trim(text)) > 0")
+    share = has.join(labels.where("quality IS NOT NULL"), "doc_id").agg(F.avg("quality")).first()[0]
+    assert resample(docs, labels).where("kept").count() == round(share * has.count())
+    assert resample(docs, labels, share=0.25).where("kept").count() == round(0.25 * has.count())
+
+
 def test_rows_are_sampled_by_their_importance(spark):
     # many rows of few weights: those with more evidence are kept more often, at rates that Gumbel top-k gives
     weights = [-3.0, -1.0, -0.25, 0.0, 0.25, 1.0, 3.0]

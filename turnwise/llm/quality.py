@@ -33,7 +33,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, offsets): the hashed unigrams and bigrams of each text. Words stand for themselves and for their shape."""
+    """(buckets, offsets): the hashed unigrams and bigrams of each text, of its words and of their shapes."""
     data, offsets = text_bytes(texts)
     starts, ends, first = tokens(data, offsets)
     words = span_hashes(data, starts, ends)
@@ -45,14 +45,15 @@ def gram_buckets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sign = ~(((data[starts] | 32) >= 97) & ((data[starts] | 32) <= 122) | (data[starts] >= 128)) if len(starts) else np.zeros(0, bool)
     shape = (shout * 1 + again * 2 + 4 * np.minimum(ends - starts, 15)).astype(np.uint64)
     shape = np.where(sign, words, mix(shape + np.uint64(1 << 40)))
-    pair = np.zeros(len(words), np.uint64)
+    pairs = np.zeros((2, len(words)), np.uint64)
     if len(words) > 1:
-        pair[:-1] = mix(shape[:-1] * np.uint64(3) + shape[1:])
+        pairs[0, :-1] = mix(shape[:-1] * np.uint64(3) + shape[1:])
+        pairs[1, :-1] = mix(words[:-1] * np.uint64(5) + words[1:])
     last = first[1:][count > 0] - 1
-    grams = np.stack([words, shape, pair], 1) & np.uint64(BUCKETS - 1)
-    keep = np.ones((len(words), 3), bool)
-    keep[last, 2] = False
-    sizes = np.where(count > 0, 3 * count - 1, 0)
+    grams = np.stack([words, shape, *pairs], 1) & np.uint64(BUCKETS - 1)
+    keep = np.ones((len(words), 4), bool)
+    keep[last, 2:] = False
+    sizes = np.where(count > 0, 4 * count - 2, 0)
     return grams[keep].astype(np.int64), np.concatenate([[0], np.cumsum(sizes)])
 
 
@@ -97,45 +98,34 @@ def importance(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, l
     return tmp.table(rows.mapInArrow(weigh, schema))
 
 
-def cut_point(found: DataFrame, bins: int = 4096) -> float:
-    """The weight an n-gram that best parts labelled good from labelled bad texts (their mean recall), from a histogram of both; 0 where there is one kind only."""
-    labelled = found.where("label is not null and n > 0").select("label", (F.col("weight") / F.col("n")).alias("mean"))
-    edges = labelled.agg(F.min("mean").alias("lo"), F.max("mean").alias("hi"), F.count_distinct("label").alias("kinds")).first()
-    if edges["kinds"] != 2 or edges["hi"] <= edges["lo"]:
-        return 0.0
-    width = (edges["hi"] - edges["lo"]) / bins
-    at = F.least(F.lit(bins - 1), F.floor((F.col("mean") - edges["lo"]) / width))
-    tally = np.zeros((2, bins))
-    for r in labelled.groupBy(at.alias("bin"), "label").agg(F.count(F.lit(1)).alias("n")).collect():  # 2 * bins rows at most
-        tally[r["label"], int(r["bin"])] = r["n"]
-    below = np.concatenate([np.zeros((2, 1)), tally.cumsum(1)], 1) / tally.sum(1, keepdims=True)
-    gain = below[0] - below[1]
-    best = np.flatnonzero(gain >= gain.max() - 1e-12)
-    return float(edges["lo"] + width * (best[0] + best[-1]) / 2)
-
-
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 50_000, temperature: float = 1.0, seed: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+def good_share(found: DataFrame) -> float | None:
+    """The share of good ones among labelled texts that have n-grams; None where labels are of one kind or there are none."""
+    seen = found.where("n > 0").agg(F.avg("label").alias("share")).first()["share"]
+    return seen if seen is not None and 0 < seen < 1 else None
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labels: int = 50_000, temperature: float = 1.0, share: float | None = None, seed: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, carried columns, weight, gumbel_key, kept) for each row.
 
-    weight is the logarithm of a text's importance: the sum over its n-grams of the log-ratio of the target's to the raw text's model, each less
-    the value that best parts labelled good from bad texts, since a target of few texts has not seen most words; short texts have little. gumbel_key is weight / temperature plus Gumbel noise drawn from a keyed hash of the id; the k rows of the
-    largest keys are kept, k being the number of rows whose weight is not negative. So rows with
+    weight is the logarithm of a text's importance: the sum over its n-grams of the log-ratio of the target's to the raw text's model.
+    gumbel_key is weight / temperature plus Gumbel noise drawn from a keyed hash of the id; the k rows of the largest keys are kept,
+    k being `share` of the rows that have n-grams. Where no share is given it is that of good ones among labelled rows, which are
+    taken for a fair sample of all rows; with labels of one kind, k is the number of rows whose weight is not negative. So rows with
     much evidence stay or go, and others are sampled by their importance. Ties at the last key are all kept. Rows with an empty or
     null text have no n-grams and are not kept. Without labels of 1 all weights are 0 and all other rows are the sample. Repeated ids
     get the same noise, a null id none. Other columns than those named in `carry` are ignored.
     """
     tmp = Scratch(docs.sparkSession)
     found = importance(docs, labels, id_col, text_col, label_col, most_labels, carry, tmp)
-    found = found.withColumn("weight", F.col("weight") - F.col("n") * cut_point(found))
     uniform = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     noise = F.when(F.col("doc_id").isNull(), 0.0).otherwise(-F.log(-F.log(uniform)))
     keyed = found.withColumn("gumbel_key", F.col("weight") / temperature + noise)
-    return gumbel_top(tmp.table(keyed), carry)
+    return gumbel_top(tmp.table(keyed), carry, good_share(found) if share is None else share)
 
 
-def gumbel_top(keyed: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """keyed(doc_id, weight, gumbel_key, n) with `kept`: the largest keys, as many as weights are not negative, among rows with n-grams."""
-    k = keyed.where("n > 0 and weight >= 0").count()
+def gumbel_top(keyed: DataFrame, carry: tuple[str, ...] = (), share: float | None = None) -> DataFrame:
+    """keyed(doc_id, weight, gumbel_key, n) with `kept`: the largest keys among rows with n-grams, `share` of them, or as many as weights are not negative."""
+    k = keyed.where("n > 0 and weight >= 0").count() if share is None else round(share * keyed.where("n > 0").count())
     last = kth_largest(keyed.where("n > 0"), "gumbel_key", k)
     return keyed.select("doc_id", *carry, "weight", "gumbel_key", ((F.col("n") > 0) & (F.col("gumbel_key") >= last)).alias("kept"))
 
