@@ -82,3 +82,19 @@ def test_blocks_give_the_pairs_of_a_plain_loop(spark, monkeypatch):
                 want.add((x[1][0], y[1][0]))
     got = {(r.a, r.b) for r in module.block_pairs(df, 75).select(F.col("a.doc").alias("a"), F.col("b.doc").alias("b")).collect()}
     assert got == want and len(want) > 8
+
+
+def test_open_rows_are_those_of_a_plain_loop(spark):
+    import random
+
+    from turnwise.llm import minhash as module
+    from turnwise.llm.common import Scratch
+
+    draw, factors, tmp = random.Random(8), 3, Scratch(spark)
+    rows = [((i, i * 7), (draw.randrange(12), 0), [k * 1000 + draw.randrange(9) for k in range(2 * factors)]) for i in range(60)]
+    flat = [(cls, c, -1, k, key) for cls, c, keys in rows for k, key in enumerate(keys)]
+    keyed = spark.createDataFrame(flat, f"cls {module.CLASS}, c {module.CLASS}, few long, k int, key long")
+    want = {(u, x[0][0]) for x in rows for y in rows if x[1] != y[1] for u in set(x[2][:factors]) & set(y[2][:factors]) if set(x[2][factors:]) & set(y[2][factors:])}
+    got = [(r.u, r.cls.doc) for r in module.open_rows(tmp, module.mixed_keys(tmp, keyed, factors)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) * factors
+    assert module.open_rows(tmp, module.mixed_keys(tmp, keyed.limit(0), factors)).isEmpty()
