@@ -30,3 +30,14 @@ def against_sql(spark, tmp_path):
 def test_rule_changes_beyond_the_renamed_ones(spark, against_sql):
     got, want = against_sql("acknowledge", part=spark.range(149_995, 150_010).selectExpr("id AS p_partkey"))
     assert got == want and len(got) == 10
+
+
+CONVERSATION = "conv_id long, turn long, role string, text string"
+
+
+@pytest.mark.parametrize("name", ["compliance_violations", "call_violations"])
+def test_line_break_before_a_phrase_counts_as_a_sign(spark, against_sql, name):
+    far = "no " + "a " * 24 + "a\nque b"
+    lines = [(3, 0, "assistant", far), (3, 1, "assistant", far[:3] + far[5:]), (3, 2, "assistant", far[:3] + "a " + far[3:]), (3, 3, "assistant", "\nque \nno")]
+    got, want = against_sql(name, conversations=spark.createDataFrame(lines, CONVERSATION))
+    assert got == want and len(got) == 2
