@@ -41,3 +41,14 @@ def test_line_break_before_a_phrase_counts_as_a_sign(spark, against_sql, name):
     lines = [(3, 0, "assistant", far), (3, 1, "assistant", far[:3] + far[5:]), (3, 2, "assistant", far[:3] + "a " + far[3:]), (3, 3, "assistant", "\nque \nno")]
     got, want = against_sql(name, conversations=spark.createDataFrame(lines, CONVERSATION))
     assert got == want and len(got) == 2
+
+
+CARD = "4111111111111111"
+DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.mark.parametrize("name", ["pii_counts", "redact_pii"])
+def test_runs_of_more_digits_than_one_match_holds(spark, against_sql, name):
+    texts = [f"555-0199 {CARD} {CARD}", f"10.200.100.200 {CARD} {CARD}", f"{CARD} {CARD} {CARD}", "1" * 40, f"{CARD}{CARD}5321234567", f"a {CARD}. 0532 123 45 67", "", None]
+    got, want = against_sql(name, documents=spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENT))
+    assert got == want and len(got) == 3
