@@ -174,3 +174,19 @@ def test_more_words_than_two_bytes(spark):
     assert len({r[0] for r in codes}) == 6 and all(len(r[0]) == 1 for r in codes)
     with pytest.raises(Exception, match="983"):
         spark.range(1).select(tx._sign(F.lit(0xF0000))).collect()
+
+
+def test_prints_meet_queries_in_blocks(spark):
+    """Copies, the smallest of equal ones, and no join that Spark could broadcast prints for."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(300, 8)), rng.normal(size=(90, 8))
+    y[60:] = y[:30] * 2
+    queries = spark.createDataFrame([(i, v.tolist(), None if i == 299 else "m") for i, v in enumerate(x)], "query_id long, embedding array<double>, model string")
+    prints = spark.createDataFrame([(f"a{i:02d}", v.tolist(), "m") for i, v in enumerate(y)] + [("b", [float("nan")] * 8, "m"), ("c", y[0].tolist(), None)], "agent string, print array<double>, model string")
+    cosine = (x @ y.T) / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(y, axis=1)
+    want = {i: (f"a{c[:60].argmax():02d}" if c.max() >= 0.5 else None, round(c.max(), 6)) for i, c in enumerate(cosine[:299])} | {299: (None, 0.0)}
+    for values in (1 << 20, 200):
+        found = gov.match_voiceprints(queries, prints, 0.5, values)
+        assert {r.query_id: (r.agent, round(r.score, 6)) for r in found.collect()} == want
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "FlatMapCoGroupsInArrow" in plan and plan.count("Join ") == 1  # that of the results

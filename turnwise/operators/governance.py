@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -72,24 +75,56 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((dot(a, a) > 0) & (dot(b, b) > 0), dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))))
 
 
-def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float, block: int = 64) -> DataFrame:
-    """The enrolled print of the same model and size that is most like each query (of equal ones that of the smallest agent, a number or text), named only from `threshold` on; inactive prints match nothing.
+def match_voiceprints(queries: DataFrame, prints: DataFrame, threshold: float, values: int = 1 << 20) -> DataFrame:
+    """The enrolled print of the same model and size that is most like each query (of equal ones, to 12 digits, that of the smallest agent, a number or text), named only from `threshold` on; inactive prints match nothing.
 
-    Vectors are normalised once. Prints are gathered in blocks of about `block`; the queries of a model are dealt to as many tasks as
-    shuffles have, each of which gets that model's blocks.
+    Vectors are normalised once; of equal prints one is compared. Queries and prints of a model and size are dealt to blocks of about
+    `values` numbers, and each block of queries meets each of prints in a group of its own, which keeps the best print of each query:
+    nothing is broadcast, and no group holds more, however many are enrolled. All pairs are compared.
     """
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    unit = lambda df, c: df.withColumn("u", F.col(c).cast("array<double>")).withColumn("l", norm(F.col("u"))).where("l > 0").withColumn("u", F.transform("u", lambda x: x / F.col("l")))
-    live = prints.where("coalesce(active, true)") if "active" in prints.columns else prints
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = live.count()
-    blocks = unit(live, "print").groupBy("model", F.size("u").alias("d"), F.pmod(F.xxhash64("agent"), F.lit(n // block + 1)).alias("b")).agg(F.collect_list(F.struct(F.col("agent").alias("a"), "u")).alias("held"))
-    blocks = blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    asked = unit(queries, "embedding").select("query_id", "model", F.size("u").alias("d"), F.col("u").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(tasks)).cast("int").alias("task"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    best = asked.join(blocks, ["model", "d", "task"]).select("query_id", F.array_min(F.transform("held", lambda h: F.struct((-dot(F.col("q"), h["u"])).alias("s"), h["a"].alias("a")))).alias("m")).where("m.s < 0").groupBy("query_id").agg(F.min("m").alias("m"))
+    unit = lambda df, c: df.where("model is not null").withColumn("u", F.col(c).cast("array<double>")).withColumn("l", norm(F.col("u"))).where((F.col("l") > 0) & (F.col("l") < float("inf"))).select("model", F.size("u").alias("d"), F.transform("u", lambda x: x / F.col("l")).alias("u"), df.columns[0])
+    live = (prints.where("coalesce(active, true)") if "active" in prints.columns else prints).select("agent", "model", "print")
+    asked, held = unit(queries.select("query_id", "model", "embedding"), "embedding"), unit(live, "print")
+    held = held.groupBy("model", "d", "u").agg(F.min("agent").alias("agent"))
+    most = lambda df: -(-(df.groupBy("model", "d").agg(F.count(F.lit(1)).alias("n")).agg(F.max(F.col("n") * F.col("d"))).first()[0] or 1) // values)
+    n_asked, n_held = most(asked), most(held)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    by = ["model", "d", "q", "p"]
+    asked = asked.withColumn("q", part("query_id", n_asked)).withColumn("p", every(n_held))
+    held = held.withColumn("p", part("agent", n_held)).withColumn("q", every(n_asked))
+    one = T.StructType([asked.schema["query_id"], T.StructField("s", T.DoubleType()), held.schema["agent"], T.StructField("score", T.DoubleType())])
+    met = asked.groupBy(*by).cogroup(held.groupBy(*by)).applyInArrow(_most_alike, one)
+    best = met.groupBy("query_id").agg(F.min(F.struct("s", "agent", "score")).alias("m"))
     out = queries.select("query_id").join(best, "query_id", "left")
-    return out.select("query_id", F.when(-F.col("m.s") >= threshold, F.col("m.a")).alias("agent"), F.round(F.coalesce(-F.col("m.s"), F.lit(0.0)), 6).alias("score"))
+    return out.select("query_id", F.when(F.col("m.score") >= threshold, F.col("m.agent")).alias("agent"), F.round(F.coalesce("m.score", F.lit(0.0)), 6).alias("score"))
+
+
+def _most_alike(asked: pa.Table, held: pa.Table) -> pa.Table:
+    """(query_id, s, agent, score) of the best print of each query that is at all like it; s is the negative score to 12 digits."""
+    rows, found = [], []
+    if asked.num_rows and held.num_rows:
+        x, y = (t.column("u").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1) for t in (asked, held))
+        names = held.column("agent").to_pylist()
+        for begin in range(0, len(x), 256):
+            dots = x[begin : begin + 256] @ y.T
+            top = dots.max(axis=1)
+            # products of matrices may differ in their last digits between places, so those near the top are worked out one by one
+            at, of = np.nonzero((dots >= top[:, None] - 1e-9) & (dots > -1e-9))
+            for k in range(0, len(at), 4096):
+                a, b = begin + at[k : k + 4096], of[k : k + 4096]
+                for row, name, score in zip(a.tolist(), b.tolist(), np.cumsum(x[a] * y[b], axis=1)[:, -1].tolist(), strict=True):
+                    one = (-round(score, 12), names[name], score)
+                    if score <= 0:
+                        continue
+                    if not rows or rows[-1] != row:
+                        rows.append(row)
+                        found.append(one)
+                    elif one[:2] < found[-1][:2]:
+                        found[-1] = one
+    s, agents, scores = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table([asked.column("query_id").take(pa.array(rows, pa.int64())), pa.array(s, pa.float64()), pa.array(agents, held.column("agent").type), pa.array(scores, pa.float64())], names=["query_id", "s", "agent", "score"])
 
 
 def upsert_voiceprints(prints: DataFrame, new: DataFrame) -> DataFrame:
