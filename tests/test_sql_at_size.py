@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from turnwise.operators import calls
 from turnwise.plans import registry
 
 from .conftest import SF
@@ -52,3 +53,13 @@ def test_runs_of_more_digits_than_one_match_holds(spark, against_sql, name):
     texts = [f"555-0199 {CARD} {CARD}", f"10.200.100.200 {CARD} {CARD}", f"{CARD} {CARD} {CARD}", "1" * 40, f"{CARD}{CARD}5321234567", f"a {CARD}. 0532 123 45 67", "", None]
     got, want = against_sql(name, documents=spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENT))
     assert got == want and len(got) == 3
+
+
+def test_summaries_of_texts_of_many_sentences_shuffle_nothing(spark, against_sql):
+    words = "alpha beta gamma delta of the epsilon zeta".split()
+    texts = [". ".join(" ".join(words[(i * j) % (3 + i) % 8] for j in range(k % 9)) for k in range(40)) for i in range(150)]
+    texts += ["one. two words. three long words? short", "just alpha. and alpha", "...", "", None, "Alpha  beta!gamma", "a. b. c. d"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], DOCUMENT)
+    got, want = against_sql("executive_summary", documents=docs)
+    assert got == want and len(got) == 154
+    assert "Exchange" not in calls.executive_summary(docs)._jdf.queryExecution().executedPlan().toString()
