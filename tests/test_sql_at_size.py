@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from turnwise.operators import calls
+from turnwise.operators import audio, calls
 from turnwise.plans import registry
 
 from .conftest import SF
@@ -63,3 +63,18 @@ def test_summaries_of_texts_of_many_sentences_shuffle_nothing(spark, against_sql
     got, want = against_sql("executive_summary", documents=docs)
     assert got == want and len(got) == 154
     assert "Exchange" not in calls.executive_summary(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_frames_of_long_lines_pass_their_lines_where_they_lie(spark, against_sql):
+    lines = [(c, t, ("assistant", "user")[t % 2], "word " * ((7 * c + 5 * t) % 12 * 25)) for c in range(6) for t in range(9)]
+    calls = spark.createDataFrame(lines, CONVERSATION)
+    got, want = against_sql("bleed_filter", conversations=calls)
+    assert got == want and 0 < len(got) < len(lines)
+    frames = spark.range(400).selectExpr("id % 4 AS recording_id", "id div 8 AS frame", "id % 2 AS channel", "0.1D AS energy", "4L AS n_samples").repartition(8, "recording_id")
+    spoken = spark.range(9).selectExpr("id % 4 AS recording_id", "id AS segment_index", "id % 2 AS channel", "1000 * id AS start_ms", "1000 * id + 700 AS end_ms")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for tables of size
+    try:
+        plan = audio.bleed_filter(spoken, frames)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and not [row for row in plan.splitlines() if "Exchange" in row and "frame" in row]
