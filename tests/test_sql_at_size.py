@@ -78,3 +78,12 @@ def test_frames_of_long_lines_pass_their_lines_where_they_lie(spark, against_sql
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "ShuffledHashJoin" in plan and not [row for row in plan.splitlines() if "Exchange" in row and "frame" in row]
+
+
+def test_texts_that_cannot_overlap_a_prompt_are_not_kept(spark):
+    docs = spark.createDataFrame([(i, f"one two three x{i} y{i} z{i}") for i in range(500)] + [(7, "one two three four five, five"), (7, "one two three four five, five"), (8, None)], "doc_id long, text string")
+    prompts = spark.createDataFrame([(1, "five four three two one"), (2, "six one")], "prompt_id long, text string")
+    found = calls.prompt_overlap(docs, prompts, [])
+    assert [tuple(r) for r in found.collect()] == [(7, 1, 6, 6)]
+    stored = {f.rsplit("/", 1)[0] for f in found.inputFiles() if f.endswith(".parquet")}
+    assert sum(spark.read.parquet(p).count() for p in stored) == 1
