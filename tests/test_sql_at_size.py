@@ -3,8 +3,8 @@
 import duckdb
 import pytest
 
-from turnwise.operators import audio, calls
-from turnwise.plans import registry
+from turnwise.operators import audio, calls, whole
+from turnwise.plans import registry, workflows
 
 from .conftest import SF
 from .test_queries import TABLES, rows
@@ -87,3 +87,19 @@ def test_texts_that_cannot_overlap_a_prompt_are_not_kept(spark):
     assert [tuple(r) for r in found.collect()] == [(7, 1, 6, 6)]
     stored = {f.rsplit("/", 1)[0] for f in found.inputFiles() if f.endswith(".parquet")}
     assert sum(spark.read.parquet(p).count() for p in stored) == 1
+
+
+def test_calls_are_stored_once(spark, tmp_path, monkeypatch):
+    """Results are the files that the steps have written, and nothing else is left."""
+    written, table = [], whole.Buckets.table
+
+    def noted(self, df):
+        out = table(self, df)
+        written.extend(f.rsplit("/", 1)[1] for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(whole.Buckets, "table", noted)
+    for _ in range(2):  # a second time over what is there
+        found = whole.analyze_calls(workflows._calls(spark, SF), workflows._call_rules(spark), f"file://{tmp_path}", ("violations",))
+        assert all({f.rsplit("/", 1)[1] for f in df.inputFiles()} <= set(written) and df.count() > 0 for df in found.values())
+        assert {p.name for p in tmp_path.iterdir()} == {"lines", "violations"}
