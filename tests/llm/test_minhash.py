@@ -1,6 +1,8 @@
 import re
 from collections import defaultdict
 
+from turnwise.llm import minhash
+from turnwise.llm.common import Scratch
 from turnwise.llm.minhash import miss_chance, near_duplicates
 
 
@@ -98,3 +100,18 @@ def test_open_rows_are_those_of_a_plain_loop(spark):
     got = [(r.u, r.cls.doc) for r in module.open_rows(tmp, module.mixed_keys(tmp, keyed, factors)).collect()]
     assert len(got) == len(set(got)) and set(got) == want and len(want) < len(rows) * factors
     assert module.open_rows(tmp, module.mixed_keys(tmp, keyed.limit(0), factors)).isEmpty()
+
+
+def test_exploded_tables_are_never_broadcast(spark, monkeypatch):
+    """Few buckets may be; the tables, which Spark takes for as small as what they are made of, may not."""
+    side = "struct<doc:long,s:long>"
+    rows = [((i, 0), (i % 40, 0), [i % 7, 100 + i % 11], [i % 5, 200 + i % 13]) for i in range(200)]
+    mixed = spark.createDataFrame(rows, f"cls {side}, c {side}, us array<long>, vs array<long>")
+    found = {}
+    for few in (minhash.FEW, 0):
+        monkeypatch.setattr(minhash, "FEW", few)
+        rows = minhash.open_rows(Scratch(spark), mixed)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastHashJoin" in plan, "BuildLeft" in plan) == (few > 0, False)
+        found[few] = sorted(rows.collect())
+    assert found[0] == found[250_000] and found[0]

@@ -178,6 +178,10 @@ def voted(tmp: Scratch, keyed: DataFrame, first) -> DataFrame:
     return best.select(F.least("best.rep.cls", "cls").alias("a"), F.greatest("best.rep.cls", "cls").alias("b")).distinct()
 
 
+#: Buckets that are broadcast, 8 bytes each.
+FEW = 250_000
+
+
 def open_rows(tmp: Scratch, mixed: DataFrame) -> DataFrame:
     """(u, cls, c) from mixed(cls, c, us, vs): a row for each class and left key that has, with one of its right keys, classes of different components."""
     mixed = tmp.table(mixed)
@@ -185,7 +189,10 @@ def open_rows(tmp: Scratch, mixed: DataFrame) -> DataFrame:
     tables = one.select("cls", "c", "u", F.explode("vs").alias("v")).select("cls", "c", "u", F.xxhash64("u", "v").alias("bucket"))
     h = F.xxhash64("c")
     buckets = tmp.table(tables.groupBy("bucket").agg(F.min(h).alias("lo"), F.max(h).alias("hi"), F.count(F.lit(1)).alias("_n")).where("lo <> hi").select("bucket", "_n"))
-    return join_hot(tables, buckets.select("bucket"), ["bucket"], "cls", counts=buckets).select("u", "cls", "c").distinct()
+    if buckets.count() <= FEW:
+        return tables.join(F.broadcast(buckets.select("bucket")), "bucket").select("u", "cls", "c").distinct()
+    # Spark sizes the tables as the classes they are made of, 576 times too small, and must not broadcast them
+    return join_hot(tables, buckets.select("bucket"), ["bucket"], "cls", counts=buckets, grown=True).select("u", "cls", "c").distinct()
 
 
 def _links_of_ids(rows: DataFrame, classes: DataFrame) -> DataFrame:
